@@ -91,11 +91,9 @@ def approximate_quantiles(df: DataFrame, group: str, value: str, probs: list[flo
 def _fences(df: DataFrame, group: str, value: str, approximate: bool) -> DataFrame:
     quartiles = approximate_quantiles if approximate else exact_quantiles
     q = quartiles(df, group, value, [0.25, 0.5, 0.75])
+    named = q.select(quoted(group), "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
-    return (
-        q.withColumnsRenamed({"q0": "q1", "q1": "median", "q2": "q3"})
-        .withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach})
-    )
+    return named.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach})
 
 
 def box_plot(df: DataFrame, group: str, value: str, approximate: bool = False) -> DataFrame:
