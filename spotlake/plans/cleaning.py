@@ -91,7 +91,7 @@ class ReportFolder:
         """(excedentes, requerimientos); an absent family is an empty table."""
         def family(prefix: str, schema, skip: int) -> DataFrame:
             if self.preamble and any_file(spark, self.path, f"{prefix}*.csv"):
-                return read_report_with_preamble(spark, self.path, schema, skip, glob=f"{prefix}*.csv")
+                return read_report_with_preamble(spark, f"{self.path.rstrip('/')}/{prefix}*.csv", schema, skip)
             return read_family(spark, self.path, prefix, schema)
 
         return (

@@ -27,26 +27,27 @@ def read_transmissions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def read_report(spark: SparkSession, path: str | list[str], schema: T.StructType, glob: str | None = None) -> DataFrame:
+def read_report(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Report rows as text columns; a header that disagrees with the schema fails the query."""
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.csv(path)
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
 def read_family(
     spark: SparkSession, folder: str, prefix: str, schema: T.StructType,
     suffix: str = ".csv", source_column: str | None = None,
 ) -> DataFrame:
-    """All files of one report family in a folder; an absent family gives an empty table."""
+    """All files of one report family in a folder; an absent family gives an empty table.
+
+    A folder written by Spark under a report's name counts as that report.
+    """
     glob = f"{prefix}*{suffix}"
     if not any_file(spark, folder, glob):
         fields = [*schema.fields, *([T.StructField(source_column, T.StringType())] if source_column else [])]
         return spark.createDataFrame([], T.StructType(fields))
-    df = read_report(spark, folder, schema, glob)
+    df = read_report(spark, f"{folder.rstrip('/')}/{glob}", schema)
     if source_column:
-        df = df.select("*", F.col("_metadata.file_name").alias(source_column))
+        report = F.regexp_extract(F.col("_metadata.file_path"), f"/({prefix}[^/]*)", 1)
+        df = df.select("*", report.alias(source_column))
     return df
 
 
@@ -78,7 +79,7 @@ def table_if_present(spark: SparkSession, name: str, schema: T.StructType) -> Da
 _LINE = "file string, is_header boolean, value string"
 
 
-def body_lines(spark: SparkSession, path: str | list[str], skip: int, glob: str | None = None) -> DataFrame:
+def body_lines(spark: SparkSession, path: str | list[str], skip: int) -> DataFrame:
     """(file, is_header, value): the lines of text files below their first `skip` lines.
 
     Line `skip + 1` of a file is flagged as its header. Files are split as usual:
@@ -86,10 +87,7 @@ def body_lines(spark: SparkSession, path: str | list[str], skip: int, glob: str
     lines of a split arrive in file order, so one streaming pass over each task
     finds it without any shuffle. The preamble must fit in the first split.
     """
-    reader = spark.read
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    lines = reader.text(path).select(
+    lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         "value",
@@ -117,14 +115,14 @@ def body_lines(spark: SparkSession, path: str | list[str], skip: int, glob: str
 
 
 def read_report_with_preamble(
-    spark: SparkSession, path: str | list[str], schema: T.StructType, skip: int, glob: str | None = None
+    spark: SparkSession, path: str | list[str], schema: T.StructType, skip: int
 ) -> DataFrame:
     """Report rows of delimited files with `skip` lines and a header above the data.
 
     A header whose names differ from the schema fails the query. Quoted commas
     are understood, quoted line breaks are not.
     """
-    lines = body_lines(spark, path, skip, glob)
+    lines = body_lines(spark, path, skip)
     text = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
     names = F.array(*[F.lit(f.name) for f in schema.fields])
     header_names = F.split(F.replace(F.col("value"), F.lit('"'), F.lit("")), ",")

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spotlake.operators.aggregates import latest_rows
 from spotlake.operators.columns import with_load_time
+from spotlake.sources.readers import read_if_present
 
 BATCH = "batch_id"
 
@@ -79,9 +80,9 @@ class StreamTarget:
         if self.mode == "append":
             fields.append(T.StructField(BATCH, T.LongType()))
         done = self.runs()
-        if not done:
-            return self.spark.createDataFrame([], T.StructType(fields))
-        return self.spark.read.schema(T.StructType(fields)).parquet(f"{self._run_path(done[-1])}/data")
+        data = f"{self._run_path(done[-1])}/data" if done else None
+        return read_if_present(self.spark, data, T.StructType(fields)) if data else self.spark.createDataFrame(
+            [], T.StructType(fields))
 
     def latest(self, keys: list[str], order: list[str]) -> DataFrame:
         """Last row of each key over all batches, later batches winning: repeated input does no harm."""
