@@ -116,7 +116,7 @@ def _first_names(spark, d):
 
 
 @query("dup_rows", """
-    SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates
+    SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n_rows, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates
     FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang, source, n_chars)""")
 def _dup_rows(spark, d):
     return duplicate_rows(table(spark, d, "documents"), exclude=["doc_id"])

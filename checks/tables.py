@@ -26,8 +26,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def located(spark: SparkSession, folder: str, fact: str, party_table: str, fact_key: str, party_key: str, nation_key: str) -> DataFrame:
     """Fact rows with the nation name of the customer or supplier they point to."""
     nation = table(spark, folder, "nation").select(F.col("n_nationkey").alias(nation_key), "n_name")
-    place = table(spark, folder, party_table).join(nation, nation_key)
-    return balanced_join(table(spark, folder, fact).withColumnRenamed(fact_key, party_key), place, [party_key])
+    facts = table(spark, folder, fact).withColumnRenamed(fact_key, party_key)
+    return balanced_join(balanced_join(facts, table(spark, folder, party_table), [party_key]), nation, [nation_key])
 
 
 def airings(spark: SparkSession, folder: str) -> Airings:

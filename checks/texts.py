@@ -317,7 +317,7 @@ _BAYES_SQL = f"""
 def predictions(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     train, test = K.hash_split(docs, "doc_id")
-    fitted = K.fit_classifier(train, "text", "lang")
+    fitted = K.fit_classifier(train, "text", "lang", key="doc_id")
     return fitted, fitted.predict(test)
 
 

@@ -13,9 +13,12 @@ ISO_DATE = "yyyy-MM-dd"
 DAY_FIRST_DATE = "dd/MM/yyyy"
 CLOCK = "HH:mm:ss"
 
-_ISO_READ = "yyyy-M-d"
-_DAY_FIRST_READ = "d/M/yyyy"
-_MONTH_FIRST_READ = "M/d/yyyy"
+# Shapes are tested before parsing: a failed parse raises and catches an exception
+# inside Spark for every row, which costs far more than the pattern.
+_ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}$"
+_DAY_FIRST_SHAPE = r"^\d{1,2}/(0?[1-9]|1[0-2])/\d{4}$"
+_MONTH_FIRST_SHAPE = r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4}$"
+_CLOCK_SHAPE = r"^([01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d$"
 _CLOCK_READ = "H:m:s"
 
 
@@ -23,9 +26,14 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _date_if(c: Column, shape: str, fmt: str) -> Column:
+    return F.when(c.rlike(shape), F.try_to_date(c, fmt))
+
+
 def airing_timestamp(date_text: Column | str, time_text: Column | str, fmt: str = "dd/MM/yyyy HH:mm:ss") -> Column:
     """Timestamp of one airing; NULL if either part is missing or unreadable."""
-    return F.try_to_timestamp(F.concat(_col(date_text), F.lit(" "), _col(time_text)), F.lit(fmt))
+    text = F.concat(_col(date_text), F.lit(" "), _col(time_text))
+    return F.when(F.length(text) == len(fmt), F.try_to_timestamp(text, F.lit(fmt)))
 
 
 def strict_date(text: Column | str, fmt: str = ISO_DATE) -> Column:
@@ -39,18 +47,26 @@ def mixed_date(text: Column | str, day_first: bool = True) -> Column:
     Slash dates are read day-first. With `day_first=False` the month-first
     reading is tried before the day-first one.
     """
-    slash = [_DAY_FIRST_READ] if day_first else [_MONTH_FIRST_READ, _DAY_FIRST_READ]
-    return F.coalesce(*[F.try_to_date(_col(text), fmt) for fmt in [_ISO_READ, *slash]])
+    c = _col(text)
+    readings = [_date_if(c, _ISO_SHAPE, "yyyy-M-d"), _date_if(c, _DAY_FIRST_SHAPE, "d/M/yyyy")]
+    if not day_first:
+        readings.insert(1, _date_if(c, _MONTH_FIRST_SHAPE, "M/d/yyyy"))
+    return F.coalesce(*readings)
+
+
+def _clock(text: Column | str) -> Column:
+    c = _col(text)
+    return F.when(c.rlike(_CLOCK_SHAPE), F.try_to_timestamp(c, F.lit(_CLOCK_READ)))
 
 
 def clock_text(text: Column | str) -> Column:
     """Time of day as `HH:mm:ss` text, NULL if unreadable."""
-    return F.date_format(F.try_to_timestamp(_col(text), F.lit(_CLOCK_READ)), CLOCK)
+    return F.date_format(_clock(text), CLOCK)
 
 
 def clock_hour(text: Column | str) -> Column:
     """Hour 0-23 of a time-of-day text, NULL if unreadable."""
-    return F.hour(F.try_to_timestamp(_col(text), F.lit(_CLOCK_READ)))
+    return F.hour(_clock(text))
 
 
 def standardize_datetime(df: DataFrame, date_col: str, time_col: str, day_first: bool = True) -> DataFrame:

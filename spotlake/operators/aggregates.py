@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from spotlake.functions.text import is_content_word, word_tokens
 from spotlake.operators.columns import quoted
-from spotlake.operators.joins import balanced_join, fits_broadcast, keep_groups
+from spotlake.operators.joins import balanced_join, keep_groups
+from spotlake.operators.sizing import fits_broadcast, over_all_cores
 
 
 def group_count(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
@@ -155,7 +156,8 @@ def latest_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def word_frequencies(df: DataFrame, text: str, words_out: list[str] | None = None, unicode_words: bool = False) -> DataFrame:
     """Word counts over the distinct texts, without the words in `words_out`."""
-    words = df.select(quoted(text)).distinct().select(F.explode(word_tokens(quoted(text), unicode_words)).alias("word"))
+    texts = over_all_cores(df.select(quoted(text)), [text]).distinct()
+    words = texts.select(F.explode(word_tokens(quoted(text), unicode_words)).alias("word"))
     if words_out:
         words = words.where(is_content_word("word", words_out))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.operators.columns import quoted
+from spotlake.operators.sizing import fits_broadcast
+from spotlake.sources.scratch import materialise
 
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are
 # fewer than HOT_SHARE hot keys whatever the data: that table is safe to broadcast.
@@ -20,27 +22,11 @@ HOT_SHARE = 200
 HOT_SLICES = 32
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Size estimate of the optimised plan; None where the session does not expose it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark would broadcast `df` on its own."""
-    size = estimated_bytes(df)
-    if size is None:
-        return False
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return 0 <= size <= limit
-
-
 def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
     """Keys that hold more than 1/share of the rows (map-side counts, then one small shuffle)."""
     counts = df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_n")).select("_n").scalar()
+    # The total comes from the same counts, so both share one shuffle.
+    total = counts.agg(F.sum("_n").alias("_t")).select("_t").scalar()
     return counts.where(F.col("_n") * share > total).select(*[quoted(k) for k in keys])
 
 
@@ -62,13 +48,21 @@ def spread_join(
     return sliced.join(copied, [*keys, "_slice"], how).drop("_slice")
 
 
-def balanced_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def balanced_join(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", measure: bool = False
+) -> DataFrame:
     """Equi-join on same-named keys: plain if the right side is small, spread otherwise.
 
-    `how` is one of inner, left, left_semi, left_anti.
+    `how` is one of inner, left, left_semi, left_anti. Estimates of joins and
+    aggregates are far too high; with `measure` such a right side is written once
+    and judged by its real size before the left side would have to be shuffled.
     """
     if fits_broadcast(right):
         return left.join(right, keys, how)
+    if measure:
+        right = materialise(right, "join_side")
+        if fits_broadcast(right):
+            return left.join(right, keys, how)
     return spread_join(left, right, keys, how)
 
 
@@ -108,7 +102,7 @@ def remove_cross_duplicates(
     names = [f"_k{i}" for i in range(len(second_keys))]
     taken = first.select(*_text_keys(first, first_keys)).dropna().distinct()
     keyed = second.select("*", *_text_keys(second, second_keys))
-    return balanced_join(keyed, taken, names, "left_anti").drop(*names)
+    return balanced_join(keyed, taken, names, "left_anti", measure=True).drop(*names)
 
 
 def keep_groups(df: DataFrame, groups: DataFrame, key: str) -> DataFrame:
@@ -123,7 +117,7 @@ def lookup_enrich(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
 
 def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Work rows whose key is not in the table of finished work."""
-    return balanced_join(work, done.select(quoted(key)).distinct(), [key], "left_anti")
+    return balanced_join(work, done.select(quoted(key)).distinct(), [key], "left_anti", measure=True)
 
 
 def append_new(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -53,12 +53,19 @@ def distinct_profile(df: DataFrame, columns: list[str] | None = None, approximat
 
 
 def duplicate_rows(df: DataFrame, exclude: list[str] | None = None) -> DataFrame:
-    """One row: how many rows repeat an earlier row. NULLs are equal; `exclude` leaves row numbers out."""
+    """One row: all rows, and how many of them repeat an earlier row.
+
+    NULLs are equal; `exclude` leaves columns such as a row number out.
+    """
     left_out = set(exclude or [])
     chosen = [c for c in df.columns if c not in left_out]
     compact = df.select(*[c.alias(f"_{i}") for i, c in enumerate(compact_columns(df, chosen))])
     groups = compact.groupBy(*compact.columns).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
+    zero = F.lit(0).cast("bigint")
+    return groups.agg(
+        F.coalesce(F.sum("_n"), zero).alias("n_rows"),
+        F.coalesce(F.sum(F.col("_n") - 1), zero).alias("duplicates"),
+    )
 
 
 def key_sets(records: DataFrame, json_col: str) -> DataFrame:
@@ -77,16 +84,14 @@ def summary_of_reports(
     exclude: list[str] | None = None,
 ) -> DataFrame:
     """Reconciliation report: rows of each family, repeated rows inside each, pairs across."""
-    def line(metric: str, one_row: DataFrame, column: str) -> DataFrame:
-        return one_row.select(F.lit(metric).alias("metric"), quoted(column).cast("bigint").alias("value"))
+    def lines(one_row: DataFrame, **metrics: str) -> DataFrame:
+        return one_row.select(F.inline(F.array(*[
+            F.struct(F.lit(metric).alias("metric"), quoted(column).alias("value"))
+            for metric, column in metrics.items()])))
 
-    count = F.count(F.lit(1)).alias("n")
     across = cross_duplicates(first, second, first_keys, second_keys)
     return (
-        line("first_rows", first.agg(count), "n")
-        .unionAll(line("second_rows", second.agg(count), "n"))
-        .unionAll(line("first_duplicates", duplicate_rows(first, exclude), "duplicates"))
-        .unionAll(line("second_duplicates", duplicate_rows(second, exclude), "duplicates"))
-        .unionAll(line("cross_pairs", across, "pairs"))
-        .unionAll(line("second_rows_matched", across, "second_rows"))
+        lines(duplicate_rows(first, exclude), first_rows="n_rows", first_duplicates="duplicates")
+        .unionAll(lines(duplicate_rows(second, exclude), second_rows="n_rows", second_duplicates="duplicates"))
+        .unionAll(lines(across, cross_pairs="pairs", second_rows_matched="second_rows"))
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spotlake.functions.text import word_tokens
 from spotlake.operators.columns import quoted
+from spotlake.operators.sizing import over_all_cores
 
 # Fixed values of the published model.
 NORMAL_ALPHA = 15.0
@@ -75,7 +76,7 @@ def valence_scores(df: DataFrame, keys: list[str], text: str, lexicon: DataFrame
 
     `keys` identify a text. A NULL text scores NULL, one without lexicon words 0.
     """
-    words = df.select(
+    words = over_all_cores(df.select(*[quoted(k) for k in keys], quoted(text)), keys).select(
         *[quoted(k) for k in keys], quoted(text).isNotNull().alias("_has"),
         F.explode_outer(F.array_append(word_tokens(quoted(text)), F.lit(None).cast("string"))).alias("token"))
     hits = words.join(lexicon, "token", "left").where(F.col("valence").isNotNull() | F.col("token").isNull())
@@ -89,11 +90,11 @@ _PUNCTUATION = r"!\"#$%&'()*+,\-./:;<=>?@\[\]\\^_`{|}~"
 _STRIPPED = r"(?:[.!?,;:\-'\"]|!{2,3}|\?{2,3}|(?:\?!)?\?!\?|(?:!\?)?!\?!|\?!\?!|!\?!\?)"
 
 
-def _bare(token: Column) -> Column:
-    """Word of a blank-separated token: one punctuation group off its front or its end."""
-    ahead = F.regexp_extract(token, f"^{_STRIPPED}([^{_PUNCTUATION}]{{2,}})$", 1)
-    behind = F.regexp_extract(token, f"^([^{_PUNCTUATION}]{{2,}}){_STRIPPED}$", 1)
-    return F.when(ahead != "", ahead).when(behind != "", behind).otherwise(token)
+# A whole blank-separated token that is a word with one punctuation group at its front or its end.
+_MARKED_WORD = rf"(?<!\S)(?:{_STRIPPED}([^{_PUNCTUATION}\s]{{2,}})|([^{_PUNCTUATION}\s]{{2,}}){_STRIPPED})(?!\S)"
+# A token of two characters or more with an upper-case letter and no lower-case one.
+_UPPER_WORD = r"(?<!\S)(?=\S*\p{Lu})[^\p{Ll}\s]{2,}(?!\S)"
+_TOKEN = r"\S{2,}"
 
 
 def _is_upper(word: Column) -> Column:
@@ -129,13 +130,14 @@ def rule_scores(
     raw = quoted(text)
     none = F.lit(None).cast("string")
 
-    # Tokens of two characters or more.
-    words = df.select(*ids, raw.isNotNull().alias("_has"), _emphasis(raw).alias("_mark"),
-                      F.transform(F.regexp_extract_all(raw, F.lit(r"\S{2,}"), F.lit(0)), _bare).alias("_words"))
-    flagged = words.withColumns({
-        "_but": F.array_position(F.transform("_words", F.lower), "but"),
-        "_caps": F.size(F.filter("_words", _is_upper)),
-    })
+    # The text-wide steps are single native passes; only the word array is exploded.
+    bare = over_all_cores(df.select(*ids, raw.alias("_raw")), keys).select(
+        *ids, F.col("_raw").isNotNull().alias("_has"), _emphasis(F.col("_raw")).alias("_mark"),
+        F.regexp_replace("_raw", _MARKED_WORD, "$1$2").alias("_text"))
+    words = bare.select(
+        *ids, "_has", "_mark", F.regexp_extract_all("_text", F.lit(_TOKEN), F.lit(0)).alias("_words"),
+        F.array_position(F.regexp_extract_all(F.lower("_text"), F.lit(_TOKEN), F.lit(0)), "but").alias("_but"),
+        F.regexp_count("_text", F.lit(_UPPER_WORD)).alias("_caps"))
     mixed = (F.col("_caps") > 0) & (F.col("_caps") < F.size("_words"))
     # Shifting the array by one, two and three places puts each word next to those before it;
     # the rows past the end have no word and keep texts without hits.
@@ -145,11 +147,10 @@ def rule_scores(
         F.concat(F.array(none, none), "_words").alias("p2"),
         F.concat(F.array(none, none, none), "_words").alias("p3"),
     )
-    rows = flagged.select(*ids, "_has", "_mark", "_but", mixed.alias("_mixed"),
-                          F.posexplode_outer(shifted).alias("_pos", "_t")).select(
-        *ids, "_has", "_mark", "_but", "_mixed", "_pos",
-        F.lower("_t.w").alias("token"), _is_upper(F.col("_t.w")).alias("_up"),
-        *[F.col(f"_t.p{i}").alias(f"p{i}") for i in (1, 2, 3)])
+    rows = words.select(*ids, "_has", "_mark", "_but", mixed.alias("_mixed"),
+                        F.posexplode_outer(shifted).alias("_pos", "_t")).select(
+        *ids, "_has", "_mark", "_but", "_mixed", "_pos", F.lower("_t.w").alias("token"),
+        *[F.col(f"_t.{c}").alias(c) for c in ("w", "p1", "p2", "p3")])
 
     # Words that act on their neighbour carry no valence of their own.
     acting = F.col("token").isin([*up, *down])
@@ -160,7 +161,7 @@ def rule_scores(
         hits = hits.join(listed, F.lower(f"p{i}") == F.col(f"_l{i}"), "left").drop(f"_l{i}")
 
     v = F.col("valence")
-    v = v + F.when(F.col("_up") & F.col("_mixed"), F.signum(v) * CAPS_BOOST).otherwise(F.lit(0.0))
+    v = v + F.when(_is_upper(F.col("w")) & F.col("_mixed"), F.signum(v) * CAPS_BOOST).otherwise(F.lit(0.0))
     for i, damping in zip((1, 2, 3), DAMPING):
         before, low = F.col(f"p{i}"), F.lower(f"p{i}")
         acts = before.isNotNull() & F.col(f"_in{i}").isNull()

@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from spotlake.functions.keys import bucket_of
 from spotlake.functions.text import stop_words
 from spotlake.operators.aggregates import confusion_matrix
+from spotlake.operators.columns import quoted
+from spotlake.operators.sizing import over_all_cores
+from spotlake.sources.scratch import materialise
 
 
 def feature_pipeline(
@@ -59,6 +62,7 @@ class Classifier:
 
     features: PipelineModel
     model: NaiveBayesModel
+    key: str
 
     @property
     def labels(self) -> list[str]:
@@ -69,20 +73,39 @@ class Classifier:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Rows with `label`, `prediction` and the predicted text in `predicted`."""
-        scored = self.model.transform(self.features.transform(df))
+        scored = self.model.transform(self.features.transform(over_all_cores(df, [self.key])))
         return IndexToString(inputCol="prediction", outputCol="predicted", labels=self.labels).transform(scored)
 
 
-def fit_classifier(train: DataFrame, text: str, label: str, fit_features_on: DataFrame | None = None, **options) -> Classifier:
-    """Fit features and model on the training rows.
+def fit_classifier(
+    train: DataFrame, text: str, label: str, key: str, fit_features_on: DataFrame | None = None, **options
+) -> Classifier:
+    """Fit features and model on the training rows; `key` identifies a row.
 
     `fit_features_on` takes a wider table for the feature stages, such as all rows
     before the split; test rows then leak into vocabulary and IDF.
+
+    Term counts are written once and the later stages fit on that table, so texts
+    are split twice in all, not once per stage.
     """
+    tokens, remover, counts, idf, index = feature_pipeline(text, label, **options).getStages()
+    slim = [quoted(c) for c in dict.fromkeys([key, text, label])]
+
+    def words(df: DataFrame) -> DataFrame:
+        return remover.transform(tokens.transform(over_all_cores(df.select(*slim), [key])))
+
     basis = train if fit_features_on is None else fit_features_on
-    features = feature_pipeline(text, label, **options).fit(basis)
+    counter = counts.fit(words(basis)) if isinstance(counts, CountVectorizer) else counts
+
+    def counted(df: DataFrame) -> DataFrame:
+        return materialise(counter.transform(words(df)).select(quoted(label), "raw_features"), "term_counts")
+
+    basis_counts = counted(basis)
+    idf_model, index_model = idf.fit(basis_counts), index.fit(basis_counts)
+    train_counts = basis_counts if fit_features_on is None else counted(train)
     bayes = NaiveBayes(featuresCol="features", labelCol="label", predictionCol="prediction", smoothing=1.0)
-    return Classifier(features, bayes.fit(features.transform(train)))
+    model = bayes.fit(index_model.transform(idf_model.transform(train_counts)))
+    return Classifier(PipelineModel([tokens, remover, counter, idf_model, index_model]), model, key)
 
 
 def accuracy_of(predictions: DataFrame) -> float:
