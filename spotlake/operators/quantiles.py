@@ -17,6 +17,8 @@ SKETCH = 10000
 MARGIN = 4.0 / SKETCH
 # Groups up to this size use all their values, so small groups never depend on the sketch.
 WHOLE_GROUP = 10 * SKETCH
+# Bracketed values of one group that a single task may sort.
+WINDOW_ROWS = 5_000_000
 
 
 def _brackets(df: DataFrame, group: str, value: str, probs: list[float]) -> DataFrame:
@@ -40,7 +42,32 @@ def _brackets(df: DataFrame, group: str, value: str, probs: list[float]) -> Data
     return stats.select(quoted(group), "_n", "_min", *[c.alias(n) for n, c in bounds.items()])
 
 
-def exact_quantiles(df: DataFrame, group: str, value: str, probs: list[float]) -> DataFrame:
+def _running_counts(cells: DataFrame, group: str) -> DataFrame:
+    """Cells with `_cum`, the values of the group up to and including the cell."""
+    order = W.partitionBy(quoted(group)).orderBy("_at", "_gap").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return cells.withColumn("_cum", F.sum("_c").over(order))
+
+
+def _running_counts_by_range(cells: DataFrame, group: str) -> DataFrame:
+    """The same for groups too large for one task.
+
+    Cells are cut into ranges, each range is summed on its own, and the totals of
+    the ranges before it are added: no task sees more than one range.
+    """
+    ranges = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialise(
+        cells.repartitionByRange(ranges, quoted(group), "_at", "_gap").withColumn("_part", F.spark_partition_id()), "ranges")
+    before = W.partitionBy(quoted(group)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = cut.groupBy(quoted(group), "_part").agg(F.sum("_c").alias("_t")).select(
+        quoted(group), "_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
+    within = W.partitionBy(quoted(group), "_part").orderBy("_at", "_gap").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return balanced_join(cut, starts, [group, "_part"], measure=True).withColumn(
+        "_cum", F.col("_start") + F.sum("_c").over(within))
+
+
+def exact_quantiles(
+    df: DataFrame, group: str, value: str, probs: list[float], window_rows: int = WINDOW_ROWS
+) -> DataFrame:
     """Per group: n and one column `q0, q1, ...` per probability, linearly interpolated.
 
     A sketch first brackets each quantile. The second pass counts values inside
@@ -60,9 +87,9 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: list[float]) -
         F.when(inside, x).otherwise(below).alias("_at"),
         (~inside).alias("_gap"),
     ).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
-    # Only bracketed values and gap totals reach this window.
-    order = W.partitionBy(quoted(group)).orderBy("_at", "_gap").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = cells.withColumn("_cum", F.sum("_c").over(order))
+    largest = brackets.agg(F.max("_n")).first()[0] or 0
+    bracketed = largest if largest <= WHOLE_GROUP else 2 * MARGIN * len(probs) * largest
+    ranked = (_running_counts if bracketed <= window_rows else _running_counts_by_range)(cells, group)
 
     def order_statistic(rank: Column) -> Column:
         first_at = F.min(F.when(F.col("_cum") > rank, F.struct("_at", "_gap")))
