@@ -126,9 +126,10 @@ def read_report_with_preamble(
     text = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
     names = F.array(*[F.lit(f.name) for f in schema.fields])
     header_names = F.split(F.replace(F.col("value"), F.lit('"'), F.lit("")), ",")
-    checked = F.when(F.col("is_header") & (header_names != names),
-                     F.raise_error(F.concat(F.lit("unexpected header: "), F.col("value")))).otherwise(F.col("value"))
-    rows = lines.withColumn("value", checked).where(~F.col("is_header") & (F.trim("value") != ""))
+    wrong = F.raise_error(F.concat(F.lit("unexpected header: "), F.col("value"))).cast("boolean")
+    is_row = F.when(F.col("is_header") & (header_names != names), wrong).otherwise(
+        ~F.col("is_header") & (F.trim("value") != ""))
+    rows = lines.where(is_row)
     return rows.select(F.from_csv("value", F.lit(text)).alias("r")).select(
         *[F.col("r").getField(f.name).alias(f.name) for f in schema.fields])
 
