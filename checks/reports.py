@@ -9,11 +9,12 @@ from checks.tables import (
     AIRINGS_SQL, EVENT_AIRINGS_SQL, LABELLED_SQL, PARTIES, PARTY_CELLS_SQL, airings, event_airings, labelled, table,
 )
 from spotlake.operators.aggregates import (
-    count_with_nonnull, group_count, histogram, last_value, merge_latest, top_groups,
+    count_with_nonnull, group_count, histogram, last_value, merge_latest, top_groups, within_top_groups,
 )
 from spotlake.operators.joins import join_spots
 from spotlake.operators.quantiles import box_plot, exact_quantiles, outliers
 from spotlake.plans import reports as R
+from spotlake.sources.scratch import materialise
 
 
 @query("topk_group_category_pivot", f"""
@@ -30,6 +31,15 @@ def _top_groups(spark, d):
     return top_groups(airings(spark, d).counts(["estado"]), "estado", 10)
 
 
+@query("top_group_rows", f"""
+    WITH {AIRINGS_SQL},
+    best AS (SELECT estado FROM airings GROUP BY estado ORDER BY count(*) DESC, estado LIMIT 10)
+    SELECT estado, partido, count(*) AS n FROM airings WHERE estado IN (SELECT estado FROM best) GROUP BY estado, partido""")
+def _top_rows(spark, d):
+    counts = materialise(airings(spark, d).counts(["estado"]), "counts")
+    return within_top_groups(counts, "estado", 10)
+
+
 @query("group_pivot_by_total", f"WITH {AIRINGS_SQL} SELECT estado, {PARTY_CELLS_SQL} FROM airings GROUP BY estado")
 def _by_total(spark, d):
     return R.states_by_party(airings(spark, d), "estado", PARTIES)

@@ -62,6 +62,21 @@ def pivot_counts(
     return counts.groupBy(quoted(index)).pivot(category, values).agg(F.sum(quoted(count_col)))
 
 
+def top_matrix(counts: DataFrame, index: str, category: str, values: list[str], k: int, count_col: str = "n") -> DataFrame:
+    """Matrix rows of the k indexes with the largest total over all categories, listed or not.
+
+    Cells and total come from one aggregate, so the counts are computed once;
+    ranking first and joining back would compute them twice.
+    """
+    n = quoted(count_col)
+    cells = [F.sum(F.when(quoted(category) == v, n)).alias(str(v)) for v in values]
+    ranked = (
+        counts.where(quoted(index).isNotNull()).groupBy(quoted(index)).agg(F.sum(n).alias("_total"), *cells)
+        .orderBy(F.desc("_total"), quoted(index)).limit(k)
+    )
+    return ranked.drop("_total")
+
+
 def category_values(counts: DataFrame, category: str) -> list[str]:
     """Pivot columns of an aggregated table. Spark refuses beyond `spark.sql.pivotMaxValues`."""
     limit = int(counts.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))

@@ -38,13 +38,15 @@ def spread_join(
 
     The slice of a hot left row comes from its contents and its map task, so equal
     rows spread as well and a task that is run again gives the same slices. The
-    matching right rows are copied to every slice.
+    matching right rows are copied to every slice. Left rows with a NULL key match
+    nothing and may go anywhere, so they are spread too.
     """
     hot = F.broadcast(hot_keys(left, keys, share).withColumn("_hot", F.lit(True)))
     hashable = [quoted(f.name) for f in left.schema.fields if not f.dataType.simpleString().startswith("map")]
     spread = F.pmod(F.xxhash64(*hashable) + F.spark_partition_id(), F.lit(slices)).cast("int")
+    no_key = reduce(lambda x, y: x | y, [quoted(k).isNull() for k in keys])
     sliced = left.join(hot, keys, "left").withColumn(
-        "_slice", F.when(F.col("_hot"), spread).otherwise(F.lit(0))).drop("_hot")
+        "_slice", F.when(F.col("_hot") | no_key, spread).otherwise(F.lit(0))).drop("_hot")
     every_slice = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
     copied = right.join(hot, keys, "left").withColumn("_slice", F.explode(every_slice)).drop("_hot")
     return sliced.join(copied, [*keys, "_slice"], how).drop("_slice")

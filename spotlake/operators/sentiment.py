@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from spotlake.functions.text import word_tokens
 from spotlake.operators.columns import quoted
-from spotlake.operators.sizing import over_all_cores
+from spotlake.operators.sizing import fits_broadcast, over_all_cores
+from spotlake.sources.scratch import materialise
 
 # Fixed values of the published model.
 NORMAL_ALPHA = 15.0
@@ -66,6 +67,12 @@ def sample_lexicon(spark) -> DataFrame:
     return spark.createDataFrame(list(SAMPLE_LEXICON.items()), "token string, valence double")
 
 
+def _sized(lexicon: DataFrame) -> DataFrame:
+    """The lexicon with a size Spark knows, so that a small one is broadcast and never shuffles the words."""
+    slim = lexicon.select("token", "valence")
+    return slim if fits_broadcast(slim) else materialise(slim, "lexicon")
+
+
 def _compound(total: Column) -> Column:
     score = total / F.sqrt(total * total + NORMAL_ALPHA)
     return F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)), 4)
@@ -79,7 +86,7 @@ def valence_scores(df: DataFrame, keys: list[str], text: str, lexicon: DataFrame
     words = over_all_cores(df.select(*[quoted(k) for k in keys], quoted(text)), keys).select(
         *[quoted(k) for k in keys], quoted(text).isNotNull().alias("_has"),
         F.explode_outer(F.array_append(word_tokens(quoted(text)), F.lit(None).cast("string"))).alias("token"))
-    hits = words.join(lexicon, "token", "left").where(F.col("valence").isNotNull() | F.col("token").isNull())
+    hits = words.join(_sized(lexicon), "token", "left").where(F.col("valence").isNotNull() | F.col("token").isNull())
     sums = hits.groupBy(*[quoted(k) for k in keys]).agg(
         F.coalesce(F.sum("valence"), F.lit(0.0)).alias("_s"), F.max("_has").alias("_has"))
     return sums.select(*[quoted(k) for k in keys], F.when(F.col("_has"), _compound(F.col("_s"))).alias("compound"))
@@ -129,6 +136,7 @@ def rule_scores(
     ids = [quoted(k) for k in keys]
     raw = quoted(text)
     none = F.lit(None).cast("string")
+    lexicon = _sized(lexicon)
 
     # The text-wide steps are single native passes; only the word array is exploded.
     bare = over_all_cores(df.select(*ids, raw.alias("_raw")), keys).select(

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.operators.aggregates import (
-    category_values, histogram, joined_group_count, order_by_row_total, pivot_counts, with_share, within_top_groups,
+    category_values, histogram, joined_group_count, order_by_row_total, pivot_counts, top_matrix, with_share,
 )
 from spotlake.operators.columns import quoted
 from spotlake.operators.joins import join_spots
 from spotlake.operators.quantiles import box_plot
+from spotlake.sources.scratch import materialise
 
 
 @dataclass(frozen=True)
@@ -41,8 +42,12 @@ class Airings:
         return Airings(self.airings.withColumn(name, value), self.spots, self.airing_key, self.spot_key, self.party)
 
 
-def _parties(counts: DataFrame, party: str, values: list[str] | None) -> list[str]:
-    return values if values is not None else category_values(counts, party)
+def _with_parties(counts: DataFrame, party: str, values: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """Counts and the matrix columns; columns found in the data need the counts twice, so these are written once."""
+    if values is not None:
+        return counts, values
+    kept = materialise(counts, "counts")
+    return kept, category_values(kept, party)
 
 
 def party_share(a: Airings) -> DataFrame:
@@ -74,23 +79,19 @@ def month_line(per_month_hour: DataFrame, month: int) -> DataFrame:
 
 def top_states_by_party(a: Airings, state: str, k: int = 10, parties: list[str] | None = None) -> DataFrame:
     """Party matrix of the k states with most airings, in falling order of their total."""
-    counts = a.counts([state])
-    values = _parties(counts, a.party, parties)
-    best = within_top_groups(counts, state, k)
-    return order_by_row_total(pivot_counts(best, state, a.party, values), state)
+    counts, values = _with_parties(a.counts([state]), a.party, parties)
+    return top_matrix(counts, state, a.party, values, k)
 
 
 def states_by_party(a: Airings, state: str, parties: list[str] | None = None) -> DataFrame:
     """Party matrix of all states, in falling order of their total."""
-    counts = a.counts([state])
-    values = _parties(counts, a.party, parties)
+    counts, values = _with_parties(a.counts([state]), a.party, parties)
     return order_by_row_total(pivot_counts(counts, state, a.party, values), state)
 
 
 def media_by_party(a: Airings, medium: str, parties: list[str] | None = None) -> DataFrame:
     """Party matrix of all media, in name order."""
-    counts = a.counts([medium])
-    values = _parties(counts, a.party, parties)
+    counts, values = _with_parties(a.counts([medium]), a.party, parties)
     return pivot_counts(counts, medium, a.party, values).orderBy(quoted(medium))
 
 
