@@ -9,13 +9,14 @@ from checks.tables import FAMILIES_SQL, LABELLED_SQL, excedentes, labelled, requ
 from spotlake import schemas
 from spotlake.functions import dates as D
 from spotlake.functions import names as N
-from spotlake.operators.columns import drop_columns, first_of_each_name, rename_columns, string_columns
+from spotlake.operators.columns import as_text, drop_columns, first_of_each_name, rename_columns, string_columns
 from spotlake.operators.joins import (
     append_all, append_new, cross_duplicates, lookup_enrich, pending, remove_cross_duplicates,
 )
 from spotlake.operators.profile import distinct_profile, drop_sparse_columns, duplicate_rows, key_sets, null_profile
-from spotlake.operators.sets import outer_union, sort_nulls_last
+from spotlake.operators.sets import outer_union, sort_nulls_last, union_files
 from spotlake.plans import cleaning as C
+from spotlake.plans.catalogue import pending_audio
 
 KEYS = (schemas.EXCEDENTES_KEYS, schemas.REQUERIMIENTOS_KEYS)
 
@@ -35,7 +36,8 @@ def families(spark, d):
         CAST(sum(r.n) AS BIGINT) AS second_rows
     FROM e JOIN r ON {_SAME}""")
 def _cross_count(spark, d):
-    return cross_duplicates(*families(spark, d), *KEYS)
+    counts = cross_duplicates(*families(spark, d), *KEYS)
+    return counts.select(*[F.col(c).cast("bigint").alias(c) for c in counts.columns])
 
 
 @query("cross_dup_remove", f"""
@@ -60,7 +62,8 @@ def _cross_remove(spark, d):
     UNION ALL SELECT 'cross_pairs', CAST((SELECT pairs FROM x) AS BIGINT)
     UNION ALL SELECT 'second_rows_matched', CAST((SELECT second_rows FROM x) AS BIGINT)""")
 def _summary(spark, d):
-    return C.reconciliation(excedentes(spark, d), requerimientos(spark, d), exclude=["No."])
+    summary = C.reconciliation(excedentes(spark, d), requerimientos(spark, d), exclude=["No."])
+    return summary.withColumn("value", F.col("value").cast("bigint"))
 
 
 @query("clean_reports", f"""
@@ -108,6 +111,35 @@ def _rename_union(spark, d):
     return outer_union(drop_columns(customers, ["c_acctbal"]), drop_columns(suppliers, ["s_acctbal", "absent"]))
 
 
+@query("union_files", """
+    SELECT c_name AS name, c_acctbal AS balance, NULL AS brand FROM customer
+    UNION ALL SELECT s_name, s_acctbal, NULL FROM supplier UNION ALL SELECT p_name, NULL, p_brand FROM part""")
+def _union_files(spark, d):
+    return union_files([
+        table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance")),
+        table(spark, d, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name")),
+        table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand")),
+    ])
+
+
+@query("prefix_suffix_filter",
+       "SELECT page_id, url FROM pages WHERE starts_with(url, 'https://') AND (ends_with(url, '.html') OR ends_with(url, '#top'))")
+def _affixes(spark, d):
+    url = F.col("url")
+    return table(spark, d, "pages").select("page_id", "url").where(
+        url.startswith("https://") & (url.endswith(".html") | url.endswith("#top")))
+
+
+@query("null_filter", f"WITH {LABELLED_SQL} SELECT doc_id, lang FROM labelled WHERE quality IS NULL")
+def _null_filter(spark, d):
+    return labelled(spark, d).where(F.col("quality").isNull()).select("doc_id", "lang")
+
+
+@query("text_keys", "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber FROM lineitem")
+def _text_keys(spark, d):
+    return as_text(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
+
+
 @query("first_of_each_name", "SELECT o_orderkey, o_orderstatus AS status FROM orders")
 def _first_names(spark, d):
     orders = table(spark, d, "orders").select(
@@ -253,6 +285,20 @@ def _append_all(spark, d):
         table(spark, d, "labels").select("doc_id", "quality"), table(spark, d, "documents").select("doc_id", "lang"))
 
 
+@query("pending_audio", """
+    SELECT 'audios/' || source || '/T' || doc_id || '.mp3' AS path FROM documents
+    WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND lang IN ('fr', 'es')""")
+def _pending_audio(spark, d):
+    """Files that are not in the index, of the identifiers asked for."""
+    def path(df):
+        return df.select(F.concat(F.lit("audios/"), "source", F.lit("/T"), "doc_id", F.lit(".mp3")).alias("path"))
+
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang")
+    index = path(lookup_enrich(docs, table(spark, d, "labels").select("doc_id"), "doc_id"))
+    wanted = docs.where(F.col("lang").isin("fr", "es")).select(F.concat(F.lit("T"), "doc_id").alias("id"))
+    return pending_audio(path(docs), index, wanted)
+
+
 @query("path_parts", r"""
     WITH p AS (SELECT page_id, url, split_part(url, '/', -1) AS name FROM pages)
     SELECT page_id, name, regexp_extract(name, '[^.](\.[^.]*)$', 1) AS extension,

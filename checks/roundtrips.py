@@ -115,6 +115,16 @@ def _table(spark, d):
     return spark.sql(f"SELECT * FROM {name}")
 
 
+@query("table_overwrite", "SELECT l_orderkey, l_quantity FROM lineitem")
+def _overwrite(spark, d):
+    """A catalogue table replaced by one with other columns."""
+    name = f"lines_{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
+    writers.overwrite_table(table(spark, d, "orders").select("o_orderkey"), name, path)
+    writers.overwrite_table(table(spark, d, "lineitem").select("l_orderkey", "l_quantity"), name, path)
+    return spark.table(name)
+
+
 @query("versioned_rewrite", "SELECT DISTINCT l_orderkey, l_partkey FROM lineitem")
 def _rewrite(spark, d):
     """A table replaced by a result computed from itself."""

@@ -11,7 +11,7 @@ from spotlake.functions.text import is_content_word, stop_words, word_tokens
 from spotlake.operators.aggregates import accuracy, histogram, top_words, word_frequencies
 from spotlake.operators.features import document_frequencies, term_counts, tfidf, top_terms
 from spotlake.operators.nested import flatten_catalogue
-from spotlake.operators.sentiment import rule_scores, valence_scores
+from spotlake.operators.sentiment import custom_scores, rule_scores, valence_scores
 from spotlake.plans import catalogue as P
 from spotlake.plans import classify as K
 from spotlake.plans import reports as R
@@ -87,6 +87,27 @@ def _order_index(spark, d):
     return P.order_index(flatten_catalogue(read_catalogue(spark, path, whole_files=False)))
 
 
+@query("catalogue_records", r"""
+    WITH l AS (
+        SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line,
+            unnest(range(len(string_split(text, chr(10))))) AS i
+        FROM documents
+    )
+    SELECT 'T' || l.doc_id || '-' || i || '-0' AS titulo, source || '/P' || i AS directorio, 'P' || i AS partido,
+        string_split(line, '. ')[1] AS nombre, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS transcripcion
+    FROM l JOIN labels ON l.doc_id = labels.doc_id""")
+def _records(spark, d):
+    """Catalogue spots whose title has a transcript: the first sentence of each line of a labelled text."""
+    path = scratch_path(spark, "catalogue")
+    catalogue_lines(spark, d).write.text(path)
+    flat = P.work_list(read_catalogue(spark, path, whole_files=False))
+    labelled = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
+    transcripts = labelled.select("doc_id", "quality", F.posexplode(F.split("text", "\n")).alias("i", "line")).select(
+        F.concat(F.lit("T"), "doc_id", F.lit("-"), "i", F.lit("-0")).alias("titulo"),
+        F.when(F.col("quality") == 1, "yes").otherwise("no").alias("transcripcion"))
+    return P.with_transcripts(flat, transcripts).select("titulo", "directorio", "partido", "nombre", "transcripcion")
+
+
 _TOKENS = r"list_filter(string_split_regex(lower(text), '\W+'), lambda x: x <> '')"
 
 
@@ -174,6 +195,24 @@ def _valence(spark, d):
     return valence_scores(table(spark, d, "documents"), ["doc_id", "lang"], "text", lexicon(spark))
 
 
+@query("custom_scorer", "SELECT doc_id, round(length(text) / (length(text) + 100.0::DOUBLE), 6) AS compound FROM documents")
+def _custom(spark, d):
+    def saturating_length(texts):
+        n = texts.str.len()
+        return (n / (n + 100.0)).round(6)
+
+    return custom_scores(table(spark, d, "documents"), ["doc_id"], "text", saturating_length)
+
+
+@query("sentiment_per_airing", f"""
+    WITH {_VALENCE_SQL} SELECT score.lang AS partido, compound FROM labels JOIN score ON labels.doc_id = score.doc_id""")
+def _per_airing(spark, d):
+    docs = table(spark, d, "documents")
+    a = R.Airings(table(spark, d, "labels"), docs.select(F.col("doc_id").alias("titulo"), F.col("lang").alias("partido")), "doc_id")
+    scores = valence_scores(docs, ["doc_id"], "text", lexicon(spark)).withColumnRenamed("doc_id", "titulo")
+    return R.weighted_scores(a, scores, "compound")
+
+
 @query("sentiment_histogram", f"""
     WITH {_VALENCE_SQL}, b AS (SELECT min(compound) AS lo, max(compound) AS hi FROM score),
     f AS (SELECT least(CAST(floor((compound - lo) / ((hi - lo) / 20)) AS INTEGER), 19) AS bin, count(*) AS n FROM score, b GROUP BY 1)

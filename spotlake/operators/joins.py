@@ -91,12 +91,15 @@ def cross_duplicates(first: DataFrame, second: DataFrame, first_keys: list[str],
     a = first.select(*_text_keys(first, first_keys)).groupBy(*names).agg(F.count(F.lit(1)).alias("_a")).alias("a")
     b = second.select(*_text_keys(second, second_keys)).groupBy(*names).agg(F.count(F.lit(1)).alias("_b")).alias("b")
     same = reduce(lambda x, y: x & y, [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names])
-    zero = F.lit(0).cast("bigint")
-    return a.join(b, same, "inner").agg(
-        F.coalesce(F.sum(F.col("_a") * F.col("_b")), zero).alias("pairs"),
-        F.coalesce(F.sum("_a"), zero).alias("first_rows"),
-        F.coalesce(F.sum("_b"), zero).alias("second_rows"),
-    )
+    # Pairs are counted but never formed, so their number may exceed a long.
+    wide = "decimal(38,0)"
+    zero = F.lit(0).cast(wide)
+    return a.join(b, same, "inner").agg(*[
+        F.coalesce(F.sum(n).cast(wide), zero).alias(name)
+        for name, n in (
+            ("pairs", F.col("_a").cast("decimal(19,0)") * F.col("_b").cast("decimal(19,0)")),
+            ("first_rows", F.col("_a")), ("second_rows", F.col("_b")))
+    ])
 
 
 def remove_cross_duplicates(

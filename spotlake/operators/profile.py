@@ -86,7 +86,7 @@ def summary_of_reports(
     """Reconciliation report: rows of each family, repeated rows inside each, pairs across."""
     def lines(one_row: DataFrame, **metrics: str) -> DataFrame:
         return one_row.select(F.inline(F.array(*[
-            F.struct(F.lit(metric).alias("metric"), quoted(column).alias("value"))
+            F.struct(F.lit(metric).alias("metric"), quoted(column).cast("decimal(38,0)").alias("value"))
             for metric, column in metrics.items()])))
 
     across = cross_duplicates(first, second, first_keys, second_keys)

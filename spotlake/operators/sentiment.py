@@ -8,6 +8,9 @@ shuffle, so a text costs one small shuffled row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +95,19 @@ def valence_scores(df: DataFrame, keys: list[str], text: str, lexicon: DataFrame
     return sums.select(*[quoted(k) for k in keys], F.when(F.col("_has"), _compound(F.col("_s"))).alias("compound"))
 
 
+def custom_scores(
+    df: DataFrame, keys: list[str], text: str, scorer: Callable[[pd.Series], pd.Series], name: str = "compound"
+) -> DataFrame:
+    """(keys, score) from a function over batches of texts, for scorers that are not a lexicon.
+
+    The function gets the texts of an Arrow batch as one series and builds what it
+    needs once per batch; NULL texts reach it as None.
+    """
+    score = F.pandas_udf(scorer, "double")
+    rows = over_all_cores(df.select(*[quoted(k) for k in keys], quoted(text)), keys)
+    return rows.select(*[quoted(k) for k in keys], score(quoted(text)).alias(name))
+
+
 _PUNCTUATION = r"!\"#$%&'()*+,\-./:;<=>?@\[\]\\^_`{|}~"
 # Fixed values of the published model: punctuation groups stripped from one end of a word.
 _STRIPPED = r"(?:[.!?,;:\-'\"]|!{2,3}|\?{2,3}|(?:\?!)?\?!\?|(?:!\?)?!\?!|\?!\?!|!\?!\?)"

@@ -15,7 +15,7 @@ from spotlake.operators.aggregates import (
     category_values, histogram, joined_group_count, order_by_row_total, pivot_counts, top_matrix, with_share,
 )
 from spotlake.operators.columns import quoted
-from spotlake.operators.joins import join_spots
+from spotlake.operators.joins import balanced_join, join_spots
 from spotlake.operators.quantiles import box_plot
 from spotlake.sources.scratch import materialise
 
@@ -97,7 +97,9 @@ def media_by_party(a: Airings, medium: str, parties: list[str] | None = None) ->
 
 def weighted_scores(a: Airings, scores: DataFrame, score: str) -> DataFrame:
     """(party, score) with one row per airing of a scored spot."""
-    spots = a.spots.select(quoted(a.spot_key), quoted(a.party)).join(scores, a.spot_key, "inner")
+    scored = balanced_join(a.spots.select(quoted(a.spot_key), quoted(a.party)), scores, [a.spot_key])
+    # Written once: the airings join is then planned by the real size of the scored spots.
+    spots = materialise(scored, "scored_spots")
     return join_spots(a.airings.select(quoted(a.airing_key)), spots, a.airing_key, a.spot_key).select(
         quoted(a.party), quoted(score))
 

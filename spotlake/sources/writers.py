@@ -29,9 +29,12 @@ def write_external_table(df: DataFrame, table: str, path: str, partition_by: lis
     writer.mode("overwrite").saveAsTable(table)
 
 
-def overwrite_table(df: DataFrame, table: str) -> None:
-    """Replace a catalogue table and its schema."""
-    df.write.format("parquet").mode("overwrite").saveAsTable(table)
+def overwrite_table(df: DataFrame, table: str, path: str | None = None) -> None:
+    """Replace a catalogue table and its schema; its files are at `path` or in the warehouse."""
+    writer = df.write.format("parquet").mode("overwrite")
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
 
 
 def convert_reports(df: DataFrame, path: str, family: str) -> None:

@@ -173,3 +173,11 @@ def test_classifier_with_features_from_all_rows(spark):
 
 def test_stop_words_by_language():
     assert "the" in stop_words() and "para" in stop_words("spanish")
+
+
+def test_custom_scorer(spark):
+    from spotlake.operators.sentiment import custom_scores
+
+    df = spark.createDataFrame([(1, "abcd"), (2, ""), (3, None)], "k int, t string")
+    got = scores(custom_scores(df, ["k"], "t", lambda texts: texts.str.len() / 4.0))
+    assert got[1] == 1.0 and got[2] == 0.0 and (got[3] is None or math.isnan(got[3]))
