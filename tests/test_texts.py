@@ -29,7 +29,9 @@ RULES = [
     ("good food, but bad service", 1.9 * 0.5 - 2.5 * 1.5),
     ("isn't really good?? no?", -(1.9 + 0.293) * 0.74 + -3 * 0.18),
     ("REALLY good idea", 1.9 + 0.293 + 0.733),
-    ("happy!!!!!!", 2.7 + 4 * 0.292),
+    ("happy !!!!!!", 2.7 + 4 * 0.292),
+    ("happy!!!", 2.7 + 3 * 0.292),
+    ("happy!!!!!!", 0.0),
     ("(good)", 0.0),
     ("no lexicon words", 0.0),
     ("", 0.0),
