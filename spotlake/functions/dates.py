@@ -10,30 +10,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ISO_DATE = "yyyy-MM-dd"
-DAY_FIRST_DATE = "dd/MM/yyyy"
 CLOCK = "HH:mm:ss"
 
-# Shapes are tested before parsing: a failed parse raises and catches an exception
-# inside Spark for every row, which costs far more than the pattern.
-_ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}$"
-_DAY_FIRST_SHAPE = r"^\d{1,2}/(0?[1-9]|1[0-2])/\d{4}$"
-_MONTH_FIRST_SHAPE = r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4}$"
-_CLOCK_SHAPE = r"^([01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d$"
-_CLOCK_READ = "H:m:s"
+# Lenient parsing checks the shape of a text with plain string functions and then
+# uses a cast: pattern formatters are several times slower, and a failed parse
+# inside them raises and catches an exception for every row.
+_DIGITS = "0123456789"
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _date_if(c: Column, shape: str, fmt: str) -> Column:
-    return F.when(c.rlike(shape), F.try_to_date(c, fmt))
+def _marks(c: Column) -> Column:
+    """What is left of a text without its digits."""
+    return F.translate(c, _DIGITS, "")
 
 
-def airing_timestamp(date_text: Column | str, time_text: Column | str, fmt: str = "dd/MM/yyyy HH:mm:ss") -> Column:
-    """Timestamp of one airing; NULL if either part is missing or unreadable."""
-    text = F.concat(_col(date_text), F.lit(" "), _col(time_text))
-    return F.when(F.length(text) == len(fmt), F.try_to_timestamp(text, F.lit(fmt)))
+def _part(c: Column, mark: str, n: int) -> Column:
+    return F.split_part(c, F.lit(mark), F.lit(n))
+
+
+def airing_timestamp(date_text: Column | str, time_text: Column | str) -> Column:
+    """Timestamp from `dd/MM/yyyy` and `HH:mm:ss`; NULL if either part is missing or unreadable."""
+    day, clock = _col(date_text), _col(time_text)
+    shaped = (F.length(day) == 10) & (F.length(clock) == 8) & (_marks(F.concat(day, clock)) == "//::")
+    iso = F.concat_ws("-", F.substring(day, 7, 4), F.substring(day, 4, 2), F.substring(day, 1, 2))
+    return F.when(shaped, F.concat_ws(" ", iso, clock).try_cast("timestamp"))
 
 
 def strict_date(text: Column | str, fmt: str = ISO_DATE) -> Column:
@@ -48,15 +51,20 @@ def mixed_date(text: Column | str, day_first: bool = True) -> Column:
     reading is tried before the day-first one.
     """
     c = _col(text)
-    readings = [_date_if(c, _ISO_SHAPE, "yyyy-M-d"), _date_if(c, _DAY_FIRST_SHAPE, "d/M/yyyy")]
+    first, second, year = (_part(c, "/", n) for n in (1, 2, 3))
+    slash = F.concat_ws("-", year, second, first).try_cast("date")
     if not day_first:
-        readings.insert(1, _date_if(c, _MONTH_FIRST_SHAPE, "M/d/yyyy"))
-    return F.coalesce(*readings)
+        slash = F.coalesce(F.concat_ws("-", year, first, second).try_cast("date"), slash)
+    marks = _marks(c)
+    return (
+        F.when((marks == "--") & (F.locate("-", c) == 5), c.try_cast("date"))
+        .when((marks == "//") & (F.length(year) == 4), slash)
+    )
 
 
 def _clock(text: Column | str) -> Column:
     c = _col(text)
-    return F.when(c.rlike(_CLOCK_SHAPE), F.try_to_timestamp(c, F.lit(_CLOCK_READ)))
+    return F.when(_marks(c) == "::", F.concat(F.lit("1970-01-01 "), c).try_cast("timestamp_ntz"))
 
 
 def clock_text(text: Column | str) -> Column:
@@ -72,7 +80,7 @@ def clock_hour(text: Column | str) -> Column:
 def standardize_datetime(df: DataFrame, date_col: str, time_col: str, day_first: bool = True) -> DataFrame:
     """Replace both columns by ISO date text and `HH:mm:ss` text; unreadable values become NULL."""
     return df.withColumns({
-        date_col: F.date_format(mixed_date(F.col(f"`{date_col}`"), day_first), ISO_DATE),
+        date_col: mixed_date(F.col(f"`{date_col}`"), day_first).cast("string"),
         time_col: clock_text(F.col(f"`{time_col}`")),
     })
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spotlake import schemas
-from spotlake.functions.dates import ISO_DATE, mixed_date, standardize_datetime, strict_date
+from spotlake.functions.dates import mixed_date, standardize_datetime, strict_date
 from spotlake.operators.columns import first_of_each_name, quoted, rename_columns
 from spotlake.operators.joins import remove_cross_duplicates
 from spotlake.operators.profile import summary_of_reports
@@ -22,14 +22,14 @@ REQ_DATE, REQ_TIME = "Fecha de transmisión del material", "Hora transmisión"
 def combine_excedentes(reports: DataFrame) -> DataFrame:
     """Excedentes with ISO date text; a date in another format fails the query."""
     return reports.withColumns({
-        DATE: F.date_format(strict_date(quoted(DATE)), ISO_DATE),
+        DATE: strict_date(quoted(DATE)).cast("string"),
         TIME: F.date_format(F.to_timestamp(quoted(TIME), "HH:mm:ss"), "HH:mm:ss"),
     })
 
 
 def combine_requerimientos(reports: DataFrame, day_first: bool = True) -> DataFrame:
     """Requerimientos with ISO date text, whichever way a date was written."""
-    return reports.withColumn(REQ_DATE, F.date_format(mixed_date(quoted(REQ_DATE), day_first), ISO_DATE))
+    return reports.withColumn(REQ_DATE, mixed_date(quoted(REQ_DATE), day_first).cast("string"))
 
 
 def sort_report(reports: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,7 +76,7 @@ def as_transmissions(unified: DataFrame) -> DataFrame:
     columns = [
         (F.col(c) if c in present else F.lit(None).cast("string").alias(c)) for c in schemas.TRANSMISSIONS_COLUMNS
     ]
-    at = F.try_to_timestamp(F.concat_ws(" ", "FECHA_TRANSMISION", "HORA_TRANSMISION"), F.lit("yyyy-MM-dd HH:mm:ss"))
+    at = F.concat(F.col("FECHA_TRANSMISION"), F.lit(" "), F.col("HORA_TRANSMISION")).try_cast("timestamp")
     return named.select(*columns).withColumn("Timestamp", at)
 
 
