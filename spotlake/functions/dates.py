@@ -12,31 +12,40 @@ from pyspark.sql import functions as F
 ISO_DATE = "yyyy-MM-dd"
 CLOCK = "HH:mm:ss"
 
-# Lenient parsing checks the shape of a text with plain string functions and then
-# uses a cast: pattern formatters are several times slower, and a failed parse
-# inside them raises and catches an exception for every row.
-_DIGITS = "0123456789"
+# Texts of the usual width are read with substrings and a cast; only other shapes
+# reach the pattern formatters. Those are slower, and a failed parse inside them
+# raises and catches an exception for every row, so a regular expression goes first.
+_ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}$"
+_DAY_FIRST_SHAPE = r"^\d{1,2}/(0?[1-9]|1[0-2])/\d{4}$"
+_MONTH_FIRST_SHAPE = r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4}$"
+_CLOCK_SHAPE = r"^([01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d$"
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _marks(c: Column) -> Column:
-    """What is left of a text without its digits."""
-    return F.translate(c, _DIGITS, "")
+def _framed(c: Column, width: int, marks: dict[int, str], digit_at: int) -> Column:
+    """Whether a text has this width, these characters at these places and a digit at one more."""
+    framed = (F.length(c) == width) & F.substring(c, digit_at, 1).between("0", "9")
+    for place, mark in marks.items():
+        framed = framed & (F.substring(c, place, 1) == mark)
+    return framed
 
 
-def _part(c: Column, mark: str, n: int) -> Column:
-    return F.split_part(c, F.lit(mark), F.lit(n))
+def _iso_from(c: Column, year: int, month: int, day: int) -> Column:
+    """`yyyy-MM-dd` from the places at which the parts of a text start."""
+    return F.concat(F.substring(c, year, 4), F.lit("-"), F.substring(c, month, 2), F.lit("-"), F.substring(c, day, 2))
+
+
+_SLASHES = {3: "/", 6: "/"}
 
 
 def airing_timestamp(date_text: Column | str, time_text: Column | str) -> Column:
     """Timestamp from `dd/MM/yyyy` and `HH:mm:ss`; NULL if either part is missing or unreadable."""
     day, clock = _col(date_text), _col(time_text)
-    shaped = (F.length(day) == 10) & (F.length(clock) == 8) & (_marks(F.concat(day, clock)) == "//::")
-    iso = F.concat_ws("-", F.substring(day, 7, 4), F.substring(day, 4, 2), F.substring(day, 1, 2))
-    return F.when(shaped, F.concat_ws(" ", iso, clock).try_cast("timestamp"))
+    shaped = _framed(day, 10, _SLASHES, 2) & _framed(clock, 8, {3: ":", 6: ":"}, 8)
+    return F.when(shaped, F.concat(_iso_from(day, 7, 4, 1), F.lit(" "), clock).try_cast("timestamp"))
 
 
 def strict_date(text: Column | str, fmt: str = ISO_DATE) -> Column:
@@ -51,25 +60,33 @@ def mixed_date(text: Column | str, day_first: bool = True) -> Column:
     reading is tried before the day-first one.
     """
     c = _col(text)
-    first, second, year = (_part(c, "/", n) for n in (1, 2, 3))
-    slash = F.concat_ws("-", year, second, first).try_cast("date")
+
+    def read(shape: str, fmt: str) -> Column:
+        return F.when(c.rlike(shape), F.try_to_date(c, fmt))
+
+    wide = _iso_from(c, 7, 4, 1).try_cast("date")
+    other = [read(_ISO_SHAPE, "yyyy-M-d"), read(_DAY_FIRST_SHAPE, "d/M/yyyy")]
     if not day_first:
-        slash = F.coalesce(F.concat_ws("-", year, first, second).try_cast("date"), slash)
-    marks = _marks(c)
+        wide = F.coalesce(_iso_from(c, 7, 1, 4).try_cast("date"), wide)
+        other.insert(1, read(_MONTH_FIRST_SHAPE, "M/d/yyyy"))
     return (
-        F.when((marks == "--") & (F.locate("-", c) == 5), c.try_cast("date"))
-        .when((marks == "//") & (F.length(year) == 4), slash)
+        F.when(_framed(c, 10, _SLASHES, 2), wide)
+        .when(_framed(c, 10, {5: "-", 8: "-"}, 10), c.try_cast("date"))
+        .otherwise(F.coalesce(*other))
     )
 
 
 def _clock(text: Column | str) -> Column:
     c = _col(text)
-    return F.when(_marks(c) == "::", F.concat(F.lit("1970-01-01 "), c).try_cast("timestamp_ntz"))
+    return F.when(c.rlike(_CLOCK_SHAPE), F.concat(F.lit("1970-01-01 "), c).try_cast("timestamp_ntz"))
 
 
 def clock_text(text: Column | str) -> Column:
     """Time of day as `HH:mm:ss` text, NULL if unreadable."""
-    return F.date_format(_clock(text), CLOCK)
+    c = _col(text)
+    usual = _framed(c, 8, {3: ":", 6: ":"}, 8)
+    valid = F.concat(F.lit("1970-01-01 "), c).try_cast("timestamp_ntz").isNotNull()
+    return F.when(usual, F.when(valid, c)).otherwise(F.date_format(_clock(c), CLOCK))
 
 
 def clock_hour(text: Column | str) -> Column:

@@ -16,39 +16,44 @@ from spotlake.operators.columns import quoted
 from spotlake.operators.sizing import fits_broadcast
 from spotlake.sources.scratch import materialise
 
-# A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are
-# fewer than HOT_SHARE hot keys whatever the data: that table is safe to broadcast.
-HOT_SHARE = 200
-HOT_SLICES = 32
 
+def _shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than 1/share of the rows (map-side counts, then one small shuffle)."""
+
+def hot_keys(df: DataFrame, keys: list[str], partitions: int) -> DataFrame:
+    """Keys with more rows than two average shuffle partitions, and the partitions each would fill in `_slices`.
+
+    Fewer than `partitions / 2` keys can be that large whatever the data, so the
+    result is safe to broadcast. Counts are taken map-side before one small shuffle.
+    """
     counts = df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
     # The total comes from the same counts, so both share one shuffle.
     total = counts.agg(F.sum("_n").alias("_t")).select("_t").scalar()
-    return counts.where(F.col("_n") * share > total).select(*[quoted(k) for k in keys])
+    share = F.col("_n") / total * partitions
+    return counts.where(share > 2).select(*[quoted(k) for k in keys], F.ceil(share).cast("int").alias("_slices"))
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str,
-    share: int = HOT_SHARE, slices: int = HOT_SLICES,
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, partitions: int | None = None
 ) -> DataFrame:
-    """Equi-join on same-named keys in which hot keys are cut into `slices` parts.
+    """Equi-join on same-named keys in which a hot key is cut into slices of average partition size.
 
     The slice of a hot left row comes from its contents and its map task, so equal
     rows spread as well and a task that is run again gives the same slices. The
     matching right rows are copied to every slice. Left rows with a NULL key match
     nothing and may go anywhere, so they are spread too.
     """
-    hot = F.broadcast(hot_keys(left, keys, share).withColumn("_hot", F.lit(True)))
+    partitions = partitions or _shuffle_partitions(left)
+    hot = F.broadcast(hot_keys(left, keys, partitions))
     hashable = [quoted(f.name) for f in left.schema.fields if not f.dataType.simpleString().startswith("map")]
-    spread = F.pmod(F.xxhash64(*hashable) + F.spark_partition_id(), F.lit(slices)).cast("int")
+    spread = F.xxhash64(*hashable) + F.spark_partition_id()
     no_key = reduce(lambda x, y: x | y, [quoted(k).isNull() for k in keys])
+    slices = F.when(no_key, F.lit(partitions)).otherwise(F.col("_slices"))
     sliced = left.join(hot, keys, "left").withColumn(
-        "_slice", F.when(F.col("_hot") | no_key, spread).otherwise(F.lit(0))).drop("_hot")
-    every_slice = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
-    copied = right.join(hot, keys, "left").withColumn("_slice", F.explode(every_slice)).drop("_hot")
+        "_slice", F.when(slices.isNotNull(), F.pmod(spread, slices)).otherwise(F.lit(0)).cast("int")).drop("_slices")
+    every_slice = F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)
+    copied = right.join(hot, keys, "left").withColumn("_slice", F.explode(every_slice)).drop("_slices")
     return sliced.join(copied, [*keys, "_slice"], how).drop("_slice")
 
 

@@ -25,6 +25,12 @@ def one(spark, text, expression):
     ("2023-11-05", False, "2023-11-05"),
     ("5/1/2023", True, "2023-01-05"),
     ("31/02/2023", True, None),
+    ("13/13/2023", False, None),
+    ("5T/11/2023", True, None),
+    ("2023-11-5T", True, None),
+    ("12023-1-05", True, None),
+    ("05-11-2023", True, None),
+    ("31/12/2023", False, "2023-12-31"),
     ("32/13/2023", False, None),
     ("S/D", True, None),
     ("", True, None),
@@ -38,6 +44,7 @@ def test_mixed_date(spark, text, day_first, expected):
 @pytest.mark.parametrize("text, clock, hour", [
     ("07:05:09", "07:05:09", 7), ("7:5:9", "07:05:09", 7), ("23:59:59", "23:59:59", 23),
     ("24:00:00", None, None), ("25:61:00", None, None), ("S/D", None, None), (None, None, None),
+    ("07:05:0x", None, None), ("07:05", None, None), ("aa:bb:c1", None, None),
 ])
 def test_clock(spark, text, clock, hour):
     assert one(spark, text, D.clock_text("t")) == clock
