@@ -16,6 +16,7 @@ from spotlake.sources.scratch import materialise
 SKETCH = 10000
 MARGIN = 4.0 / SKETCH
 # Groups up to this size use all their values, so small groups never depend on the sketch.
+# If all groups are that small, Spark's own exact percentile holds them in memory.
 WHOLE_GROUP = 10 * SKETCH
 # Bracketed values of one group that a single task may sort.
 WINDOW_ROWS = 5_000_000
@@ -70,14 +71,19 @@ def exact_quantiles(
 ) -> DataFrame:
     """Per group: n and one column `q0, q1, ...` per probability, linearly interpolated.
 
-    A sketch first brackets each quantile. The second pass counts values inside
+    A sketch first brackets each quantile. For large groups the second pass counts values inside
     the brackets one by one and all others as a handful of gap totals, with
     partial counts before the shuffle, so a group costs a small part of its rows
     however large it is. A quantile outside its bracket would fail the query.
     """
     brackets = materialise(_brackets(df, group, value, probs), "brackets")
+    largest = brackets.agg(F.max("_n")).first()[0] or 0
     x = F.col("_x")
     slim = df.select(quoted(group), quoted(value).cast("double").alias("_x")).where(x.isNotNull())
+    if largest <= WHOLE_GROUP:
+        whole = slim.where(quoted(group).isNotNull()).groupBy(quoted(group)).agg(
+            F.count(F.lit(1)).alias("n"), F.percentile("_x", F.array(*[F.lit(p) for p in probs])).alias("_q"))
+        return whole.select(quoted(group), "n", *[F.col("_q")[j].alias(f"q{j}") for j in range(len(probs))])
     joined = balanced_join(slim, brackets, [group], "inner")
     inside = reduce(lambda a, b: a | b, [x.between(F.col(f"_lo{j}"), F.col(f"_hi{j}")) for j in range(len(probs))])
     # A value between brackets is counted at the bracket end below it, right after that end.
@@ -87,8 +93,7 @@ def exact_quantiles(
         F.when(inside, x).otherwise(below).alias("_at"),
         (~inside).alias("_gap"),
     ).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
-    largest = brackets.agg(F.max("_n")).first()[0] or 0
-    bracketed = largest if largest <= WHOLE_GROUP else 2 * MARGIN * len(probs) * largest
+    bracketed = 2 * MARGIN * len(probs) * largest
     ranked = (_running_counts if bracketed <= window_rows else _running_counts_by_range)(cells, group)
 
     def order_statistic(rank: Column) -> Column:
