@@ -50,8 +50,10 @@ def _json(spark, d):
 @query("json_append_new", "SELECT c_custkey AS key, c_name AS name FROM customer")
 def _json_append(spark, d):
     path = scratch_path(spark, "json")
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
-    writers.append_new_json(rows.where(F.col("name").endswith("7")), path, "key")
+    customers = table(spark, d, "customer")
+    columns = [F.col("c_custkey").alias("key"), F.col("c_name").alias("name")]
+    rows = customers.select(*columns)
+    writers.append_new_json(customers.where(F.col("c_mktsegment") == "BUILDING").select(*columns), path, "key")
     writers.append_new_json(rows, path, "key")
     return spark.read.schema(rows.schema).json(path)
 

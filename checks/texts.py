@@ -8,7 +8,7 @@ from checks.registry import query
 from checks.reports import BOX_COLUMNS, rounded
 from checks.tables import english_stop_words, sql_list, table
 from spotlake.functions.text import is_content_word, stop_words, word_tokens
-from spotlake.operators.aggregates import accuracy, histogram, top_words, word_frequencies
+from spotlake.operators.aggregates import accuracy, top_words, word_frequencies
 from spotlake.operators.features import document_frequencies, term_counts, tfidf, top_terms
 from spotlake.operators.nested import flatten_catalogue
 from spotlake.operators.sentiment import custom_scores, rule_scores, valence_scores
@@ -68,9 +68,8 @@ def _flatten(spark, d):
     path = scratch_path(spark, "catalogue")
     catalogue_lines(spark, d).write.text(path)
     flat = P.work_list(read_catalogue(spark, path, whole_files=False), ignored_actors=["de"])
-    targets = P.downloads(flat).select("folio", "target")
-    return flat.select("entry_pos", "party_pos", "spot_pos", "key", "partido", "nombre", "directorio", "folio", "cautelar").join(
-        targets, "folio")
+    return P.with_download_paths(flat).select(
+        "entry_pos", "party_pos", "spot_pos", "key", "partido", "nombre", "directorio", "folio", "cautelar", "target")
 
 
 @query("order_index", r"""

@@ -32,10 +32,15 @@ def extend_records(existing: DataFrame, flat: DataFrame, transcripts: DataFrame,
     return append_all(existing, fresh) if repeat else append_new(existing, fresh, "titulo")
 
 
+def with_download_paths(flat: DataFrame, base: str = "audios") -> DataFrame:
+    """Flattened rows with `target`, where the spot file goes, and `audio`, where its audio track belongs."""
+    rows = flat.withColumn("target", F.concat_ws("/", "directorio", file_name("folio")))
+    return rows.withColumn("audio", audio_path("target", base))
+
+
 def downloads(flat: DataFrame, base: str = "audios") -> DataFrame:
-    """(folio, target, audio): where each spot file goes and where its audio track belongs."""
-    target = F.concat_ws("/", "directorio", file_name("folio"))
-    return flat.select("folio", target.alias("target"), audio_path(target, base).alias("audio"))
+    """(folio, target, audio) of the spots that have a file."""
+    return with_download_paths(flat.where(F.col("folio").isNotNull()), base).select("folio", "target", "audio")
 
 
 def pending_audio(listing: DataFrame, index: DataFrame, only_ids: DataFrame | None = None) -> DataFrame:
