@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query
 from checks.reports import BOX_COLUMNS, rounded
-from checks.tables import english_stop_words, sql_list, table
+from checks.tables import ENGLISH_STOP_WORDS, sql_list, table
 from spotlake.functions.text import is_content_word, stop_words, word_tokens
 from spotlake.operators.aggregates import accuracy, top_words, word_frequencies
 from spotlake.operators.features import document_frequencies, term_counts, tfidf, top_terms
@@ -18,7 +18,7 @@ from spotlake.plans import reports as R
 from spotlake.sources.readers import read_catalogue
 from spotlake.sources.scratch import materialise, scratch_path
 
-_STOP = sql_list(english_stop_words())
+_STOP = sql_list(ENGLISH_STOP_WORDS)
 
 
 def catalogue_lines(spark, d):
