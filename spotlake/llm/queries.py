@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlake.llm import exact_dedup, mixing, quality, simhash
+from spotlake.llm import exact_dedup, mixing, pii, quality, simhash
 from spotlake.llm.common import table
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data of every document."""
+    return pii.personal_data(table(spark, folder, "documents")).drop("row", "span_list")
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words the mix takes of each document."""
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -30,6 +35,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
