@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlake.llm import exact_dedup, mixing, pii, quality, simhash
+from spotlake.llm import exact_dedup, language, mixing, pii, quality, simhash
 from spotlake.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(table(spark, folder, "documents")).drop("row", "span_list")
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document."""
+    return language.languages(table(spark, folder, "documents"))
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words the mix takes of each document."""
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -36,6 +41,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_language": op2_language,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
