@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlake.llm import exact_dedup, language, mixing, pii, quality, simhash
+from spotlake.llm import exact_dedup, language, mixing, pii, quality, simhash, toxicity
 from spotlake.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.languages(table(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words the mix takes of each document."""
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -42,6 +47,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_language": op2_language,
+    "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
