@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlake.llm import exact_dedup, language, mixing, pii, quality, simhash, toxicity
+from spotlake.llm import exact_dedup, language, mixing, pii, quality, simhash, toxicity, warc
 from spotlake.llm.common import table
 
 
@@ -39,6 +39,11 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents")).drop("row")
 
 
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as its archive record reads."""
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its fingerprint and component."""
     return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
@@ -51,6 +56,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
 }
 
@@ -148,4 +154,15 @@ ORACLES = {
             NOT (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words)
                 AND n_removed_words <= {quality.MAX_REMOVED} * n_words AS kept
         FROM judged""",
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+                max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keep,
+                row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS n
+            FROM pages
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN payload_bytes >= 1000 AND n > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND n > 1 THEN keep END AS refers_to
+        FROM p""",
 }
