@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlake.llm import exact_dedup, language, mixing, pii, quality, simhash, toxicity, warc
+from spotlake.llm import exact_dedup, language, mixing, packing, pii, quality, simhash, toxicity, warc
 from spotlake.llm.common import table
 
+# The vocabulary of byte_bpe_50k.json as ranks: the same ids, several times as fast.
+RANKS = "byte_bpe_50k.tiktoken"
+
 
 def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of personal data of every document."""
@@ -49,6 +53,11 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_language": op2_language,
@@ -58,6 +67,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
+    "op10_packing": op10_packing,
 }
 
 _SIZE_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
