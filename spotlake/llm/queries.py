@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlake.llm import exact_dedup, language, mixing, packing, pii, quality, simhash, toxicity, warc
+from spotlake.llm import exact_dedup, language, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
 from spotlake.llm.common import table
 
 # The vocabulary of byte_bpe_50k.json as ranks: the same ids, several times as fast.
@@ -43,6 +43,11 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents")).drop("row")
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without repeated passages."""
+    return suffix_dedup.without_repeats(table(spark, folder, "documents")).drop("removed")
+
+
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     """Every page as its archive record reads."""
     return warc.round_trip(table(spark, folder, "pages"))
@@ -65,6 +70,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
