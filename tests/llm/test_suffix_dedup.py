@@ -69,7 +69,7 @@ def test_small_table(spark):
 
 
 def test_null_and_repeated_ids(spark):
-    passage = "".join(random.Random(1).choice("abcdefgh ") for _ in range(300))
+    passage = "".join(random.Random(1).choices("abcdefgh ", k=300))
     docs = spark.createDataFrame([(None, passage), (2, passage), (2, passage), (1, "z"), (None, None)], "doc_id long, text string")
     rows = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in without_repeats(docs).collect())
     assert rows == [("1", 1, 0), ("2", 300, 0), ("2", 300, 300), ("None", 0, 0), ("None", 300, 300)]
