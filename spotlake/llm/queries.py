@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from spotlake.llm import exact_dedup, language, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
 from spotlake.llm.common import table
 
@@ -74,6 +75,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 _SIZE_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"

@@ -1,0 +1,17 @@
+"""Helpers of the operator tests."""
+
+from __future__ import annotations
+
+import pytest
+
+WORD_SPLIT = "\x20\x09\x0a\x0b\x0c\x0d"
+
+
+def words_of(text):
+    """Words between ASCII white space."""
+    return [w.decode() for w in (text or "").encode().split()]
+
+
+@pytest.fixture(scope="session")
+def words():
+    return words_of
