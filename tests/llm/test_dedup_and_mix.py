@@ -166,7 +166,7 @@ def test_targets_stop_at_the_cap(spark):
 # Quality rules
 
 def test_lines_that_a_host_repeats(spark):
-    own = [f"line {chr(97 + i % 26)}{chr(97 + i // 26)} of this page with some more words of its own here" for i in range(60)]
+    own = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}word{chr(97 + k)}" for k in range(15)) for i in range(60)]
     menu = " ".join(f"menu{a}{b}" for a in "abc" for b in "abcdefghijklmnopqrstuvwxyz")
     full = "\n".join(own[:6])
     rows = [(i, f"{menu} {i}\n{own[i + 10]}\n{own[i + 11]}\n", "host", None) for i in range(30)]
