@@ -6,13 +6,13 @@ one anchor inside it, the leftmost place at which a hash of the next `GRAM`
 bytes is least, so equal windows have their anchors at the same offset. Only
 suffixes that start at anchors are sorted; an anchor stands for a run of windows.
 
-1. The hashes at the anchors are range-partitioned by sampled splitters and
-   sorted; an anchor whose neighbours differ has no twin and is done with.
-2. The suffixes at the other anchors, followed by the bytes before them, are
-   range-partitioned by their leading bytes and sorted. A suffix equal to the one
-   before it in order repeats it with all its windows. What differs somewhere
-   remains, if other suffixes start with the same gram or it lies at the edge of
-   a bucket.
+1. The hashes at the anchors are counted; an anchor whose hash occurs once has
+   no twin and is done with.
+2. The suffixes at the other anchors, with the bytes of their windows before
+   them, are dealt into ranges of leading bytes by sampled splitters and sorted
+   there. A suffix equal to the one before it in order repeats all its windows.
+   What differs somewhere remains, if other suffixes start with the same gram or
+   it lies at the edge of a bucket.
 3. These meet again by gram alone, across the boundaries of the buckets. Their
    windows are compared by multikey sorting, eight bytes at a time, first place
    first. Grams with more than `crowd` different suffixes send windows, not
@@ -29,6 +29,7 @@ long texts are read in pieces that overlap by `length`.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from hashlib import sha256
 
 import numpy as np
@@ -45,6 +46,8 @@ LENGTH = 100
 GRAM = 24
 CROWD = 20_000
 BUCKET_ROWS = 40_000
+BUCKET_SUFFIXES = 200_000
+SAMPLED = 64
 _SEGMENT = 1 << 20
 _BATCH = 1 << 21
 _PLACE = np.uint64((1 << 22) - 1)
@@ -125,33 +128,54 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialise(spread.withColumn("row", F.monotonically_increasing_id()), "in-order")
 
 
+def _grouped(hashes: np.ndarray, pairs: np.ndarray) -> pa.RecordBatch:
+    """One row per hash with all its pairs (row, place) as bytes."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, pairs = hashes[order], np.ascontiguousarray(pairs[order])
+    starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    offsets = (16 * np.append(starts, len(hashes))).astype(np.int32)
+    at = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(pairs)])
+    return _rows(hash=hashes[starts], at=at)
+
+
 def repeated_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """`row`, `place` of every anchor whose hash occurs again, and of some whose hash does not."""
+    """`row`, `place` of every anchor whose hash occurs again.
+
+    A batch of texts sends each hash once, with all its places, so a hash that
+    fills the corpus is a row per batch.
+    """
     def emit(batches):
         for batch in batches:
             rows = batch.column(0).to_numpy()
-            for number, place, _, _, hashes in anchors([t.as_py().encode("utf-8", "replace") for t in batch.column(1)], length):
-                yield _rows(hash=hashes, row=rows[number], place=place)
+            found = [(hashes, np.stack((rows[number], place), axis=1)) for number, place, _, _, hashes in anchors(
+                [t.as_py().encode("utf-8", "replace") for t in batch.column(1)], length)]
+            if found:
+                yield _grouped(*map(np.concatenate, zip(*found)))
 
     def twins(batches):
-        # In order of hash. The first and the last of a bucket may have their twins in the next one.
-        kept, kept_flag = np.zeros((3, 0), np.int64), True
+        # In order of hash; a row is held back until the next one is known.
+        held, held_flag = None, False
         for batch in batches:
-            rows = np.concatenate((kept, np.array([c.to_numpy() for c in batch.columns])), axis=1)
-            if not rows.shape[1]:
+            if not batch.num_rows:
                 continue
-            flag = np.zeros(rows.shape[1], bool)
-            same = rows[0, 1:] == rows[0, :-1]
-            flag[1:] |= same
-            flag[:-1] |= same
-            flag[0] |= kept_flag
-            kept, kept_flag = rows[:, -1:], flag[-1]
-            yield _rows(row=rows[1, :-1][flag[:-1]], place=rows[2, :-1][flag[:-1]])
-        yield _rows(row=kept[1], place=kept[2])
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            hashes = table["hash"].to_numpy()
+            flag = pc.greater(pc.binary_length(table["at"]), 16).to_numpy()
+            same = hashes[1:] == hashes[:-1]
+            flag = flag | np.append(same, False) | np.insert(same, 0, False)
+            flag[0] |= held_flag
+            held, held_flag = table.slice(table.num_rows - 1), bool(flag[-1])
+            yield pairs(table.slice(0, table.num_rows - 1), flag[:-1])
+        if held is not None:
+            yield pairs(held, np.array([held_flag]))
+
+    def pairs(table, flag):
+        found = np.frombuffer(b"".join(table["at"].filter(pa.array(flag)).to_pylist()), np.int64).reshape(-1, 2)
+        return _rows(row=found[:, 0].copy(), place=found[:, 1].copy())
 
-    found = texts.select("row", "text").mapInArrow(emit, "hash long, row long, place long")
-    order = ["hash", "row", "place"]
-    return found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(twins, "row long, place long")
+    found = texts.select("row", "text").mapInArrow(emit, "hash long, at binary")
+    return found.repartition("hash").sortWithinPartitions("hash").mapInArrow(twins, "row long, place long")
 
 
 def packed_with(texts: DataFrame, places: DataFrame) -> DataFrame:
@@ -165,35 +189,65 @@ def packed_with(texts: DataFrame, places: DataFrame) -> DataFrame:
     return materialise(small.join(places.groupBy("row").agg(F.collect_list("place").alias("places")), "row"), "bodies")
 
 
+_SUFFIX = "suffix binary, before binary, low long, high long, row long, place long"
+_ORDER = ["suffix", "before", "low", "high", "row", "place"]
+_KEY = 48
+
+
+def _suffix_rows(batch: pa.RecordBatch, length: int):
+    """Of the documents of a batch: each repeated anchor's bytes to both sides, its windows, its row and place."""
+    unpack = zstandard.ZstdDecompressor()
+    rows = batch.column(0).to_numpy()
+    texts = [unpack.decompress(b.as_py()) for b in batch.column(1)]
+    wanted = [np.asarray(p.values, np.int64) for p in batch.column(2)]
+    for number, place, first, last, _ in anchors(texts, length):
+        keep = np.zeros(len(place), bool)
+        for n in np.unique(number):
+            of = slice(*np.searchsorted(number, (n, n + 1)))
+            keep[of] = np.isin(place[of], wanted[n])
+        number, place, first, last = number[keep], place[keep], first[keep], last[keep]
+        at = list(zip(number.tolist(), first.tolist(), place.tolist(), (last + length).tolist()))
+        yield [texts[n][p:b] for n, _, p, b in at], [texts[n][a:p] for n, a, p, _ in at], place - last, place - first, rows[number], place
+
+
+def _keys(suffix: list[bytes], rows: np.ndarray) -> list[bytes]:
+    """Leading bytes, then the row, which parts even copies of one suffix."""
+    tails = (rows.astype(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").tobytes()
+    return [s[:_KEY] + tails[8 * i:8 * i + 8] for i, s in enumerate(suffix)]
+
+
+def splitters(bodies: DataFrame, length: int) -> list[bytes]:
+    """Keys that part the suffixes into buckets of about equal size, from a sample of SAMPLED keys per bucket."""
+    total = bodies.agg(F.sum(F.size("places"))).first()[0] or 0
+    buckets = max(int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_SUFFIXES))
+    share = min(1.0, SAMPLED * buckets / max(1, total))
+
+    def sample(batches):
+        for batch in batches:
+            for suffix, _, _, _, rows, _ in _suffix_rows(batch, length):
+                yield _rows(key=pa.array(_keys(suffix, rows), pa.binary()))
+
+    drawn = bodies.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).mapInArrow(sample, "key binary")
+    keys = sorted(bytes(r["key"]) for r in drawn.collect())
+    return [keys[i * len(keys) // buckets] for i in range(1, buckets)] if keys else []
+
+
 def suffixes(bodies: DataFrame, length: int) -> DataFrame:
-    """The suffix at each repeated anchor, cut to `length`, with the bytes before it that its windows can hold.
+    """The suffix at each repeated anchor to the end of its last window, with the bytes before it from its first window on.
 
-    Its windows start `low` to `high` bytes before it.
+    Its windows start `low` to `high` bytes before it. Rows are dealt into buckets by leading bytes, and sorted there.
     """
-    reach = length - GRAM
+    cuts = splitters(bodies, length)
 
     def emit(batches):
-        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = batch.column(0).to_numpy()
-            texts = [unpack.decompress(b.as_py()) for b in batch.column(1)]
-            wanted = [np.asarray(p.values, np.int64) for p in batch.column(2)]
-            for number, place, first, last, _ in anchors(texts, length):
-                keep = np.zeros(len(place), bool)
-                for n in np.unique(number):
-                    of = slice(*np.searchsorted(number, (n, n + 1)))
-                    keep[of] = np.isin(place[of], wanted[n])
-                number, place, first, last = number[keep], place[keep], first[keep], last[keep]
-                at = list(zip(number.tolist(), place.tolist()))
-                yield _rows(suffix=pa.array([texts[n][p:p + length] for n, p in at], pa.binary()),
-                            before=pa.array([texts[n][max(0, p - reach):p] for n, p in at], pa.binary()),
-                            low=(place - last), high=(place - first), row=rows[number], place=place)
-
-    return bodies.mapInArrow(emit, _SUFFIX)
-
+            for suffix, before, low, high, rows, place in _suffix_rows(batch, length):
+                bucket = np.fromiter((bisect_right(cuts, k) for k in _keys(suffix, rows)), np.int32, len(suffix))
+                yield _rows(bucket=bucket, suffix=pa.array(suffix, pa.binary()), before=pa.array(before, pa.binary()),
+                            low=low, high=high, row=rows, place=place)
 
-_SUFFIX = "suffix binary, before binary, low long, high long, row long, place long"
-_ORDER = ["suffix", "before", "low", "high", "row", "place"]
+    dealt = bodies.mapInArrow(emit, "bucket int, " + _SUFFIX).repartitionById(len(cuts) + 1, "bucket")
+    return dealt.select(*_ORDER).sortWithinPartitions(*_ORDER)
 
 
 def neighbours(found: DataFrame, length: int) -> DataFrame:
@@ -221,16 +275,15 @@ def neighbours(found: DataFrame, length: int) -> DataFrame:
                 continue
             gram = pc.binary_slice(others["suffix"].combine_chunks(), 0, GRAM)
             same = pc.equal(gram.slice(0, len(gram) - 1), gram.slice(1)).to_numpy(zero_copy_only=False)
-            flag = np.zeros(others.num_rows, bool)
-            flag[1:] |= same
-            flag[:-1] |= same
+            flag = np.append(same, False) | np.insert(same, 0, False)
             flag[0] |= kept_flag
             kept, kept_flag = others.slice(others.num_rows - 1), bool(flag[-1])
             yield _judged(others.slice(0, others.num_rows - 1).filter(pa.array(flag[:-1])))
+        # The first and the last of a bucket may have others of their gram in the next bucket.
         if kept is not None:
             yield _judged(kept)
 
-    return found.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).mapInArrow(compare, _SUFFIX + ", start long, end long")
+    return found.mapInArrow(compare, _SUFFIX + ", start long, end long")
 
 
 def _judged(table: pa.Table, start=None, end=None) -> pa.RecordBatch:
