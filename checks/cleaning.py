@@ -196,23 +196,32 @@ def _dates(spark, d):
 
 
 def texts_of_dates(spark, d):
-    """Order dates written in two ways, one part unreadable, and times of day."""
+    """Order dates in the notations reports use, one part unreadable, and times of day."""
+    when, kind, status = F.col("o_orderdate"), F.col("o_orderpriority"), F.col("o_orderstatus")
     return table(spark, d, "orders").select(
         "o_orderkey",
-        F.when(F.col("o_orderpriority") == "5-LOW", F.lit("S/D"))
-        .when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM-dd"))
-        .otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("fecha"),
-        F.when(F.col("o_orderstatus") == "O", F.lit("25:61:00"))
-        .when(F.col("o_orderstatus") == "F", F.lit("07:08:09")).otherwise(F.lit("23:59:58")).alias("hora"),
+        F.when(kind == "5-LOW", F.lit("S/D"))
+        .when(kind == "2-HIGH", F.date_format(when, "yyyy-MM-dd'T07:00:00'"))
+        .when(kind == "3-MEDIUM", F.date_format(when, "dd-MM-yyyy"))
+        .when(kind == "4-NOT SPECIFIED", F.date_format(when, "' 'yyyy/MM/dd' '"))
+        .when(status == "F", F.date_format(when, "yyyy-MM-dd"))
+        .when(status == "P", F.date_format(when, "dd/MM/yy"))
+        .otherwise(F.date_format(when, "dd/MM/yyyy")).alias("fecha"),
+        F.when(status == "O", F.lit("25:61:00")).when(status == "F", F.lit("07:08:09"))
+        .otherwise(F.lit("1900-01-01 23:59")).alias("hora"),
     )
 
 
 _TEXTS_SQL = """
     t AS (
-        SELECT o_orderkey,
-            CASE WHEN o_orderpriority = '5-LOW' THEN 'S/D' WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%Y-%m-%d')
-                 ELSE strftime(o_orderdate, '%d/%m/%Y') END AS fecha,
-            CASE o_orderstatus WHEN 'O' THEN '25:61:00' WHEN 'F' THEN '07:08:09' ELSE '23:59:58' END AS hora
+        SELECT o_orderkey, o_orderdate AS d,
+            CASE o_orderpriority WHEN '5-LOW' THEN 'S/D' WHEN '2-HIGH' THEN strftime(o_orderdate, '%Y-%m-%dT07:00:00')
+                WHEN '3-MEDIUM' THEN strftime(o_orderdate, '%d-%m-%Y') WHEN '4-NOT SPECIFIED' THEN strftime(o_orderdate, ' %Y/%m/%d ')
+                ELSE CASE o_orderstatus WHEN 'F' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 'P' THEN strftime(o_orderdate, '%d/%m/%y')
+                    ELSE strftime(o_orderdate, '%d/%m/%Y') END END AS fecha,
+            CASE o_orderstatus WHEN 'O' THEN '25:61:00' WHEN 'F' THEN '07:08:09' ELSE '1900-01-01 23:59' END AS hora,
+            -- Day and month can be taken for each other.
+            o_orderpriority = '3-MEDIUM' OR (o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F') AS open
         FROM orders
     )"""
 
@@ -226,10 +235,9 @@ def _parse_ts(spark, d):
 
 
 @query("parse_mixed_dates", f"""
-    WITH {_TEXTS_SQL} SELECT o_orderkey,
-        strftime(coalesce(try_strptime(fecha, '%Y-%m-%d'), try_strptime(fecha, '%d/%m/%Y')), '%Y-%m-%d') AS day_first,
-        strftime(coalesce(try_strptime(fecha, '%Y-%m-%d'), try_strptime(fecha, '%m/%d/%Y'),
-            try_strptime(fecha, '%d/%m/%Y')), '%Y-%m-%d') AS month_first
+    WITH {_TEXTS_SQL} SELECT o_orderkey, CASE WHEN fecha <> 'S/D' THEN strftime(d, '%Y-%m-%d') END AS day_first,
+        CASE WHEN fecha = 'S/D' THEN NULL WHEN open AND day(d) <= 12 THEN strftime(d, '%Y-%d-%m')
+            ELSE strftime(d, '%Y-%m-%d') END AS month_first
     FROM t""")
 def _parse_mixed(spark, d):
     iso = "yyyy-MM-dd"
@@ -239,9 +247,9 @@ def _parse_mixed(spark, d):
 
 
 @query("standardize_datetime", f"""
-    WITH {_TEXTS_SQL} SELECT o_orderkey,
-        strftime(coalesce(try_strptime(fecha, '%Y-%m-%d'), try_strptime(fecha, '%d/%m/%Y')), '%Y-%m-%d') AS fecha,
-        strftime(try_strptime(hora, '%H:%M:%S'), '%H:%M:%S') AS hora, CAST(hour(try_strptime(hora, '%H:%M:%S')) AS INTEGER) AS h
+    WITH {_TEXTS_SQL} SELECT o_orderkey, CASE WHEN fecha <> 'S/D' THEN strftime(d, '%Y-%m-%d') END AS fecha,
+        CASE hora WHEN '07:08:09' THEN hora WHEN '1900-01-01 23:59' THEN '23:59:00' END AS hora,
+        CASE hora WHEN '07:08:09' THEN 7 WHEN '1900-01-01 23:59' THEN 23 END AS h
     FROM t""")
 def _standardize(spark, d):
     rows = texts_of_dates(spark, d).withColumn("h", D.clock_hour("hora"))

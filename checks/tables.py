@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlake.operators.joins import balanced_join
 from spotlake.plans.reports import Airings
 
 
@@ -22,7 +21,7 @@ def located(spark: SparkSession, folder: str, fact: str, party_table: str, fact_
     """Fact rows with the nation name of the customer or supplier they point to."""
     nation = table(spark, folder, "nation").select(F.col("n_nationkey").alias(nation_key), "n_name")
     facts = table(spark, folder, fact).withColumnRenamed(fact_key, party_key)
-    return balanced_join(balanced_join(facts, table(spark, folder, party_table), [party_key]), nation, [nation_key])
+    return facts.join(table(spark, folder, party_table), party_key).join(nation, nation_key)
 
 
 def airings(spark: SparkSession, folder: str) -> Airings:
@@ -114,7 +113,7 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """documents with their label, which many lack."""
     labels = table(spark, folder, "labels").select(
         "doc_id", F.col("quality").cast("string").alias("quality"), F.col("toxic").cast("string").alias("toxic"))
-    return balanced_join(table(spark, folder, "documents"), labels, ["doc_id"], "left")
+    return table(spark, folder, "documents").join(labels, "doc_id", "left")
 
 
 LABELLED_SQL = """

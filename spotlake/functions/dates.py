@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 ISO_DATE = "yyyy-MM-dd"
 CLOCK = "HH:mm:ss"
 
-# Texts of the usual width are read with substrings and a cast; only other shapes
-# reach the pattern formatters. Those are slower, and a failed parse inside them
-# raises and catches an exception for every row, so a regular expression goes first.
-_ISO_SHAPE = r"^\d{4}-\d{1,2}-\d{1,2}$"
-_DAY_FIRST_SHAPE = r"^\d{1,2}/(0?[1-9]|1[0-2])/\d{4}$"
-_MONTH_FIRST_SHAPE = r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4}$"
-_CLOCK_SHAPE = r"^([01]?\d|2[0-3]):[0-5]?\d:[0-5]?\d$"
+# Texts of the usual width are read with substrings and a cast; only other shapes reach
+# these patterns: year, month, day, or two numbers and a year, then perhaps a time of day.
+_TIME = r"(?:[T ]+[0-9]{1,2}:[0-9]{1,2}(?::[0-9]{1,2}(?:[.][0-9]+)?)?)?"
+_YEAR_FIRST = rf"^([0-9]{{4}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{1,2}}){_TIME}$"
+_YEAR_LAST = rf"^([0-9]{{1,2}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{4}}|[0-9]{{2}}){_TIME}$"
+_CLOCK = r"^(?:[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}[T ]+)?([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2})(?:[.][0-9]+)?)?$"
+# Two-digit years from here on belong to the last century.
+_CENTURY = 69
 
 
 def _col(c: Column | str) -> Column:
@@ -53,36 +54,52 @@ def strict_date(text: Column | str, fmt: str = ISO_DATE) -> Column:
     return F.to_date(_col(text), fmt)
 
 
-def mixed_date(text: Column | str, day_first: bool = True) -> Column:
-    """Date from ISO or slash text, NULL if neither reading is valid.
+def mixed_date(text: Column | str, day_first: bool = True, strict: bool = False) -> Column:
+    """Date from text in any usual notation, NULL if no reading is valid.
 
-    Slash dates are read day-first. With `day_first=False` the month-first
-    reading is tried before the day-first one.
+    Year, month, day, or day, month, year, parted by `-`, `/` or `.`; the year may
+    have two digits, a time of day may follow, blanks around do not matter. With
+    `day_first=False` the month-first reading is tried before the day-first one.
+    With `strict` text that has no valid reading fails the query.
     """
-    c = _col(text)
+    c = F.trim(_col(text))
+
+    def part(shape: str, i: int) -> Column:
+        return F.regexp_extract(c, shape, i)
 
-    def read(shape: str, fmt: str) -> Column:
-        return F.when(c.rlike(shape), F.try_to_date(c, fmt))
+    def built(year: Column, month: Column, day: Column) -> Column:
+        return F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date")
 
+    last = part(_YEAR_LAST, 3)
+    short = F.concat(F.when(last >= str(_CENTURY), F.lit("19")).otherwise(F.lit("20")), last)
+    year = F.when(F.length(last) == 2, short).otherwise(last)
     wide = _iso_from(c, 7, 4, 1).try_cast("date")
-    other = [read(_ISO_SHAPE, "yyyy-M-d"), read(_DAY_FIRST_SHAPE, "d/M/yyyy")]
+    orders = [built(year, part(_YEAR_LAST, 2), part(_YEAR_LAST, 1))]
     if not day_first:
         wide = F.coalesce(_iso_from(c, 7, 1, 4).try_cast("date"), wide)
-        other.insert(1, read(_MONTH_FIRST_SHAPE, "M/d/yyyy"))
-    return (
+        orders.insert(0, built(year, part(_YEAR_LAST, 1), part(_YEAR_LAST, 2)))
+    read = (
         F.when(_framed(c, 10, _SLASHES, 2), wide)
         .when(_framed(c, 10, {5: "-", 8: "-"}, 10), c.try_cast("date"))
-        .otherwise(F.coalesce(*other))
+        .when(c.rlike(_YEAR_FIRST), built(*(part(_YEAR_FIRST, i) for i in (1, 2, 3))))
+        .when(c.rlike(_YEAR_LAST), F.coalesce(*orders))
     )
+    if not strict:
+        return read
+    wrong = F.raise_error(F.concat(F.lit("not a date: "), _col(text))).cast("date")
+    return F.when(_col(text).isNotNull() & read.isNull(), wrong).otherwise(read)
 
 
 def _clock(text: Column | str) -> Column:
-    c = _col(text)
-    return F.when(c.rlike(_CLOCK_SHAPE), F.concat(F.lit("1970-01-01 "), c).try_cast("timestamp_ntz"))
+    c = F.trim(_col(text))
+    parts = [F.regexp_extract(c, _CLOCK, i) for i in (1, 2, 3)]
+    seconds = F.when(parts[2] == "", F.lit("0")).otherwise(parts[2])
+    return F.when(c.rlike(_CLOCK), F.concat(
+        F.lit("1970-01-01 "), parts[0], F.lit(":"), parts[1], F.lit(":"), seconds).try_cast("timestamp_ntz"))
 
 
 def clock_text(text: Column | str) -> Column:
-    """Time of day as `HH:mm:ss` text, NULL if unreadable."""
+    """Time of day as `HH:mm:ss` text, NULL if unreadable; seconds may be missing and a date may precede."""
     c = _col(text)
     usual = _framed(c, 8, {3: ":", 6: ":"}, 8)
     valid = F.concat(F.lit("1970-01-01 "), c).try_cast("timestamp_ntz").isNotNull()
@@ -103,6 +120,7 @@ def standardize_datetime(df: DataFrame, date_col: str, time_col: str, day_first:
 
 
 def _date_parts(days: DataFrame) -> DataFrame:
+    # The column names of the date table.
     return days.selectExpr(
         "date",
         "year(date) AS year",

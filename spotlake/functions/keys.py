@@ -6,21 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Strings above this many bytes travel through shuffles as a 256-bit digest.
-DIGEST_OVER_BYTES = 64
-
 
 def compact_text(c: Column) -> Column:
-    """Equal for equal strings, at most 65 bytes long.
-
-    Long values become `#` plus 64 hex digits, which is longer than any value
-    kept as it is, so a digest never meets a literal value.
-    """
-    return F.when(F.octet_length(c) > DIGEST_OVER_BYTES, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)
+    """SHA-256 digest of a string: equal for equal strings, NULL for NULL."""
+    return F.sha2(c, 256)
 
 
 def compact_columns(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
-    """The named columns, strings compacted; other types unchanged."""
+    """The named columns, strings as digests; other types unchanged."""
     chosen = columns or df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
     return [

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.functions.text import is_content_word, word_tokens
 from spotlake.operators.columns import quoted
-from spotlake.operators.joins import balanced_join, keep_groups
-from spotlake.operators.sizing import fits_broadcast
+from spotlake.operators.joins import keep_groups
 
 
 def group_count(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
@@ -23,19 +20,12 @@ def joined_group_count(
 ) -> DataFrame:
     """Group count over the inner join of airings and spots.
 
-    With a small spot table the join is a broadcast in front of the aggregate.
-    Otherwise both sides are counted per join key first and the counts multiplied:
+    Both sides are counted per join key before the join and the counts multiplied:
     the shuffle carries one row per key and group, however many airings a key has.
     """
-    keyed_spots = spots.withColumnRenamed(spot_key, "_key")
-    keyed_airings = airings.withColumnRenamed(airing_key, "_key")
-    if fits_broadcast(spots):
-        joined = keyed_airings.join(keyed_spots, "_key", "inner")
-        return group_count(joined, [*airing_groups, *spot_groups], name)
-    left = group_count(keyed_airings.where(F.col("_key").isNotNull()), ["_key", *airing_groups], "_l")
-    right = group_count(keyed_spots.where(F.col("_key").isNotNull()), ["_key", *spot_groups], "_r")
-    joined = balanced_join(left, right, ["_key"], "inner")
-    return joined.groupBy(*[quoted(k) for k in [*airing_groups, *spot_groups]]).agg(
+    left = group_count(airings.withColumnRenamed(airing_key, "_key").where("_key IS NOT NULL"), ["_key", *airing_groups], "_l")
+    right = group_count(spots.withColumnRenamed(spot_key, "_key").where("_key IS NOT NULL"), ["_key", *spot_groups], "_r")
+    return left.join(right, "_key").groupBy(*[quoted(k) for k in [*airing_groups, *spot_groups]]).agg(
         F.sum(F.col("_l") * F.col("_r")).alias(name)
     )
 
@@ -62,23 +52,33 @@ def pivot_counts(
     return counts.groupBy(quoted(index)).pivot(category, values).agg(F.sum(quoted(count_col)))
 
 
-def top_matrix(counts: DataFrame, index: str, category: str, values: list[str], k: int, count_col: str = "n") -> DataFrame:
-    """Matrix rows of the k indexes with the largest total over all categories, listed or not.
+def matrix_by_total(counts: DataFrame, index: str, category: str, values: list[str], count_col: str = "n") -> DataFrame:
+    """Matrix rows by their total over all categories, listed or not, largest first; an absent cell is NULL.
 
     Cells and total come from one aggregate, so the counts are computed once;
     ranking first and joining back would compute them twice.
     """
+    return _with_total(counts, index, category, values, count_col).orderBy(F.desc("_total"), quoted(index)).drop("_total")
+
+
+def top_matrix(counts: DataFrame, index: str, category: str, values: list[str], k: int, count_col: str = "n") -> DataFrame:
+    """The first k rows of `matrix_by_total`, without a NULL index."""
+    ranked = _with_total(counts.where(quoted(index).isNotNull()), index, category, values, count_col)
+    return ranked.orderBy(F.desc("_total"), quoted(index)).limit(k).drop("_total")
+
+
+def _with_total(counts: DataFrame, index: str, category: str, values: list[str], count_col: str) -> DataFrame:
     n = quoted(count_col)
     cells = [F.sum(F.when(quoted(category) == v, n)).alias(str(v)) for v in values]
-    ranked = (
-        counts.where(quoted(index).isNotNull()).groupBy(quoted(index)).agg(F.sum(n).alias("_total"), *cells)
-        .orderBy(F.desc("_total"), quoted(index)).limit(k)
-    )
-    return ranked.drop("_total")
+    return counts.groupBy(quoted(index)).agg(F.sum(n).alias("_total"), *cells)
 
 
 def category_values(counts: DataFrame, category: str) -> list[str]:
-    """Pivot columns of an aggregated table. Spark refuses beyond `spark.sql.pivotMaxValues`."""
+    """Pivot columns of an aggregated table.
+
+    Spark refuses beyond `spark.sql.pivotMaxValues`; the counts themselves, one
+    row per cell, are the form for more categories.
+    """
     limit = int(counts.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
     rows = counts.select(quoted(category)).where(quoted(category).isNotNull()).distinct().limit(limit + 1).collect()
     if len(rows) > limit:
@@ -86,13 +86,6 @@ def category_values(counts: DataFrame, category: str) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
-def order_by_row_total(matrix: DataFrame, index: str) -> DataFrame:
-    """Matrix rows by their total, largest first; NULL cells count as zero."""
-    cells = [c for c in matrix.columns if c != index]
-    total = reduce(lambda a, b: a + b, [F.coalesce(quoted(c), F.lit(0)) for c in cells], F.lit(0))
-    return matrix.orderBy(total.desc(), quoted(index))
-
-
 def top_groups(counts: DataFrame, key: str, k: int, count_col: str = "n") -> DataFrame:
     """The k groups with the largest total; NULL groups are left out and ties go by key."""
     return (
@@ -170,7 +163,11 @@ def latest_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def word_frequencies(df: DataFrame, text: str, words_out: list[str] | None = None, unicode_words: bool = False) -> DataFrame:
-    """Word counts over the distinct texts, without the words in `words_out`."""
+    """Word counts over the distinct texts, without the words in `words_out`.
+
+    A task drops its own copies first; each text left moves once, as it takes
+    fewer bytes than its words with their counts would.
+    """
     words = df.select(quoted(text)).distinct().select(F.explode(word_tokens(quoted(text), unicode_words)).alias("word"))
     if words_out:
         words = words.where(is_content_word("word", words_out))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from spotlake.functions.text import is_content_word, word_tokens
 from spotlake.operators.columns import quoted
-from spotlake.operators.joins import balanced_join
 from spotlake.operators.sizing import over_all_cores
 from spotlake.sources.scratch import materialise
 
@@ -31,12 +30,12 @@ def tfidf(df: DataFrame, key: str, text: str, words_out: list[str] | None = None
     """(key, term, tf, df, tfidf) with idf = ln((N + 1) / (df + 1)).
 
     Term counts are written once, as is the frequency table, so the join between
-    them is planned from real sizes; a term that most texts hold is spread.
+    them is planned from real sizes.
     """
     terms = materialise(term_counts(df, key, text, words_out), "terms")
     frequencies = materialise(document_frequencies(terms), "frequencies")
     texts = df.agg(F.count(F.lit(1)).alias("_n")).select("_n").scalar()
-    joined = balanced_join(terms, frequencies, ["term"], "inner")
+    joined = terms.join(frequencies, "term")
     idf = F.log((texts + F.lit(1)) / (F.col("df") + F.lit(1)))
     return joined.select(quoted(key), "term", "tf", "df", (F.col("tf") * idf).alias("tfidf"))
 

@@ -1,8 +1,7 @@
-"""Joins that stay whole and balanced when one key holds much of the data.
+"""Keyed joins, counted matches, removals and appends.
 
-A side is broadcast only when Spark's own size estimate is below the session's
-threshold. Beyond it the join shuffles, and the few keys that hold a large
-share of the left side are spread over several reducers.
+Joins are plain: Spark broadcasts a side it estimates or measures to be small,
+and adaptive execution cuts skewed shuffle partitions on either side.
 """
 
 from __future__ import annotations
@@ -13,72 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.operators.columns import quoted
-from spotlake.operators.sizing import fits_broadcast
-from spotlake.sources.scratch import materialise
-
-
-def _shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def hot_keys(df: DataFrame, keys: list[str], partitions: int) -> DataFrame:
-    """Keys with more rows than two average shuffle partitions, and the partitions each would fill in `_slices`.
-
-    Fewer than `partitions / 2` keys can be that large whatever the data, so the
-    result is safe to broadcast. Counts are taken map-side before one small shuffle.
-    """
-    counts = df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    # The total comes from the same counts, so both share one shuffle.
-    total = counts.agg(F.sum("_n").alias("_t")).select("_t").scalar()
-    share = F.col("_n") / total * partitions
-    return counts.where(share > 2).select(*[quoted(k) for k in keys], F.ceil(share).cast("int").alias("_slices"))
-
-
-def spread_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str, partitions: int | None = None
-) -> DataFrame:
-    """Equi-join on same-named keys in which a hot key is cut into slices of average partition size.
-
-    The slice of a hot left row comes from its contents and its map task, so equal
-    rows spread as well and a task that is run again gives the same slices. The
-    matching right rows are copied to every slice. Left rows with a NULL key match
-    nothing and may go anywhere, so they are spread too.
-    """
-    partitions = partitions or _shuffle_partitions(left)
-    hot = F.broadcast(hot_keys(left, keys, partitions))
-    hashable = [quoted(f.name) for f in left.schema.fields if not f.dataType.simpleString().startswith("map")]
-    spread = F.xxhash64(*hashable) + F.spark_partition_id()
-    no_key = reduce(lambda x, y: x | y, [quoted(k).isNull() for k in keys])
-    slices = F.when(no_key, F.lit(partitions)).otherwise(F.col("_slices"))
-    sliced = left.join(hot, keys, "left").withColumn(
-        "_slice", F.when(slices.isNotNull(), F.pmod(spread, slices)).otherwise(F.lit(0)).cast("int")).drop("_slices")
-    every_slice = F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)
-    copied = right.join(hot, keys, "left").withColumn("_slice", F.explode(every_slice)).drop("_slices")
-    return sliced.join(copied, [*keys, "_slice"], how).drop("_slice")
-
-
-def balanced_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", measure: bool = False
-) -> DataFrame:
-    """Equi-join on same-named keys: plain if the right side is small, spread otherwise.
-
-    `how` is one of inner, left, left_semi, left_anti. Estimates of joins and
-    aggregates are far too high; with `measure` such a right side is written once
-    and judged by its real size before the left side would have to be shuffled.
-    """
-    if fits_broadcast(right):
-        return left.join(right, keys, how)
-    if measure:
-        right = materialise(right, "join_side")
-        if fits_broadcast(right):
-            return left.join(right, keys, how)
-    return spread_join(left, right, keys, how)
 
 
 def join_spots(airings: DataFrame, spots: DataFrame, airing_key: str = "MATERIAL", spot_key: str = "titulo") -> DataFrame:
     """Airings with the columns of their spot. NULL keys drop; a repeated spot key fans out."""
     keyed = spots.withColumnRenamed(spot_key, "_spot")
-    joined = balanced_join(airings.withColumn("_spot", quoted(airing_key)), keyed, ["_spot"], "inner")
+    joined = airings.withColumn("_spot", quoted(airing_key)).join(keyed, "_spot")
     return joined.withColumnRenamed("_spot", spot_key)
 
 
@@ -114,7 +53,7 @@ def remove_cross_duplicates(
     names = [f"_k{i}" for i in range(len(second_keys))]
     taken = first.select(*_text_keys(first, first_keys)).dropna().distinct()
     keyed = second.select("*", *_text_keys(second, second_keys))
-    return balanced_join(keyed, taken, names, "left_anti", measure=True).drop(*names)
+    return keyed.join(taken, names, "left_anti").drop(*names)
 
 
 def keep_groups(df: DataFrame, groups: DataFrame, key: str) -> DataFrame:
@@ -124,12 +63,12 @@ def keep_groups(df: DataFrame, groups: DataFrame, key: str) -> DataFrame:
 
 def lookup_enrich(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """Rows that have a lookup entry, with its columns added; lookup keys are unique."""
-    return balanced_join(rows, lookup, [key], "inner")
+    return rows.join(lookup, key)
 
 
 def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Work rows whose key is not in the table of finished work."""
-    return balanced_join(work, done.select(quoted(key)).distinct(), [key], "left_anti", measure=True)
+    return work.join(done.select(quoted(key)).distinct(), key, "left_anti")
 
 
 def append_new(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -2,150 +2,101 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spotlake.operators.columns import quoted
-from spotlake.operators.joins import balanced_join
 from spotlake.sources.scratch import materialise
 
-# Rank error of the sketch is n / SKETCH; brackets are cut four errors wide on both sides.
+# Relative rank error of the approximate variants is 1 / SKETCH.
 SKETCH = 10000
-MARGIN = 4.0 / SKETCH
-# Groups up to this size use all their values, so small groups never depend on the sketch.
-# If all groups are that small, Spark's own exact percentile holds them in memory.
-WHOLE_GROUP = 10 * SKETCH
-# Bracketed values of one group that a single task may sort.
-WINDOW_ROWS = 5_000_000
 
 
-def _brackets(df: DataFrame, group: str, value: str, probs: list[float]) -> DataFrame:
-    """Per group: row count and, for each probability, two values the quantile lies between."""
+def _cells(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, _x, _c): how often each value occurs in each group, written once; NULL groups and values are left out."""
     x = quoted(value).cast("double")
-    edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-MARGIN, MARGIN)]
-    stats = df.where(x.isNotNull()).groupBy(quoted(group)).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(x).alias("_min"), F.max(x).alias("_max"),
-        F.percentile_approx(x, edges, SKETCH).alias("_edges"),
-    )
-    whole = F.col("_n") <= WHOLE_GROUP
-
-    def edge(i: int, fallback: str) -> Column:
-        at_end = edges[i] in (0.0, 1.0)
-        return F.col(fallback) if at_end else F.when(whole, F.col(fallback)).otherwise(F.col("_edges")[i])
-
-    bounds = {}
-    for j in range(len(probs)):
-        bounds[f"_lo{j}"] = edge(2 * j, "_min")
-        bounds[f"_hi{j}"] = edge(2 * j + 1, "_max")
-    return stats.select(quoted(group), "_n", "_min", *[c.alias(n) for n, c in bounds.items()])
-
+    counted = df.where(quoted(group).isNotNull() & x.isNotNull()).groupBy(quoted(group), x.alias("_x"))
+    return materialise(counted.agg(F.count(F.lit(1)).alias("_c")), "cells")
 
-def _running_counts(cells: DataFrame, group: str) -> DataFrame:
-    """Cells with `_cum`, the values of the group up to and including the cell."""
-    order = W.partitionBy(quoted(group)).orderBy("_at", "_gap").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return cells.withColumn("_cum", F.sum("_c").over(order))
 
+def _placed(cells: DataFrame, group: str) -> DataFrame:
+    """Cells with `_n`, the rows of their group, and `_cum`, those up to and including the cell.
 
-def _running_counts_by_range(cells: DataFrame, group: str) -> DataFrame:
-    """The same for groups too large for one task.
-
-    Cells are cut into ranges, each range is summed on its own, and the totals of
-    the ranges before it are added: no task sees more than one range.
+    Cells are cut into ranges of value, each range is summed on its own, and the
+    totals of the ranges before it are added: no task sees more than one range of
+    a group.
     """
-    ranges = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = materialise(
-        cells.repartitionByRange(ranges, quoted(group), "_at", "_gap").withColumn("_part", F.spark_partition_id()), "ranges")
-    before = W.partitionBy(quoted(group)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+        cells.repartitionByRange(quoted(group), "_x").withColumn("_part", F.spark_partition_id()), "ranges")
+    whole = W.partitionBy(quoted(group))
+    before = whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     starts = cut.groupBy(quoted(group), "_part").agg(F.sum("_c").alias("_t")).select(
-        quoted(group), "_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"))
-    within = W.partitionBy(quoted(group), "_part").orderBy("_at", "_gap").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return balanced_join(cut, starts, [group, "_part"], measure=True).withColumn(
-        "_cum", F.col("_start") + F.sum("_c").over(within))
-
-
-def exact_quantiles(
-    df: DataFrame, group: str, value: str, probs: list[float], window_rows: int = WINDOW_ROWS
-) -> DataFrame:
-    """Per group: n and one column `q0, q1, ...` per probability, linearly interpolated.
+        quoted(group), "_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"), F.sum("_t").over(whole).alias("_n"))
+    within = W.partitionBy(quoted(group), "_part").orderBy("_x").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return cut.join(starts, [group, "_part"]).withColumn("_cum", F.col("_start") + F.sum("_c").over(within))
 
-    A sketch first brackets each quantile. For large groups the second pass counts values inside
-    the brackets one by one and all others as a handful of gap totals, with
-    partial counts before the shuffle, so a group costs a small part of its rows
-    however large it is. A quantile outside its bracket would fail the query.
-    """
-    brackets = materialise(_brackets(df, group, value, probs), "brackets")
-    largest = brackets.agg(F.max("_n")).first()[0] or 0
-    x = F.col("_x")
-    slim = df.select(quoted(group), quoted(value).cast("double").alias("_x")).where(x.isNotNull())
-    if largest <= WHOLE_GROUP:
-        whole = slim.where(quoted(group).isNotNull()).groupBy(quoted(group)).agg(
-            F.count(F.lit(1)).alias("n"), F.percentile("_x", F.array(*[F.lit(p) for p in probs])).alias("_q"))
-        return whole.select(quoted(group), "n", *[F.col("_q")[j].alias(f"q{j}") for j in range(len(probs))])
-    joined = balanced_join(slim, brackets, [group], "inner")
-    inside = reduce(lambda a, b: a | b, [x.between(F.col(f"_lo{j}"), F.col(f"_hi{j}")) for j in range(len(probs))])
-    # A value between brackets is counted at the bracket end below it, right after that end.
-    below = F.greatest(F.col("_min"), *[F.when(F.col(f"_hi{j}") <= x, F.col(f"_hi{j}")) for j in range(len(probs))])
-    cells = joined.groupBy(
-        quoted(group),
-        F.when(inside, x).otherwise(below).alias("_at"),
-        (~inside).alias("_gap"),
-    ).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
-    bracketed = 2 * MARGIN * len(probs) * largest
-    ranked = (_running_counts if bracketed <= window_rows else _running_counts_by_range)(cells, group)
 
+def _quantiles(cells: DataFrame, group: str, probs: list[float]) -> DataFrame:
     def order_statistic(rank: Column) -> Column:
-        first_at = F.min(F.when(F.col("_cum") > rank, F.struct("_at", "_gap")))
-        return F.when(first_at.getField("_gap"), F.raise_error(F.lit("quantile outside its bracket")).cast("double")
-                      ).otherwise(first_at.getField("_at"))
+        return F.min(F.when(F.col("_cum") > rank, F.col("_x")))
 
     picks = []
     for j, p in enumerate(probs):
         place = F.lit(p) * (F.col("_n") - 1)
         picks += [order_statistic(F.floor(place)).alias(f"_a{j}"), order_statistic(F.ceil(place)).alias(f"_b{j}")]
-    found = ranked.groupBy(quoted(group)).agg(F.first("_n").alias("n"), *picks)
+    found = _placed(cells, group).groupBy(quoted(group)).agg(F.first("_n").alias("n"), *picks)
     return found.select(quoted(group), "n", *[
         (F.col(f"_a{j}") + (F.col(f"_b{j}") - F.col(f"_a{j}")) * (F.lit(p) * (F.col("n") - 1) % 1)).alias(f"q{j}")
         for j, p in enumerate(probs)
     ])
 
 
+def exact_quantiles(df: DataFrame, group: str, value: str, probs: list[float]) -> DataFrame:
+    """Per group: n and one column `q0, q1, ...` per probability, linearly interpolated.
+
+    Equal values are counted before the shuffle; the counts are summed up in
+    ranges, so a group may be as large as it likes.
+    """
+    return _quantiles(_cells(df, group, value), group, probs)
+
+
 def approximate_quantiles(df: DataFrame, group: str, value: str, probs: list[float]) -> DataFrame:
-    """Like `exact_quantiles`, from the sketch alone: one pass, values from the data."""
+    """Like `exact_quantiles`, from a sketch: one pass, values from the data."""
     x = quoted(value).cast("double")
-    sketch = df.where(x.isNotNull()).groupBy(quoted(group)).agg(
+    sketch = df.where(quoted(group).isNotNull() & x.isNotNull()).groupBy(quoted(group)).agg(
         F.count(F.lit(1)).alias("n"), F.percentile_approx(x, probs, SKETCH).alias("_q"))
     return sketch.select(quoted(group), "n", *[F.col("_q")[j].alias(f"q{j}") for j in range(len(probs))])
 
 
-def _fences(df: DataFrame, group: str, value: str, approximate: bool) -> DataFrame:
-    quartiles = approximate_quantiles if approximate else exact_quantiles
-    q = quartiles(df, group, value, [0.25, 0.5, 0.75])
-    named = q.select(quoted(group), "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
+def _fences(quartiles: DataFrame, group: str) -> DataFrame:
+    """Quartiles and the fences 1.5 IQR beyond them, one row per group, written once."""
+    named = quartiles.select(quoted(group), "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
-    return named.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach})
+    return materialise(named.withColumns({"_low": F.col("q1") - reach, "_high": F.col("q3") + reach}), "fences")
+
+
+_QUARTERS = [0.25, 0.5, 0.75]
 
 
 def box_plot(df: DataFrame, group: str, value: str, approximate: bool = False) -> DataFrame:
     """Per group: n, q1, median, q3, whiskers at the last points within 1.5 IQR, number of outliers."""
-    fences = materialise(_fences(df, group, value, approximate), "fences")
+    cells = _cells(df, group, value)
+    quartiles = approximate_quantiles(df, group, value, _QUARTERS) if approximate else _quantiles(cells, group, _QUARTERS)
     x = F.col("_x")
-    slim = df.select(quoted(group), quoted(value).cast("double").alias("_x")).where(x.isNotNull())
-    joined = balanced_join(slim, fences, [group], "inner")
     within = x.between(F.col("_low"), F.col("_high"))
     stats = ["n", "q1", "median", "q3"]
-    return joined.groupBy(quoted(group)).agg(
+    return cells.join(_fences(quartiles, group), group).groupBy(quoted(group)).agg(
         *[F.first(c).alias(c) for c in stats],
         F.least(F.min(F.when(within, x)), F.first("q1")).alias("whisker_low"),
         F.greatest(F.max(F.when(within, x)), F.first("q3")).alias("whisker_high"),
-        F.count_if(~within).alias("n_outliers"),
+        F.sum(F.when(within, F.lit(0)).otherwise(F.col("_c"))).alias("n_outliers"),
     )
 
 
 def outliers(df: DataFrame, group: str, value: str, approximate: bool = False) -> DataFrame:
     """Rows beyond the 1.5 IQR fences of their group."""
-    fences = materialise(_fences(df, group, value, approximate), "fences").select(quoted(group), "_low", "_high")
-    joined = balanced_join(df.where(quoted(value).isNotNull()), fences, [group], "inner")
+    quartiles = (approximate_quantiles if approximate else exact_quantiles)(df, group, value, _QUARTERS)
+    fences = _fences(quartiles, group).select(quoted(group), "_low", "_high")
+    joined = df.where(quoted(value).isNotNull()).join(fences, group)
     return joined.where(~quoted(value).between(F.col("_low"), F.col("_high"))).select(*[quoted(c) for c in df.columns])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from spotlake.functions.text import word_tokens
 from spotlake.operators.columns import quoted
-from spotlake.operators.sizing import fits_broadcast, over_all_cores
+from spotlake.operators.sizing import over_all_cores
 from spotlake.sources.scratch import materialise
 
 # Fixed values of the published model.
@@ -31,7 +31,7 @@ EXCLAMATION = 0.292
 QUESTION = 0.18
 QUESTIONS_MANY = 0.96
 
-# Fixed values of the published model: words that strengthen the next word.
+# Fixed values, the one-word entries of the published model: words that strengthen the next word.
 STRENGTHEN = [
     "absolutely", "amazingly", "awfully", "completely", "considerably", "decidedly", "deeply", "enormously",
     "entirely", "especially", "exceptionally", "extremely", "fabulously", "flipping", "fully", "greatly", "hella",
@@ -70,10 +70,9 @@ def sample_lexicon(spark) -> DataFrame:
     return spark.createDataFrame(list(SAMPLE_LEXICON.items()), "token string, valence double")
 
 
-def _sized(lexicon: DataFrame) -> DataFrame:
-    """The lexicon with a size Spark knows, so that a small one is broadcast and never shuffles the words."""
-    slim = lexicon.select("token", "valence")
-    return slim if fits_broadcast(slim) else materialise(slim, "lexicon")
+def _written(lexicon: DataFrame) -> DataFrame:
+    """The lexicon as a file, whose real size Spark plans by: a small one is broadcast and never shuffles the words."""
+    return materialise(lexicon.select("token", "valence"), "lexicon")
 
 
 def _compound(total: Column) -> Column:
@@ -89,7 +88,7 @@ def valence_scores(df: DataFrame, keys: list[str], text: str, lexicon: DataFrame
     words = over_all_cores(df.select(*[quoted(k) for k in keys], quoted(text)), keys).select(
         *[quoted(k) for k in keys], quoted(text).isNotNull().alias("_has"),
         F.explode_outer(F.array_append(word_tokens(quoted(text)), F.lit(None).cast("string"))).alias("token"))
-    hits = words.join(_sized(lexicon), "token", "left").where(F.col("valence").isNotNull() | F.col("token").isNull())
+    hits = words.join(_written(lexicon), "token", "left").where(F.col("valence").isNotNull() | F.col("token").isNull())
     sums = hits.groupBy(*[quoted(k) for k in keys]).agg(
         F.coalesce(F.sum("valence"), F.lit(0.0)).alias("_s"), F.max("_has").alias("_has"))
     return sums.select(*[quoted(k) for k in keys], F.when(F.col("_has"), _compound(F.col("_s"))).alias("compound"))
@@ -145,14 +144,16 @@ def rule_scores(
     """(keys, compound): rule-based sentiment of each text, from -1 to 1.
 
     Covers intensity words, negation within three words, capitals, the contrast
-    word "but" and repeated marks. Idioms of several words are not modelled.
+    word "but" and repeated marks. The published model's entries and idioms of
+    several words, and its rules for "least", "never so" and "without doubt", are
+    left out. Other word lists are parameters.
     `keys` identify a text; a NULL text scores NULL.
     """
     up, down, no = strengthen or STRENGTHEN, weaken or WEAKEN, negate or NEGATE
     ids = [quoted(k) for k in keys]
     raw = quoted(text)
     none = F.lit(None).cast("string")
-    lexicon = _sized(lexicon)
+    lexicon = _written(lexicon)
 
     # The text-wide steps are single native passes; only the word array is exploded.
     bare = over_all_cores(df.select(*ids, raw.alias("_raw")), keys).select(

@@ -1,4 +1,4 @@
-"""Plan decisions that depend on the size of an input."""
+"""Spreading of small inputs over the cores."""
 
 from __future__ import annotations
 
@@ -11,23 +11,6 @@ from spotlake.operators.columns import quoted
 SMALL_PER_CORE = 16 << 20
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Size estimate of the optimised plan; None where the session does not expose it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark would broadcast `df` on its own."""
-    size = estimated_bytes(df)
-    if size is None:
-        return False
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return 0 <= size <= limit
-
-
 def over_all_cores(df: DataFrame, keys: list[str]) -> DataFrame:
     """Small inputs hashed over all cores by key; larger ones as they were scanned.
 
@@ -35,8 +18,8 @@ def over_all_cores(df: DataFrame, keys: list[str]) -> DataFrame:
     long on each row, such as splitting texts, is worth one tiny shuffle first;
     an input of many splits is already spread and is not moved.
     """
-    size = estimated_bytes(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if size is None or size > SMALL_PER_CORE * cores:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_PER_CORE * cores:
         return df
     return df.repartition(cores, *[quoted(k) for k in keys])

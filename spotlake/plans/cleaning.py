@@ -14,6 +14,7 @@ from spotlake.operators.joins import remove_cross_duplicates
 from spotlake.operators.profile import summary_of_reports
 from spotlake.operators.sets import outer_union, sort_nulls_last
 from spotlake.sources.readers import any_file, read_family, read_report_with_preamble
+from spotlake.sources.writers import write_csv
 
 DATE, TIME = "FECHA TRANSMISIÓN", "HORA TRANSMISIÓN"
 REQ_DATE, REQ_TIME = "Fecha de transmisión del material", "Hora transmisión"
@@ -27,9 +28,9 @@ def combine_excedentes(reports: DataFrame) -> DataFrame:
     })
 
 
-def combine_requerimientos(reports: DataFrame, day_first: bool = True) -> DataFrame:
-    """Requerimientos with ISO date text, whichever way a date was written."""
-    return reports.withColumn(REQ_DATE, mixed_date(quoted(REQ_DATE), day_first).cast("string"))
+def combine_requerimientos(reports: DataFrame, day_first: bool = True, strict: bool = False) -> DataFrame:
+    """Requerimientos with ISO date text, whichever way a date was written; with `strict` unreadable text fails the query."""
+    return reports.withColumn(REQ_DATE, mixed_date(quoted(REQ_DATE), day_first, strict).cast("string"))
 
 
 def sort_report(reports: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,9 +49,18 @@ def unify(excedentes: DataFrame, requerimientos: DataFrame) -> DataFrame:
     )
 
 
-def clean_reports(excedentes: DataFrame, requerimientos: DataFrame, day_first: bool = True) -> DataFrame:
+def clean_reports(
+    excedentes: DataFrame, requerimientos: DataFrame, day_first: bool = True, strict: bool = False
+) -> DataFrame:
     """Whole cleaning job as one lazy plan: parse, drop cross duplicates, rename, union."""
-    return unify(combine_excedentes(excedentes), combine_requerimientos(requerimientos, day_first))
+    return unify(combine_excedentes(excedentes), combine_requerimientos(requerimientos, day_first, strict))
+
+
+def write_clean_reports(
+    excedentes: DataFrame, requerimientos: DataFrame, path: str, day_first: bool = True, strict: bool = False
+) -> None:
+    """The cleaning job with its result written: both families in one CSV report, sorted by date and time."""
+    write_csv(sort_report(clean_reports(excedentes, requerimientos, day_first, strict), [DATE, TIME]), path)
 
 
 def reconciliation(excedentes: DataFrame, requerimientos: DataFrame, exclude: list[str] | None = None) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.operators.aggregates import (
-    category_values, histogram, joined_group_count, order_by_row_total, pivot_counts, top_matrix, with_share,
+    category_values, histogram, joined_group_count, matrix_by_total, pivot_counts, top_matrix, with_share,
 )
 from spotlake.operators.columns import quoted
-from spotlake.operators.joins import balanced_join, join_spots
+from spotlake.operators.joins import join_spots
 from spotlake.operators.quantiles import box_plot
 from spotlake.sources.scratch import materialise
 
@@ -86,7 +86,7 @@ def top_states_by_party(a: Airings, state: str, k: int = 10, parties: list[str]
 def states_by_party(a: Airings, state: str, parties: list[str] | None = None) -> DataFrame:
     """Party matrix of all states, in falling order of their total."""
     counts, values = _with_parties(a.counts([state]), a.party, parties)
-    return order_by_row_total(pivot_counts(counts, state, a.party, values), state)
+    return matrix_by_total(counts, state, a.party, values)
 
 
 def media_by_party(a: Airings, medium: str, parties: list[str] | None = None) -> DataFrame:
@@ -97,7 +97,7 @@ def media_by_party(a: Airings, medium: str, parties: list[str] | None = None) ->
 
 def weighted_scores(a: Airings, scores: DataFrame, score: str) -> DataFrame:
     """(party, score) with one row per airing of a scored spot."""
-    scored = balanced_join(a.spots.select(quoted(a.spot_key), quoted(a.party)), scores, [a.spot_key])
+    scored = a.spots.select(quoted(a.spot_key), quoted(a.party)).join(scores, a.spot_key)
     # Written once: the airings join is then planned by the real size of the scored spots.
     spots = materialise(scored, "scored_spots")
     return join_spots(a.airings.select(quoted(a.airing_key)), spots, a.airing_key, a.spot_key).select(

@@ -29,10 +29,11 @@ def test_top_groups_break_ties_by_key_and_skip_null(spark):
 
 def test_pivot_and_order_by_total(spark):
     counts = spark.createDataFrame([("x", "A", 1), ("y", "A", 2), ("y", "B", 3), ("z", None, 7)], "s string, p string, n int")
-    matrix = A.pivot_counts(counts, "s", "p", ["A", "B"])
-    got = A.order_by_row_total(matrix, "s")
-    assert got.columns == ["s", "A", "B"]
-    assert rows(got) == [("y", 2, 3), ("x", 1, None), ("z", None, None)]
+    got = A.matrix_by_total(counts, "s", "p", ["A", "B"])
+    assert got.columns == A.pivot_counts(counts, "s", "p", ["A", "B"]).columns == ["s", "A", "B"]
+    # A category that is not listed counts for the total.
+    assert rows(got) == [("z", None, None), ("y", 2, 3), ("x", 1, None)]
+    assert rows(A.top_matrix(counts, "s", "p", ["A", "B"], 2)) == rows(got)[:2]
     assert A.category_values(counts, "p") == ["A", "B"]
 
 
@@ -95,12 +96,7 @@ def test_word_frequencies_count_distinct_texts(spark):
     assert rows(A.top_words(A.word_frequencies(df, "t", ["the"]), 1)) == [("cat", 2)]
 
 
-@pytest.mark.parametrize("window_rows", [5_000_000, 0])
-def test_exact_quantiles_against_numpy(spark, window_rows, monkeypatch):
-    """Small thresholds send every group through the sketch and the range-wise counts."""
-    monkeypatch.setattr(Q, "SKETCH", 200)
-    monkeypatch.setattr(Q, "MARGIN", 4 / 200)
-    monkeypatch.setattr(Q, "WHOLE_GROUP", 50)
+def test_exact_quantiles_against_numpy(spark):
     rng = np.random.default_rng(7)
     groups = np.repeat(["big", "mid", "tiny", "same"], [20000, 3000, 7, 500])
     data = np.round(rng.lognormal(0, 2, len(groups)), 2)
@@ -109,7 +105,7 @@ def test_exact_quantiles_against_numpy(spark, window_rows, monkeypatch):
     df = spark.createDataFrame([(str(g), float(v)) for g, v in zip(groups[order], data[order])] + [("tiny", None), (None, 1.0)],
                                "g string, v double").repartition(8)
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = {r.g: r for r in Q.exact_quantiles(df, "g", "v", probs, window_rows=window_rows).collect()}
+    got = {r.g: r for r in Q.exact_quantiles(df, "g", "v", probs).collect()}
     assert set(got) == {"big", "mid", "tiny", "same"}
     for g in got:
         values = data[groups == g]

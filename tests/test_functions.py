@@ -29,7 +29,19 @@ def one(spark, text, expression):
     ("5T/11/2023", True, None),
     ("2023-11-5T", True, None),
     ("12023-1-05", True, None),
-    ("05-11-2023", True, None),
+    ("05-11-2023", True, "2023-11-05"),
+    ("15-11-2023", False, "2023-11-15"),
+    ("2023-11-15 00:00:00", True, "2023-11-15"),
+    ("2023-11-15T07:00:00", True, "2023-11-15"),
+    ("05/11/2023 07:00", False, "2023-05-11"),
+    ("05/11/23", True, "2023-11-05"),
+    ("05/11/69", True, "1969-11-05"),
+    ("2023/11/15", True, "2023-11-15"),
+    ("2023/1/5", False, "2023-01-05"),
+    ("15.11.2023", True, "2023-11-15"),
+    (" 15/11/2023 ", True, "2023-11-15"),
+    ("15/11/2023 tarde", True, None),
+    ("15/11/023", True, None),
     ("31/12/2023", False, "2023-12-31"),
     ("32/13/2023", False, None),
     ("S/D", True, None),
@@ -44,13 +56,21 @@ def test_mixed_date(spark, text, day_first, expected):
 @pytest.mark.parametrize("text, clock, hour", [
     ("07:05:09", "07:05:09", 7), ("7:5:9", "07:05:09", 7), ("23:59:59", "23:59:59", 23),
     ("24:00:00", None, None), ("25:61:00", None, None), ("S/D", None, None), (None, None, None),
-    ("07:05:0x", None, None), ("07:05", None, None), ("aa:bb:c1", None, None),
+    ("07:05:0x", None, None), ("07:05", "07:05:00", 7), ("aa:bb:c1", None, None), (" 7:05 ", "07:05:00", 7),
+    ("1900-01-01 07:00:00", "07:00:00", 7), ("2023-11-15T23:59", "23:59:00", 23), ("07:05:09.25", "07:05:09", 7), ("24:00", None, None),
 ])
 def test_clock(spark, text, clock, hour):
     assert one(spark, text, D.clock_text("t")) == clock
     assert one(spark, text, D.clock_hour("t")) == hour
 
 
+def test_strict_mixed_date_fails(spark):
+    assert str(one(spark, "15-11-2023", D.mixed_date("t", strict=True))) == "2023-11-15"
+    assert one(spark, None, D.mixed_date("t", strict=True)) is None
+    with pytest.raises(Exception, match="not a date: S/D"):
+        one(spark, "S/D", D.mixed_date("t", strict=True))
+
+
 def test_airing_timestamp_is_lenient(spark):
     df = spark.createDataFrame([("05/11/2023", "07:14:41"), ("2023-11-05", "07:14:41"), ("05/11/2023", None), ("x", "y")],
                                "d string, h string")
@@ -122,13 +142,10 @@ def test_tokens_are_ascii_words_by_default(spark):
     assert one(spark, None, word_tokens("t")) is None
 
 
-def test_compact_text_never_confuses_values(spark):
-    long = "x" * 65
-    rows = [("a",), (long,), (long + "y",), (None,), ("x" * 64,)]
-    df = spark.createDataFrame(rows, "t string").select(compact_text(F.col("t")).alias("c"))
-    got = values(df, "c")
-    assert got[0] == "a" and got[4] == "x" * 64 and got[3] is None
-    assert len(got[1]) == 65 and got[1] != long and got[1] != got[2]
+def test_compact_text_is_a_digest(spark):
+    rows = [("a",), ("x" * 65,), ("x" * 65,), (None,)]
+    got = values(spark.createDataFrame(rows, "t string").select(compact_text(F.col("t")).alias("c")), "c")
+    assert got[1] == got[2] != got[0] and got[3] is None and len(got[0]) == 64
 
 
 def test_bucket_is_stable_and_spread(spark):

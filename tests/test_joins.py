@@ -8,14 +8,6 @@ from spotlake.operators import joins as J
 from spotlake.operators.aggregates import joined_group_count
 
 
-@pytest.fixture
-def no_broadcast(spark):
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    yield
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-
-
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
@@ -26,38 +18,6 @@ def skewed(spark):
     return data, spark.createDataFrame(data, "k string, v int").repartition(8)
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_spread_join_equals_plain_join(spark, no_broadcast, how):
-    _, left = skewed(spark)
-    right = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("k1", "c"), ("k2", "d"), (None, "e"), ("zz", "f")], "k string, w string")
-    expected = rows(left.join(right, "k", how))
-    assert rows(J.spread_join(left, right, ["k"], how, partitions=8)) == expected
-    assert rows(J.balanced_join(left, right, ["k"], how)) == expected
-    assert rows(J.balanced_join(left, right, ["k"], how, measure=True)) == expected
-
-
-def test_hot_keys_are_few_and_hot(spark):
-    _, left = skewed(spark)
-    assert [tuple(r) for r in J.hot_keys(left, ["k"], 8).collect()] == [("hot", 3)]
-    assert {tuple(r) for r in J.hot_keys(left, ["k"], 30).collect()} == {("hot", 10), (None, 4)}
-
-
-def test_spread_join_cuts_the_hot_key(spark, no_broadcast):
-    """No reducer gets the whole hot key, although most of its rows are equal copies."""
-    from pyspark.sql import functions as F
-
-    left = spark.createDataFrame([("hot", 1)] * 4000 + [(f"k{i}", i) for i in range(4000)], "k string, v int").repartition(8)
-    right = spark.createDataFrame([("hot", "a")], "k string, w string")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = J.spread_join(left, right, ["k"], "inner", partitions=16)
-        per_task = joined.groupBy(F.spark_partition_id()).count().collect()
-        assert sum(r["count"] for r in per_task) == 4000
-        assert max(r["count"] for r in per_task) < 3000
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-
-
 def test_join_spots_fans_out_and_drops_null(spark):
     airings = spark.createDataFrame([("RV1", 1), ("RV1", 2), (None, 3), ("RV9", 4)], "MATERIAL string, n int")
     spots = spark.createDataFrame([("RV1", "A"), ("RV1", "B"), (None, "C")], "titulo string, partido string")
