@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,20 +30,30 @@ def text_of(column: str = "text") -> Column:
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """All columns plus a row number under an unused name, written so that the numbers never change.
+    """All columns plus a row key under an unused name; the key of a row never changes.
 
-    `doc_id` may be null or repeated, so operators tell rows apart by this number.
+    `doc_id` may be null or repeated, so rows are told apart by their place: the
+    file and the row in it where `docs` is read from Parquet, else a number that
+    is written with a copy of the table.
     """
     taken = {c.lower() for c in docs.columns}
     name = next(n for n in ("_row", *(f"_row{i}" for i in range(len(taken) + 1))) if n not in taken)
-    return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    place = F.concat_ws(":", "_metadata.row_index", "_metadata.file_path")
+    try:
+        return docs.select("*", F.unhex(F.md5(place)).alias(name)), name
+    except AnalysisException:
+        return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def row_number_column(row_col: str | None) -> Column:
-    """The caller's row number, else a new one; the caller must write the result before using it twice."""
+    """The caller's row key, else a new number; the caller must write the result before using it twice."""
     return F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
 
 
+def type_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """True for the third of documents whose CRC-32 of the id leaves 1; nothing is learned from them."""
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3 == 1, F.lit(False))

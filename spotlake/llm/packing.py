@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotlake.llm.common import row_number_column, ship, text_of
+from spotlake.llm.common import row_number_column, ship, text_of, type_of
 from spotlake.sources.scratch import materialise
 
 WINDOW = 2048
@@ -71,8 +71,7 @@ def tokenised(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(full, pa.list_(pa.int64())),
                  pa.array(tails, pa.binary())], ["row", "id", "doc_tokens", "full", "tail"])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(encode, f"row long, id {id_type}, doc_tokens long, full array<long>, tail binary")
+    return rows.mapInArrow(encode, f"row {type_of(rows, 'row')}, id {type_of(rows, 'id')}, doc_tokens long, full array<long>, tail binary")
 
 
 def document_frequencies(tails: DataFrame) -> np.ndarray:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotlake.llm.common import row_number_column, ship, text_of
+from spotlake.llm.common import row_number_column, ship, text_of, type_of
 from spotlake.sources.scratch import materialise
 
 MIN_WORDS = 50
@@ -103,7 +103,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
                 [*batch.columns[:4], *numbers, pa.ListArray.from_arrays(ends, hashes), pa.ListArray.from_arrays(ends, words)],
                 ["row", "id", "host", "digest", *counts, "line", "line_words"])
 
-    schema = (f"row long, id {docs.schema[id_col].dataType.simpleString()}, host string, digest long, "
+    schema = (f"row {type_of(rows, 'row')}, id {type_of(rows, 'id')}, host string, digest long, "
               + ", ".join(f"{c} long" for c in counts) + ", line array<long>, line_words array<long>")
     return rows.mapInArrow(measure, schema)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotlake.llm.common import row_number_column, ship, text_of
+from spotlake.llm.common import row_number_column, ship, text_of, type_of
 from spotlake.llm.components import components
 from spotlake.sources.scratch import materialise
 
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t.as_py(), shingle_words) for t in batch.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["row", "id", "print"])
 
-    schema = f"row long, id {docs.schema[id_col].dataType.simpleString()}, print long"
+    schema = f"row {type_of(rows, 'row')}, id {type_of(rows, 'id')}, print long"
     return rows.mapInArrow(prints, schema)
 
 
