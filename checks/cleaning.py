@@ -171,10 +171,9 @@ def _distinct_profile(spark, d):
     return distinct_profile(labelled(spark, d))
 
 
-@query("drop_sparse_columns", "SELECT doc_id, lang, source, n_chars FROM documents")
+@query("drop_sparse_columns", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def _drop_sparse(spark, d):
-    rows = labelled(spark, d).drop("text")
-    return drop_sparse_columns(rows, 30.0)
+    return drop_sparse_columns(labelled(spark, d), 30.0)
 
 
 @query("columns_by_type", "SELECT p_name, p_brand, p_type FROM part")

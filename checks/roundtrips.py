@@ -11,8 +11,9 @@ from checks.registry import query
 from checks.tables import excedentes, table
 from spotlake import schemas
 from spotlake.operators.aggregates import last_value, merge_latest
-from spotlake.operators.columns import with_load_time
+from spotlake.operators.columns import LOAD_TIME, with_load_time
 from spotlake.plans.cleaning import ReportFolder
+from spotlake.plans.jobs import analysis_job, cleaning_job
 from spotlake.sources import readers, writers
 from spotlake.sources.scratch import scratch_path
 from spotlake.streaming.loader import StreamTarget, load_folder, read_table_stream
@@ -37,10 +38,10 @@ def _csv_position(spark, d):
 
 @query("json_spots", """
     SELECT CAST(d.doc_id AS VARCHAR) AS titulo, d.lang AS partido, d.text AS transcripcion, l.quality = 1 AS cautelar
-    FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def _json(spark, d):
     path = scratch_path(spark, "json")
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("titulo"), F.col("lang").alias("partido"),
         F.col("text").alias("transcripcion"), (F.col("quality") == 1).alias("cautelar"))
     writers.append_json(rows, path)
@@ -169,27 +170,78 @@ def _load_time(spark, d):
                        F.count_distinct("Silver_Loadedtimestamp").cast("int").alias("n_times"))
 
 
-_EVENTS = "SELECT event_id, user_id, event_type, value FROM events"
+_EVENTS = """
+    SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, user_id, event_type, value, props, true AS loaded FROM events"""
 
 
 def _target(spark, d, mode):
-    schema = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value").schema
+    schema = table(spark, d, "events").schema
     return schema, StreamTarget(spark, scratch_path(spark, "stream"), schema, mode)
 
 
+def _events(loaded):
+    """All columns of events, and whether the row has a load time that is not in the future."""
+    return loaded.select(
+        "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "user_id", "event_type", "value", "props",
+        (F.col(LOAD_TIME) <= F.current_timestamp()).alias("loaded"))
+
+
 @query("stream_incremental", _EVENTS)
 def _stream(spark, d):
-    """Loaded twice: the second load finds nothing new."""
+    """Loaded twice: the second load finds nothing new. Read back from the catalogue."""
     schema, target = _target(spark, d, "append")
     for _ in range(2):
-        loaded = load_folder(spark, d, schema, target, glob="events.parquet", max_files=1)
-    return loaded.select("event_id", "user_id", "event_type", "value")
+        load_folder(spark, d, schema, target, glob="events.parquet", max_files=1)
+    name = f"events_{uuid.uuid4().hex}"
+    target.register(name)
+    return _events(spark.sql(f"SELECT * FROM {name}"))
 
 
 @query("stream_overwrite", _EVENTS)
 def _stream_overwrite(spark, d):
     schema, target = _target(spark, d, "overwrite")
-    return load_folder(spark, d, schema, target, glob="events.parquet").select("event_id", "user_id", "event_type", "value")
+    return _events(load_folder(spark, d, schema, target, glob="events.parquet"))
+
+
+@query("analysis_job", """
+    SELECT l_returnflag AS flag, p_type AS partido, count(*) AS n, sum(l_quantity) AS quantity
+    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
+def _analysis(spark, d):
+    """lineitem as the airings table, part as spots: profiled, written, streamed, read with SQL and joined."""
+    airings = table(spark, d, "lineitem").withColumn("No", F.concat_ws("-", "l_orderkey", "l_linenumber")).withColumn(
+        "sparse", F.when(F.col("l_returnflag") == "R", F.col("l_linestatus")))
+    name = uuid.uuid4().hex
+    done = analysis_job(spark, airings, table(spark, d, "part").withColumnRenamed("p_partkey", "titulo"),
+                        scratch_path(spark, "analysis"), f"source_{name}", f"airings_{name}", airing_key="l_partkey")
+    kept = done.airings.columns
+    assert "No" not in kept and "sparse" not in kept and LOAD_TIME in kept
+    return done.airings.groupBy(F.col("l_returnflag").alias("flag"), F.col("p_type").alias("partido")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("cleaning_job", """
+    SELECT 'EXC' || o_orderkey AS no, strftime(o_orderdate, '%Y-%m-%d') AS fecha, '07:00:00' AS hora, o_orderstatus AS estado FROM orders
+    UNION ALL
+    SELECT 'REQ' || o_orderkey, strftime(o_orderdate, '%Y-%m-%d'), '08:00:00', o_orderstatus FROM orders WHERE o_orderstatus <> 'F'""")
+def _cleaning_job(spark, d):
+    """orders as files of both families; Requerimientos of status F repeat an Excedente."""
+    base, target = scratch_path(spark, "reports"), scratch_path(spark, "cleaned")
+    orders = table(spark, d, "orders")
+    key = F.col("o_orderkey").cast("string")
+    exc = orders.select(F.concat(F.lit("EXC"), key).alias("No."), F.col("o_orderstatus").alias("ESTADO"),
+                        F.date_format("o_orderdate", "yyyy-MM-dd").alias("FECHA TRANSMISIÓN"), F.lit("07:00:00").alias("HORA TRANSMISIÓN"))
+    same = F.col("o_orderstatus") == "F"
+    req = orders.select(F.concat(F.lit("REQ"), key).alias("No."), F.col("o_orderstatus").alias("Entidad"),
+                        F.date_format("o_orderdate", "dd/MM/yyyy").alias("Fecha de transmisión del material"),
+                        F.when(same, "07:00:00").otherwise("08:00:00").alias("Hora transmisión"))
+    for df, prefix, schema in ((exc, "Excedentes_", schemas.EXCEDENTES), (req, "Requerimientos_", schemas.REQUERIMIENTOS)):
+        filled = df.select(*[F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None).cast("string").alias(f.name)
+                             for f in schema.fields])
+        writers.write_csv(filled, f"{base}/{prefix}1.csv")
+    cleaning_job(spark, ReportFolder(base), target)
+    done = spark.read.option("header", True).csv(target)
+    return done.select(F.col("`No.`").alias("no"), F.col("FECHA TRANSMISIÓN").alias("fecha"), F.col("HORA TRANSMISIÓN").alias("hora"),
+                       F.col("ESTADO").alias("estado"))
 
 
 @query("stream_latest", """

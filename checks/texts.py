@@ -21,11 +21,16 @@ from spotlake.sources.scratch import materialise, scratch_path
 _STOP = sql_list(ENGLISH_STOP_WORDS)
 
 
-def catalogue_lines(spark, d):
-    """One catalogue document per text: its lines as parties, their sentences as spots; one more entry per source."""
+def catalogue_lines(spark, d, own_folios=True):
+    """One catalogue document per text: its lines as parties, their sentences as spots; one more entry per source.
+
+    Without `own_folios` all texts share their folios.
+    """
+    owner = F.col("doc_id").cast("string") if own_folios else F.lit("x")
+
     def folio(n, i, j):
         return F.struct(
-            F.concat(F.lit("http://host/a/"), F.col("doc_id").cast("string"), F.lit("/"), i.cast("string"), F.lit("_"),
+            F.concat(F.lit("http://host/a/"), owner, F.lit("/"), i.cast("string"), F.lit("_"),
                      j.cast("string"), F.lit(".mp4")).alias("folio"),
             (F.length(n) % 2 == 0).alias("cautelar"),
             F.concat(F.lit("T"), F.col("doc_id").cast("string"), F.lit("-"), i.cast("string"), F.lit("-"),
@@ -42,7 +47,7 @@ def catalogue_lines(spark, d):
         F.concat(F.lit("autoridad_"), "lang"),
         F.array(F.struct(F.col("source").alias("actor_politico"), F.array("lang").alias("version"),
                          F.array(folio(F.col("lang"), F.lit(-1), F.lit(0))).alias("folio"))))
-    return table(spark, d, "documents").select(F.to_json(F.array(by_line, by_source)).alias("value"))
+    return table(spark, d, "documents").select("doc_id", F.to_json(F.array(by_line, by_source)).alias("value"))
 
 
 @query("flatten_nested", r"""
@@ -66,7 +71,7 @@ def catalogue_lines(spark, d):
     FROM s""")
 def _flatten(spark, d):
     path = scratch_path(spark, "catalogue")
-    catalogue_lines(spark, d).write.text(path)
+    catalogue_lines(spark, d).select("value").write.text(path)
     flat = P.work_list(read_catalogue(spark, path, whole_files=False), ignored_actors=["de"])
     return P.with_download_paths(flat).select(
         "entry_pos", "party_pos", "spot_pos", "key", "partido", "nombre", "directorio", "folio", "cautelar", "target")
@@ -78,11 +83,12 @@ def _flatten(spark, d):
         FROM documents
     ),
     s AS (SELECT doc_id, i, unnest(string_split(line, '. ')) AS v, unnest(range(len(string_split(line, '. ')))) AS j FROM l)
-    SELECT 'http://host/a/' || doc_id || '/' || i || '_' || j || '.mp4' AS folio, length(v) % 2 = 0 AS cautelar FROM s
-    UNION ALL SELECT 'http://host/a/' || doc_id || '/-1_0.mp4', length(lang) % 2 = 0 FROM documents""")
+    SELECT 'http://host/a/x/' || i || '_' || j || '.mp4' AS folio, arg_max(length(v) % 2 = 0, doc_id) AS cautelar FROM s GROUP BY i, j
+    UNION ALL SELECT 'http://host/a/x/-1_0.mp4', arg_max(length(lang) % 2 = 0, doc_id) FROM documents""")
 def _order_index(spark, d):
+    """All texts share their folios: the last text, by file and line, decides."""
     path = scratch_path(spark, "catalogue")
-    catalogue_lines(spark, d).write.text(path)
+    catalogue_lines(spark, d, own_folios=False).orderBy("doc_id").select("value").write.text(path)
     return P.order_index(flatten_catalogue(read_catalogue(spark, path, whole_files=False)))
 
 
@@ -91,19 +97,20 @@ def _order_index(spark, d):
         SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line,
             unnest(range(len(string_split(text, chr(10))))) AS i
         FROM documents
+    ),
+    s AS (
+        SELECT doc_id, source || '/P' || i AS directorio, 'P' || i AS partido, 'T' || doc_id || '-' || i || '-' AS t,
+            unnest(string_split(line, '. ')) AS nombre, unnest(range(len(string_split(line, '. ')))) AS j
+        FROM l
+        UNION ALL SELECT doc_id, lang || '/' || source, source, 'T' || doc_id || '--1-', lang, 0 FROM documents
     )
-    SELECT 'T' || l.doc_id || '-' || i || '-0' AS titulo, source || '/P' || i AS directorio, 'P' || i AS partido,
-        string_split(line, '. ')[1] AS nombre, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS transcripcion
-    FROM l JOIN labels ON l.doc_id = labels.doc_id""")
+    SELECT t || j AS titulo, directorio, partido, nombre, 't: ' || nombre AS transcripcion FROM s""")
 def _records(spark, d):
-    """Catalogue spots whose title has a transcript: the first sentence of each line of a labelled text."""
+    """Catalogue spots with their transcripts; every title has one."""
     path = scratch_path(spark, "catalogue")
-    catalogue_lines(spark, d).write.text(path)
+    catalogue_lines(spark, d).select("value").write.text(path)
     flat = P.work_list(read_catalogue(spark, path, whole_files=False))
-    labelled = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
-    transcripts = labelled.select("doc_id", "quality", F.posexplode(F.split("text", "\n")).alias("i", "line")).select(
-        F.concat(F.lit("T"), "doc_id", F.lit("-"), "i", F.lit("-0")).alias("titulo"),
-        F.when(F.col("quality") == 1, "yes").otherwise("no").alias("transcripcion"))
+    transcripts = materialise(flat.select("titulo", F.concat(F.lit("t: "), "nombre").alias("transcripcion")), "transcripts")
     return P.with_transcripts(flat, transcripts).select("titulo", "directorio", "partido", "nombre", "transcripcion")
 
 

@@ -49,7 +49,11 @@ def as_text(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.withColumns({n: quoted(n).cast("string") for n in names})
 
 
-def with_load_time(df: DataFrame, name: str = "Silver_Loadedtimestamp") -> DataFrame:
+# Fixed value: the name of the load-time column.
+LOAD_TIME = "Silver_Loadedtimestamp"
+
+
+def with_load_time(df: DataFrame, name: str = LOAD_TIME) -> DataFrame:
     return df.withColumn(name, F.current_timestamp())
 
 

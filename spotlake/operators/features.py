@@ -12,10 +12,12 @@ from spotlake.operators.sizing import over_all_cores
 from spotlake.sources.scratch import materialise
 
 
-def term_counts(df: DataFrame, key: str, text: str, words_out: list[str] | None = None) -> DataFrame:
+def term_counts(
+    df: DataFrame, key: str, text: str, words_out: list[str] | None = None, unicode_words: bool = False
+) -> DataFrame:
     """(key, term, tf). All words of a text are counted in its own task before the shuffle."""
     texts = over_all_cores(df.select(quoted(key), quoted(text)), [key])
-    words = texts.select(quoted(key), F.explode(word_tokens(quoted(text))).alias("term"))
+    words = texts.select(quoted(key), F.explode(word_tokens(quoted(text), unicode_words)).alias("term"))
     if words_out:
         words = words.where(is_content_word("term", words_out))
     return words.groupBy(quoted(key), "term").agg(F.count(F.lit(1)).alias("tf"))

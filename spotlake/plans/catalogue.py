@@ -53,5 +53,9 @@ def pending_audio(listing: DataFrame, index: DataFrame, only_ids: DataFrame | No
 
 
 def transcripts_from_index(index: DataFrame) -> DataFrame:
-    """Transcription index (path, text) as transcripts (titulo, transcripcion): the file name gives the title."""
-    return index.select(file_id("path").alias("titulo"), F.col("text").alias("transcripcion"))
+    """Transcription index (path, text) as transcripts (titulo, transcripcion).
+
+    The file name gives the title; where files share one, the last path counts.
+    """
+    titled = index.select(file_id("path").alias("titulo"), "path", "text")
+    return titled.groupBy("titulo").agg(F.max_by("text", "path").alias("transcripcion"))

@@ -1,45 +1,29 @@
-"""Party classifier over transcripts: tokens, TF-IDF, multinomial Naive Bayes."""
+"""Party classifier over transcripts: tokens, TF-IDF, multinomial Naive Bayes.
+
+Counts, weights and scores are tables, so no vocabulary is gathered or cut.
+`mllib_pipeline` builds the same stages from MLlib for comparison; its counting
+stage gathers at most `vocabulary` words on the driver.
+"""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import (
-    IDF, CountVectorizer, HashingTF, IndexToString, RegexTokenizer, StopWordsRemover, StringIndexer, StringIndexerModel,
-)
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, StopWordsRemover, StringIndexer
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from spotlake.functions.keys import bucket_of
 from spotlake.functions.text import stop_words
-from spotlake.operators.aggregates import confusion_matrix
+from spotlake.operators.aggregates import accuracy, confusion_matrix
 from spotlake.operators.columns import quoted
-from spotlake.operators.sizing import over_all_cores
+from spotlake.operators.features import document_frequencies, term_counts
 from spotlake.sources.scratch import materialise
 
 
-def feature_pipeline(
-    text: str, label: str, language: str = "english", vocabulary: int = 1 << 18, hashing: bool = False,
-    unicode_words: bool = False, min_df: float = 1.0,
-) -> Pipeline:
-    """Five stages: tokens, stop words, term counts, IDF, label index.
-
-    Fitting the counting stage gathers at most `vocabulary` words on the driver.
-    With `hashing` words are hashed to that many slots and nothing is gathered.
-    """
-    tokens = RegexTokenizer(inputCol=text, outputCol="words", pattern=r"(?U)\W" if unicode_words else r"\W")
-    remover = StopWordsRemover(inputCol="words", outputCol="filtered_words", stopWords=stop_words(language))
-    if hashing:
-        counts = HashingTF(inputCol="filtered_words", outputCol="raw_features", numFeatures=vocabulary)
-    else:
-        counts = CountVectorizer(inputCol="filtered_words", outputCol="raw_features", vocabSize=vocabulary, minDF=min_df)
-    idf = IDF(inputCol="raw_features", outputCol="features")
-    index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="frequencyDesc")
-    return Pipeline(stages=[tokens, remover, counts, idf, index])
-
-
 def in_training(key: Column | str, share_pct: int = 80) -> Column:
     """Whether a row belongs to the training part; depends on the key alone."""
     return bucket_of(key) < share_pct
@@ -58,62 +42,107 @@ def random_split(df: DataFrame, share: float = 0.8, seed: int = 42) -> tuple[Dat
 
 @dataclass(frozen=True)
 class Classifier:
-    """Fitted features and model."""
+    """A fitted model as tables.
 
-    features: PipelineModel
-    model: NaiveBayesModel
-    key: str
+    `weights` has (term, idf, gains): for each label that has the term, by its
+    number, how much one unit of TF-IDF speaks for it beyond a term it lacks.
+    `priors` has (number, prior, floor), one row per label.
+    """
 
-    @property
-    def labels(self) -> list[str]:
-        """Label texts by index, most frequent first."""
-        indexer = self.features.stages[-1]
-        assert isinstance(indexer, StringIndexerModel)
-        return list(indexer.labels)
+    weights: DataFrame
+    priors: list[tuple[int, float, float]]
+    labels: list[str]
+    text: str
+    label: str
+    key: str
+    words_out: list[str]
+    unicode_words: bool
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Rows with `label`, `prediction` and the predicted text in `predicted`."""
-        scored = self.model.transform(self.features.transform(over_all_cores(df, [self.key])))
-        return IndexToString(inputCol="prediction", outputCol="predicted", labels=self.labels).transform(scored)
+        """Rows with `label` and `prediction` as numbers and the predicted text in `predicted`; the key identifies a row."""
+        terms = term_counts(df, self.key, self.text, self.words_out, self.unicode_words)
+        known = terms.join(self.weights, "term").withColumn("_x", F.col("tf") * F.col("idf"))
+        # Per text: its whole weight, and what its terms add for each label that has them.
+        mass = known.groupBy(quoted(self.key)).agg(F.sum("_x").alias("_mass"))
+        each = known.select(quoted(self.key), "_x", F.explode("gains").alias("g")).groupBy(quoted(self.key), "g.number").agg(
+            F.sum(F.col("_x") * F.col("g.gain")).alias("_gain"))
+        gains = each.groupBy(quoted(self.key)).agg(F.map_from_entries(F.collect_list(F.struct("number", "_gain"))).alias("_gains"))
+        found = mass.join(gains, self.key, "left")
+        # One entry per label, the order of which breaks ties.
+        priors = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(p).alias("p"), F.lit(f).alias("f")) for n, p, f in self.priors))
+        scores = F.transform(priors, lambda c: F.struct(
+            (c["p"] + F.coalesce("_mass", F.lit(0.0)) * c["f"] + F.coalesce(F.try_element_at("_gains", c["n"]), F.lit(0.0))).alias("score"),
+            (-c["n"]).alias("number")))
+        names = F.array(*map(F.lit, self.labels))
+        number = (-F.array_max(scores)["number"]).cast("double")
+        place = F.array_position(names, quoted(self.label)) - 1
+        return df.join(found, self.key, "left").withColumns({
+            "prediction": number, "label": F.when(place >= 0, place.cast("double")),
+            "predicted": F.get(names, number.cast("int"))}).drop("_mass", "_gains")
 
 
 def fit_classifier(
-    train: DataFrame, text: str, label: str, key: str, fit_features_on: DataFrame | None = None, **options
+    train: DataFrame, text: str, label: str, key: str, fit_features_on: DataFrame | None = None,
+    language: str = "english", unicode_words: bool = False, smoothing: float = 1.0,
 ) -> Classifier:
     """Fit features and model on the training rows; `key` identifies a row.
 
-    `fit_features_on` takes a wider table for the feature stages, such as all rows
-    before the split; test rows then leak into vocabulary and IDF.
-
-    Term counts are written once and the later stages fit on that table, so texts
-    are split twice in all, not once per stage.
+    `fit_features_on` takes a wider table for document frequencies and labels,
+    such as all rows before the split; test rows then leak into both. Labels are
+    the classes of the model, numbered by falling frequency, then by name.
     """
-    tokens, remover, counts, idf, index = feature_pipeline(text, label, **options).getStages()
-    slim = [quoted(c) for c in dict.fromkeys([key, text, label])]
-
-    def words(df: DataFrame) -> DataFrame:
-        return remover.transform(tokens.transform(over_all_cores(df.select(*slim), [key])))
-
+    words_out = stop_words(language)
     basis = train if fit_features_on is None else fit_features_on
-    counter = counts.fit(words(basis)) if isinstance(counts, CountVectorizer) else counts
-
-    def counted(df: DataFrame) -> DataFrame:
-        return materialise(counter.transform(words(df)).select(quoted(label), "raw_features"), "term_counts")
-
-    basis_counts = counted(basis)
-    idf_model, index_model = idf.fit(basis_counts), index.fit(basis_counts)
-    train_counts = basis_counts if fit_features_on is None else counted(train)
-    bayes = NaiveBayes(featuresCol="features", labelCol="label", predictionCol="prediction", smoothing=1.0)
-    model = bayes.fit(index_model.transform(idf_model.transform(train_counts)))
-    return Classifier(PipelineModel([tokens, remover, counter, idf_model, index_model]), model, key)
+    texts = basis.agg(F.count(F.lit(1))).first()[0]
+    counts = materialise(term_counts(train, key, text, words_out, unicode_words), "term_counts")
+    basis_counts = counts if fit_features_on is None else term_counts(basis, key, text, words_out, unicode_words)
+    idf = F.log((F.lit(texts) + 1) / (F.col("df") + 1))
+    vocabulary = materialise(document_frequencies(basis_counts).select("term", idf.alias("idf")), "vocabulary")
+
+    per_label = basis.where(quoted(label).isNotNull()).groupBy(quoted(label).cast("string").alias("name")).agg(
+        F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").collect()
+    names = [r["name"] for r in per_label]
+    rows = {r["name"]: r["n"] for r in train.groupBy(quoted(label).cast("string").alias("name")).agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    number = (F.array_position(F.array(*map(F.lit, names)), F.col("name")) - 1).cast("int")
+
+    weighed = counts.join(vocabulary, "term").join(
+        train.select(quoted(key), quoted(label).cast("string").alias("name")), key).groupBy("name", "term").agg(
+        F.sum(F.col("tf") * F.col("idf")).alias("x"), F.first("idf").alias("idf"))
+    weighed = materialise(weighed.where(F.col("name").isNotNull()).withColumn("number", number), "label_terms")
+    size = vocabulary.count()
+    mass = {r["number"]: r["x"] for r in weighed.groupBy("number").agg(F.sum("x").alias("x")).collect()}
+    # The chance of a term is (x + smoothing) / (mass + smoothing * terms); its logarithm splits into a gain and a floor.
+    gain = F.log((F.col("x") + smoothing) / smoothing)
+    gains = weighed.groupBy("term").agg(
+        F.collect_list(F.struct("number", gain.alias("gain"))).alias("gains"))
+    weights = materialise(vocabulary.join(gains, "term", "left").withColumn(
+        "gains", F.coalesce("gains", F.array().cast("array<struct<number:int,gain:double>>"))), "weights")
+    total = sum(rows.get(n, 0) for n in names)
+    priors = [(i, math.log(rows.get(n, 0) + smoothing) - math.log(total + smoothing * len(names)),
+               math.log(smoothing) - math.log(mass.get(i, 0.0) + smoothing * size) if size else 0.0) for i, n in enumerate(names)]
+    return Classifier(weights, priors, names, text, label, key, words_out, unicode_words)
 
 
 def accuracy_of(predictions: DataFrame) -> float:
-    return MulticlassClassificationEvaluator(
-        labelCol="label", predictionCol="prediction", metricName="accuracy").evaluate(predictions)
+    return accuracy(predictions, "label", "prediction").first()["accuracy"]
 
 
 def confusion_of(predictions: DataFrame, classifier: Classifier) -> DataFrame:
-    """Confusion matrix with label and class numbers as in the label index."""
+    """Confusion matrix with label and class numbers as in the model."""
     classes = [float(i) for i in range(len(classifier.labels))]
     return confusion_matrix(predictions, "label", "prediction", classes)
+
+
+def mllib_pipeline(
+    text: str, label: str, language: str = "english", vocabulary: int = 1 << 18, unicode_words: bool = False, min_df: float = 1.0,
+) -> Pipeline:
+    """The feature stages and the model as one MLlib pipeline, for vocabularies that fit the driver."""
+    return Pipeline(stages=[
+        RegexTokenizer(inputCol=text, outputCol="tokens", pattern=r"(?U)\W" if unicode_words else r"\W"),
+        StopWordsRemover(inputCol="tokens", outputCol="content", stopWords=stop_words(language)),
+        CountVectorizer(inputCol="content", outputCol="counts", vocabSize=vocabulary, minDF=min_df),
+        IDF(inputCol="counts", outputCol="tfidf"),
+        StringIndexer(inputCol=label, outputCol="label", stringOrderType="frequencyDesc"),
+        NaiveBayes(featuresCol="tfidf", labelCol="label", predictionCol="prediction", smoothing=1.0),
+    ])

@@ -134,15 +134,23 @@ def read_report_with_preamble(
         *[F.col("r").getField(f.name).alias(f.name) for f in schema.fields])
 
 
-def read_catalogue(spark: SparkSession, path: str | list[str], whole_files: bool = True) -> DataFrame:
-    """(doc, catalogue): parsed catalogue documents.
+def read_catalogue(
+    spark: SparkSession, path: str | list[str], whole_files: bool = True, order: list[str] | None = None
+) -> DataFrame:
+    """(doc_no, doc, part, catalogue): parsed catalogue documents.
 
     A document is a whole file, or with `whole_files=False` one line, in which
-    case large files are split over tasks.
+    case large files are split over tasks. `order` lists file names from oldest to
+    newest; files it lacks come first. `part` is the place of a line in its file.
     """
+    file = F.substring_index("_metadata.file_path", "/", -1)
+    number = F.array_position(F.array(*map(F.lit, order)), file) if order else F.lit(0)
     text = spark.read.text(path, wholetext=whole_files).select(
-        F.col("_metadata.file_path").alias("doc"), F.col("value"))
-    return text.select("doc", F.from_json("value", schemas.CATALOGUE).alias("catalogue"))
+        number.cast("long").alias("doc_no"), F.col("_metadata.file_path").alias("doc"),
+        # Numbers rise along a split.
+        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line")).alias("part"),
+        F.col("value"))
+    return text.select("doc_no", "doc", "part", F.from_json("value", schemas.CATALOGUE).alias("catalogue"))
 
 
 def list_media(spark: SparkSession, folder: str, suffix: str = ".mp3") -> DataFrame:

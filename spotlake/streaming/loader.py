@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from spotlake.operators.aggregates import latest_rows
-from spotlake.operators.columns import with_load_time
+from spotlake.operators.columns import LOAD_TIME, with_load_time
 from spotlake.sources.readers import read_if_present
 
 BATCH = "batch_id"
@@ -38,13 +38,15 @@ class StreamTarget:
 
     `append` writes each batch to its own folder, so a batch that is run again
     replaces itself and no batch is lost. `overwrite` replaces the table with
-    every batch, so after several batches only the last one is left.
+    every batch, so after several batches only the last one is left. Rows carry
+    the time they were loaded unless `load_time` is off.
     """
 
     spark: SparkSession
     base: str
     schema: T.StructType
     mode: str = "append"
+    load_time: bool = True
 
     def runs(self) -> list[int]:
         pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/run=*")
@@ -54,7 +56,7 @@ class StreamTarget:
     def _run_path(self, number: int) -> str:
         return f"{self.base}/run={number}"
 
-    def load(self, stream: DataFrame, full_reload: bool = False, load_time: bool = True) -> StreamingQuery:
+    def load(self, stream: DataFrame, full_reload: bool = False) -> StreamingQuery:
         """Start a load of everything available now; await the returned query."""
         done = self.runs()
         number = 0 if not done else done[-1] + 1 if full_reload else done[-1]
@@ -67,22 +69,41 @@ class StreamTarget:
             target = f"{data}/{BATCH}={batch_id}" if mode == "append" else data
             batch.write.mode("overwrite").parquet(target)
 
-        rows = with_load_time(stream) if load_time else stream
+        rows = with_load_time(stream) if self.load_time else stream
         return (
             rows.writeStream.foreachBatch(write)
             .option("checkpointLocation", f"{path}/checkpoint")
             .trigger(availableNow=True).start()
         )
 
-    def table(self) -> DataFrame:
-        """Rows of the latest run in the fixed schema, in append mode with their batch number."""
+    def table_schema(self) -> T.StructType:
+        """The fixed schema, the load time, and in append mode the batch number."""
         fields = list(self.schema.fields)
+        if self.load_time:
+            fields.append(T.StructField(LOAD_TIME, T.TimestampType()))
         if self.mode == "append":
             fields.append(T.StructField(BATCH, T.LongType()))
+        return T.StructType(fields)
+
+    def table(self) -> DataFrame:
+        """Rows of the latest run."""
+        done = self.runs()
+        if not done:
+            return self.spark.createDataFrame([], self.table_schema())
+        return read_if_present(self.spark, f"{self._run_path(done[-1])}/data", self.table_schema())
+
+    def register(self, name: str) -> DataFrame:
+        """The latest run as a table of the catalogue, replacing one of that name; its files stay where they are."""
         done = self.runs()
-        data = f"{self._run_path(done[-1])}/data" if done else None
-        return read_if_present(self.spark, data, T.StructType(fields)) if data else self.spark.createDataFrame(
-            [], T.StructType(fields))
+        if not done:
+            raise ValueError("nothing has been loaded yet")
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.table_schema().fields)
+        parted = f"PARTITIONED BY ({BATCH})" if self.mode == "append" else ""
+        self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {parted} LOCATION '{self._run_path(done[-1])}/data'")
+        if parted:
+            self.spark.catalog.recoverPartitions(name)
+        return self.spark.table(name)
 
     def latest(self, keys: list[str], order: list[str]) -> DataFrame:
         """Last row of each key over all batches, later batches winning: repeated input does no harm."""

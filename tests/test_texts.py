@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import json
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spotlake.functions.text import stop_words
 from spotlake.operators.features import document_frequencies, term_counts, tfidf, top_terms
@@ -142,7 +144,22 @@ def test_pending_audio(spark):
     assert sorted(r.path for r in C.pending_audio(listing, index).collect()) == ["a/b/RV2.mp3", "a/c/RV3.mp3"]
     only = spark.createDataFrame([("RV3",), ("RV3",), ("RV1",)], "id string")
     assert [r.path for r in C.pending_audio(listing, index, only).collect()] == ["a/c/RV3.mp3"]
-    assert tuple(C.transcripts_from_index(index).first()) == ("RV1", "text")
+    twice = index.union(spark.createDataFrame([("b/c/RV1.mp3", "later"), ("0/RV1.mp3", "x")], index.schema))
+    assert [tuple(r) for r in C.transcripts_from_index(twice).collect()] == [("RV1", "later")]
+
+
+def test_order_index_over_lines_and_files(spark, tmp_path):
+    def line(flag):
+        return json.dumps([{"a_tv": [{"actor_politico": "A", "version": ["v"], "folio": [{"folio": "f", "cautelar": flag, "titulo": "t"}]}]}])
+
+    (tmp_path / "b.json").write_text("\n".join([line(True)] * 50 + [line(False)]) + "\n", encoding="utf-8")
+    (tmp_path / "a.json").write_text("\n".join([line(False)] * 50 + [line(True)]) + "\n", encoding="utf-8")
+
+    def last(**options):
+        flat = flatten_catalogue(read_catalogue(spark, str(tmp_path), whole_files=False, **options))
+        return C.order_index(flat).first().cautelar
+
+    assert last() is False and last(order=["b.json", "a.json"]) is True and last(order=["a.json"]) is True
 
 
 def labelled_texts(spark):
@@ -151,7 +168,7 @@ def labelled_texts(spark):
     return spark.createDataFrame(data, "k string, t string, p string")
 
 
-@pytest.mark.parametrize("options", [{}, {"hashing": True, "vocabulary": 1 << 12}, {"language": "spanish", "unicode_words": True}])
+@pytest.mark.parametrize("options", [{}, {"language": "spanish", "unicode_words": True}])
 def test_classifier_learns(spark, options):
     train, test = K.hash_split(labelled_texts(spark), "k")
     assert train.count() + test.count() == 120 and test.count() > 10
@@ -164,13 +181,36 @@ def test_classifier_learns(spark, options):
     assert sum(sum(r[1:]) for r in matrix.collect()) == test.count()
 
 
+def test_classifier_equals_mllib(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    data = [(i, " ".join(rng.choice(words[(i % 3) * 8:]) for _ in range(12)), "abc"[i % 3 if i % 7 else 0]) for i in range(300)]
+    data += [(1000, "", "a"), (1001, "unknownword", "b"), (1002, None, "c")]
+    df = spark.createDataFrame(data, "k int, t string, p string")
+    train, test = K.hash_split(df, "k")
+    mine = {r.k: r.prediction for r in K.fit_classifier(train, "t", "p", key="k").predict(test).collect()}
+    texts = test.na.fill("", ["t"])
+    theirs = {r.k: r.prediction for r in K.mllib_pipeline("t", "p").fit(train.na.fill("", ["t"])).transform(texts).collect()}
+    assert len(mine) > 30 and mine == theirs
+
+
 def test_classifier_with_features_from_all_rows(spark):
     data = labelled_texts(spark)
     train, test = K.random_split(data)
     fitted = K.fit_classifier(train, "t", "p", key="k", fit_features_on=data)
     assert K.accuracy_of(fitted.predict(test)) == 1.0
-    plain = K.feature_pipeline("t", "p").fit(data).transform(data)
-    assert {"words", "filtered_words", "raw_features", "features", "label"} <= set(plain.columns)
+
+
+def test_classifier_with_more_terms_than_the_usual_vocabulary(spark):
+    """Every term counts, however many there are: the telling ones are the rarest."""
+    rows = spark.range(3000).select(
+        F.col("id").alias("k"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("p"),
+        F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("w"), (F.col("id") * 100 + i).cast("string"))),
+                    F.concat(F.lit("mark"), (F.col("id") % 2).cast("string"))).alias("t"))
+    fitted = K.fit_classifier(rows, "t", "p", key="k")
+    assert fitted.weights.count() == 300_002 > 1 << 18
+    new = spark.createDataFrame([(1, "mark1 w7 w7"), (2, "mark0 w299998")], "k long, t string").withColumn("p", F.lit(None).cast("string"))
+    assert {r.k: r.predicted for r in fitted.predict(new).collect()} == {1: "even", 2: "odd"}
 
 
 def test_stop_words_by_language():
