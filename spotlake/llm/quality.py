@@ -116,6 +116,25 @@ def frequent_lines(lines: DataFrame, hosts: DataFrame, max_documents: int, max_s
         F.col("documents") > max_share * F.col("host_documents")).select("host", "line", F.col("first.row").alias("first_row"))
 
 
+def _lines(found: DataFrame) -> DataFrame:
+    """One row per different line of each document."""
+    return found.select("row", "id", "host", "digest", F.explode(F.arrays_zip("line", "line_words")).alias("l")).select(
+        "row", "id", "host", "digest", "l.line", "l.line_words")
+
+
+def _removed(found: DataFrame, max_documents: int, max_share: float) -> DataFrame:
+    """Lines that go, one row per document and line."""
+    hosts = found.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_documents"))
+    lines = _lines(found)
+    frequent = materialise(frequent_lines(lines, hosts, max_documents, max_share), "frequent-lines")
+    return lines.join(frequent, ["host", "line"]).where("row <> first_row")
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, host_col: str, row_col: str | None) -> DataFrame:
+    return materialise(measured(docs, id_col, text_col, host_col, row_col).withColumn(
+        "host", F.when(F.col("host").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("host")))), "measures")
+
+
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
            max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED,
            row_col: str | None = None) -> DataFrame:
@@ -124,17 +143,32 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     Returns `row`, `doc_id`, `n_words`, `word_chars`, `n_symbols`, `n_dup_lines`,
     `n_repeat_words`, `base_failed`, `n_removed_words`, `kept`.
     """
-    found = materialise(measured(docs, id_col, text_col, host_col, row_col).withColumn(
-        "host", F.when(F.col("host").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("host")))), "measures")
-    hosts = found.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_documents"))
-    lines = found.select("row", "id", "host", "digest", F.explode(F.arrays_zip("line", "line_words")).alias("l")).select(
-        "row", "id", "host", "digest", "l.line", "l.line_words")
-    frequent = materialise(frequent_lines(lines, hosts, max_documents, max_share), "frequent-lines")
-    removed = lines.join(frequent, ["host", "line"]).where("row <> first_row").groupBy("row").agg(
-        F.sum("line_words").alias("removed"))
+    found = _found(docs, id_col, text_col, host_col, row_col)
+    removed = _removed(found, max_documents, max_share).groupBy("row").agg(F.sum("line_words").alias("removed"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     lost = F.coalesce(F.col("removed"), F.lit(0).cast("long"))
     return found.join(removed, "row", "left").select(
         "row", F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed.alias("base_failed"), lost.alias("n_removed_words"),
         (~base_failed & (lost <= max_removed * F.col("n_words"))).alias("kept"))
+
+
+def without_frequent_lines(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+                           max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
+    """`row`, `text`: the texts without the lines above the limits. `row_col` holds a stable row key."""
+    found = _found(docs, id_col, text_col, host_col, row_col)
+    removed = _removed(found, max_documents, max_share).groupBy("row").agg(F.collect_set("line").alias("gone"))
+    texts = docs.select(F.col(f"`{row_col}`").alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def strip(batches):
+        for batch in batches:
+            out = []
+            for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if gone and text is not None:
+                    gone, lines = set(gone), text.split("\n")
+                    hashes = [_signed_hash(normal_line(line.encode("utf-8", "replace"))) for line in lines]
+                    text = "\n".join(line for line, h in zip(lines, hashes) if h not in gone)
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
+
+    return texts.join(removed, "row", "left").select("row", "text", "gone").mapInArrow(strip, f"row {type_of(texts, 'row')}, text string")

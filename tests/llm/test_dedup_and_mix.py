@@ -178,6 +178,10 @@ def test_lines_that_a_host_repeats(spark):
     assert got[100]["kept"] and got[101]["kept"] and all(got[200 + i]["kept"] for i in range(40))
     assert got[102]["base_failed"] and got[102]["n_words"] == 0
     assert quality.judged(docs.limit(0)).count() == 0
+    keyed = docs.withColumn("key", F.col("doc_id"))
+    texts = {r["row"]: r["text"] for r in quality.without_frequent_lines(keyed, "key", max_documents=20, max_share=0.02).collect()}
+    assert texts[0] == rows[0][1] and texts[100] == full and texts[102] is None
+    assert texts[3] == f"{own[13]}\n{own[14]}\n"
 
 
 def test_repeated_words():
