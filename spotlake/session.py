@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 # Adaptive execution re-plans joins from measured shuffle sizes, splits skewed
-# shuffle partitions and merges small ones, so no shuffle width is fixed here.
+# shuffle partitions and merges small ones; set `spark.sql.shuffle.partitions` to
+# the width of the largest shuffle.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
