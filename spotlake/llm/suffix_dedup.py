@@ -48,8 +48,8 @@ CROWD = 20_000
 BUCKET_ROWS = 40_000
 BUCKET_SUFFIXES = 200_000
 SAMPLED = 64
-_SEGMENT = 1 << 20
-_BATCH = 1 << 21
+_SEGMENT = 1 << 18
+_BATCH = 1 << 19
 _PLACE = np.uint64((1 << 22) - 1)
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _TABLE = np.random.default_rng(100).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,11 +60,11 @@ ship(__name__)
 def gram_hashes(body: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the 24 bytes from each place on."""
     h = _TABLE[body]
-    spans = {1: h}
-    for size, mix in zip((1, 2, 4, 8), _MIX):
+    for size, mix in zip((1, 2, 4), _MIX):
         h = h[:-size] * mix + h[size:]
-        spans[2 * size] = h
-    h = spans[16][:len(body) - GRAM + 1] * _MIX[4] + spans[8][16:16 + len(body) - GRAM + 1]
+    # From eight bytes to twice and three times as many.
+    n = len(body) - GRAM + 1
+    h = (h[:n] * _MIX[3] + h[8:8 + n]) * _MIX[4] + h[16:16 + n]
     h ^= h >> np.uint64(31)
     h *= _MIX[0]
     h ^= h >> np.uint64(29)
@@ -210,10 +210,11 @@ def _suffix_rows(batch: pa.RecordBatch, length: int):
         yield [texts[n][p:b] for n, _, p, b in at], [texts[n][a:p] for n, a, p, _ in at], place - last, place - first, rows[number], place
 
 
-def _keys(suffix: list[bytes], rows: np.ndarray) -> list[bytes]:
-    """Leading bytes, then the row, which parts even copies of one suffix."""
-    tails = (rows.astype(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").tobytes()
-    return [s[:_KEY] + tails[8 * i:8 * i + 8] for i, s in enumerate(suffix)]
+def _keys(suffix: list[bytes], rows: np.ndarray, place: np.ndarray) -> list[bytes]:
+    """Leading bytes, then row and place, which part even copies of one suffix."""
+    sign = np.uint64(1 << 63)
+    tails = (np.stack((rows, place), axis=1).astype(np.uint64) ^ sign).astype(">u8").tobytes()
+    return [s[:_KEY] + tails[16 * i:16 * i + 16] for i, s in enumerate(suffix)]
 
 
 def splitters(bodies: DataFrame, length: int) -> list[bytes]:
@@ -221,13 +222,18 @@ def splitters(bodies: DataFrame, length: int) -> list[bytes]:
     total = bodies.agg(F.sum(F.size("places"))).first()[0] or 0
     buckets = max(int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_SUFFIXES))
     share = min(1.0, SAMPLED * buckets / max(1, total))
+    # One place in `thin` of more documents, so that no document weighs much.
+    thin = 16 if share < 1 / 16 else 1
+    limit = int(thin * share * (1 << 20)) + 1
 
     def sample(batches):
         for batch in batches:
-            for suffix, _, _, _, rows, _ in _suffix_rows(batch, length):
-                yield _rows(key=pa.array(_keys(suffix, rows), pa.binary()))
+            for suffix, _, _, _, rows, place in _suffix_rows(batch, length):
+                drawn = ((place * 2654435761 + rows * 40503) >> 7) % thin == 0
+                keys = _keys([s for s, d in zip(suffix, drawn) if d], rows[drawn], place[drawn])
+                yield _rows(key=pa.array(keys, pa.binary()))
 
-    drawn = bodies.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).mapInArrow(sample, "key binary")
+    drawn = bodies.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < limit).mapInArrow(sample, "key binary")
     keys = sorted(bytes(r["key"]) for r in drawn.collect())
     return [keys[i * len(keys) // buckets] for i in range(1, buckets)] if keys else []
 
@@ -242,7 +248,7 @@ def suffixes(bodies: DataFrame, length: int) -> DataFrame:
     def emit(batches):
         for batch in batches:
             for suffix, before, low, high, rows, place in _suffix_rows(batch, length):
-                bucket = np.fromiter((bisect_right(cuts, k) for k in _keys(suffix, rows)), np.int32, len(suffix))
+                bucket = np.fromiter((bisect_right(cuts, k) for k in _keys(suffix, rows, place)), np.int32, len(suffix))
                 yield _rows(bucket=bucket, suffix=pa.array(suffix, pa.binary()), before=pa.array(before, pa.binary()),
                             low=low, high=high, row=rows, place=place)
 
