@@ -183,4 +183,31 @@ ORACLES = {
             CASE WHEN payload_bytes >= 1000 AND n > 1 THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN payload_bytes >= 1000 AND n > 1 THEN keep END AS refers_to
         FROM p""",
+    "op7_suffix_dedup": f"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        n AS (SELECT doc_id, h, length(h) // 2 AS n_bytes FROM d),
+        w AS (
+            SELECT doc_id, s, substr(h, 2 * s + 1, {2 * suffix_dedup.LENGTH}) AS k
+            FROM (SELECT doc_id, h, unnest(range(n_bytes - {suffix_dedup.LENGTH - 1})) AS s FROM n)
+        ),
+        f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) > 1 AS again FROM w),
+        e AS (
+            SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {suffix_dedup.LENGTH}, true) AS apart
+            FROM f WHERE again
+        ),
+        g AS (SELECT doc_id, s, sum(apart::INTEGER) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM e),
+        runs AS (SELECT doc_id, min(s) AS a, max(s) + {suffix_dedup.LENGTH} AS b FROM g GROUP BY doc_id, run),
+        kept AS (
+            SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS lo, a AS hi FROM runs
+            UNION ALL
+            SELECT n.doc_id, coalesce(max(b), 0), any_value(n_bytes) FROM n LEFT JOIN runs ON n.doc_id = runs.doc_id GROUP BY n.doc_id
+        ),
+        rest AS (
+            SELECT n.doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS h
+            FROM n JOIN kept ON n.doc_id = kept.doc_id GROUP BY n.doc_id
+        ),
+        lost AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+        SELECT n.doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+            sha256(unhex(rest.h)) AS kept_sha256
+        FROM n JOIN rest ON n.doc_id = rest.doc_id LEFT JOIN lost ON n.doc_id = lost.doc_id""",
 }

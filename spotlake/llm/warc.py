@@ -32,7 +32,7 @@ from spotlake.llm.common import row_number_column, ship, text_of
 from spotlake.sources.scratch import materialise, scratch_path
 
 MIN_BYTES = 1000
-RECORDS_PER_FILE = 20_000
+RECORDS_PER_FILE = 5_000
 READ_BYTES = 32 << 20
 LEVEL = 1
 _CHUNK = 1 << 20
