@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spotlake.llm.common import row_number_column, ship, text_of
+from spotlake.llm.common import numbered, ship, text_of
 from spotlake.sources.scratch import materialise, scratch_path
 
 MIN_BYTES = 1000
@@ -50,7 +50,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             min_bytes: int = MIN_BYTES) -> DataFrame:
     """One column `record`: the text of a WARC record per page, without the blank lines that end it."""
     body = text_of(html_col)
-    rows = pages.select(row_number_column(None).alias("row"), F.col(f"`{id_col}`").alias("id"),
+    keyed, number = numbered(pages)
+    rows = keyed.select(F.col(number).alias("row"), F.col(f"`{id_col}`").alias("id"),
                         F.col(f"`{url_col}`").cast("string").alias("url"), body.alias("body"),
                         F.octet_length(body).alias("bytes"), F.sha1(body.cast("binary")).alias("digest"))
     narrow = rows.select("row", "id", "bytes", "digest")
