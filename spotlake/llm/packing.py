@@ -35,6 +35,8 @@ END_ID = 1
 SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 16
 K1, B = 1.2, 0.75
+# The added token of the vocabulary; the tokenizer file reads it as one id wherever it stands in a text.
+SPECIAL = {"<|endoftext|>": 50256}
 _IDS = 1 << 16
 
 ship(__name__)
@@ -46,7 +48,7 @@ def encoder(ranks_path: str, pattern: str) -> tiktoken.Encoding:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     if max(ranks.values()) >= _IDS:
         raise ValueError("ids of over 16 bits are not supported")
-    return tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("pack", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def crc(ids: np.ndarray) -> int:
@@ -62,7 +64,7 @@ def tokenised(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_
         for batch in batches:
             sizes, full, tails = [], [], []
             for text in batch.column(2):
-                ids = np.append(encoding.encode_to_numpy(text.as_py(), disallowed_special=()), END_ID).astype("<u4")
+                ids = np.append(encoding.encode_to_numpy(text.as_py(), allowed_special="all"), END_ID).astype("<u4")
                 whole = len(ids) // window * window
                 sizes.append(len(ids))
                 full.append([crc(ids[i:i + window]) for i in range(0, whole, window)])

@@ -65,6 +65,14 @@ def test_edge_cases(spark, tokenizer):
     assert sum(n for i, n in got if i == "None") == sum(n for i, n in got if i == "1") == 6
 
 
+def test_added_token_in_texts(spark, tokenizer):
+    end = "<|endoftext|>"
+    texts = dict(enumerate([f"{end}a b", f"a {end} b", f"a b{end}", end, f"{end}{end} \n {end}", f"x  {end}  y", end[:-1], f"<{end}>", (end + " word") * 3000]))
+    assert tokenizer.encode(end, add_special_tokens=False).ids == [50256]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check(pack(docs, RANKS, PATTERN).collect(), texts, tokenizer)
+
+
 def test_neighbours_share_rare_terms():
     tails = [np.array(t, np.uint16) for t in ([1, 2, 3], [1, 9, 9], [2, 3, 7], [5, 6])]
     index = Index(tails, np.ones(1 << 16), 3.0)
