@@ -2,14 +2,16 @@
 
 Every document becomes token ids with an end id. Full windows of a document are
 sequences of their own. What is left of each document, its tail, goes to a shard
-of an inverted BM25 index. In a shard each seed, the longest unused tail, asks
-the index for its best unused neighbours; they fill its window greedily, whole
-where they fit, and the best one that does not fit is cut. The few tokens that
+of a BM25 index. In a shard each seed, the longest unused tail, asks the index
+with all different ids of its document for its best unused neighbours; they fill
+its window greedily, whole where they fit, and the best one that does not fit is
+cut. The few tokens that
 no window takes are laid out in sequences whose lengths are powers of two, so
 nothing is padded.
 
 Shards are drawn evenly by row number, so none grows with the input or with a
-group of copies; document frequencies are those of all tails.
+group of copies. Documents are indexed whole, with what is in their full windows,
+and document frequencies are those of all documents of the table.
 
 Nulls and edge cases: a null text is empty, and an empty document is its end id
 alone. Rows that share an id are documents of their own. A null id stays null.
@@ -33,7 +35,9 @@ from spotlake.sources.scratch import materialise
 WINDOW = 2048
 END_ID = 1
 SHARD_TOKENS = 2_000_000
-QUERY_TERMS = 16
+# A term is a column of a shard's matrix if more than this part of its documents hold it.
+COMMON_SHARE = 20
+SEEDS = 32
 K1, B = 1.2, 0.75
 # The added token of the vocabulary; the tokenizer file reads it as one id wherever it stands in a text.
 SPECIAL = {"<|endoftext|>": 50256}
@@ -56,69 +60,119 @@ def crc(ids: np.ndarray) -> int:
 
 
 def tokenised(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, window: int, row_col: str | None) -> DataFrame:
-    """`row`, `id`, `doc_tokens`, `full` (checksums of its full windows), `tail` (the ids after them, two bytes each)."""
+    """One row per document.
+
+    `row`, `id`, `doc_tokens`, `full` (checksums of its full windows), `tail` (the ids after them, two bytes each),
+    `terms` and `times` (the different ids of the whole text and their counts, two and four bytes each).
+    """
     rows = docs.select(row_number_column(row_col).alias("row"), F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
 
     def encode(batches):
         encoding = encoder(ranks_path, pattern)
         for batch in batches:
-            sizes, full, tails = [], [], []
+            sizes, full, tails, terms, times = [], [], [], [], []
             for text in batch.column(2):
-                ids = np.append(encoding.encode_to_numpy(text.as_py(), allowed_special="all"), END_ID).astype("<u4")
+                ids = encoding.encode_to_numpy(text.as_py(), allowed_special="all").astype("<u4")
+                found, count = np.unique(ids.astype("<u2"), return_counts=True)
+                terms.append(found.tobytes())
+                times.append(count.astype("<u4").tobytes())
+                ids = np.append(ids, np.uint32(END_ID))
                 whole = len(ids) // window * window
                 sizes.append(len(ids))
                 full.append([crc(ids[i:i + window]) for i in range(0, whole, window)])
                 tails.append(ids[whole:].astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(full, pa.list_(pa.int64())),
-                 pa.array(tails, pa.binary())], ["row", "id", "doc_tokens", "full", "tail"])
+                 *(pa.array(c, pa.binary()) for c in (tails, terms, times))],
+                ["row", "id", "doc_tokens", "full", "tail", "terms", "times"])
 
-    return rows.mapInArrow(encode, f"row {type_of(rows, 'row')}, id {type_of(rows, 'id')}, doc_tokens long, full array<long>, tail binary")
+    return rows.mapInArrow(encode, f"row {type_of(rows, 'row')}, id {type_of(rows, 'id')}, doc_tokens long, full array<long>, "
+                                   "tail binary, terms binary, times binary")
 
 
-def document_frequencies(tails: DataFrame) -> np.ndarray:
-    """In how many tails each id occurs; a vector of fixed length."""
+def document_frequencies(tokens: DataFrame) -> np.ndarray:
+    """In how many whole documents each id occurs; a vector of fixed length."""
     def count(batches):
         seen = np.zeros(_IDS, np.int64)
         for batch in batches:
-            for tail in batch.column(0):
-                seen[np.unique(np.frombuffer(tail.as_py(), "<u2"))] += 1
+            for terms in batch.column(0):
+                seen[np.frombuffer(terms.as_py(), "<u2")] += 1
         ids = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(seen[ids])], ["term", "n"])
 
     out = np.zeros(_IDS, np.int64)
-    for r in tails.select("tail").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in tokens.select("terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r["term"]] = r["n"]
     return out
 
 
+def term_weights(terms: np.ndarray, times: np.ndarray, size, rarity: np.ndarray, mean: float) -> np.ndarray:
+    """BM25 weight of each term of a document of `size` ids."""
+    return (rarity[terms] * times * (K1 + 1) / (times + K1 * (1 - B + B * size / mean))).astype(np.float32)
+
+
 class Index:
-    """Inverted BM25 index of the tails of one shard."""
-
-    def __init__(self, tails: list[np.ndarray], rarity: np.ndarray, mean: float, query_terms: int = QUERY_TERMS):
-        self.size = len(tails)
-        docs, terms, weights = [], [], []
-        self.queries = []
-        for i, tail in enumerate(tails):
-            found, times = np.unique(tail, return_counts=True)
-            weight = rarity[found] * times * (K1 + 1) / (times + K1 * (1 - B + B * len(tail) / mean))
-            docs.append(np.full(len(found), i, np.int32))
-            terms.append(found)
-            weights.append(weight.astype(np.float32))
-            self.queries.append(found[np.lexsort((found, -weight))[:query_terms]])
-        if tails:
-            every = np.concatenate(terms)
-            order = np.argsort(every, kind="stable")
-            self.docs, self.weights = np.concatenate(docs)[order], np.concatenate(weights)[order]
-            self.starts = np.searchsorted(every[order], np.arange(_IDS + 1))
+    """BM25 index of the documents of one shard: every term of a document is indexed, and asked for.
+
+    Terms that many documents hold are columns of a matrix, the others have postings; a score is the sum of both.
+    """
+
+    def __init__(self, docs: list, rarity: np.ndarray, mean: float, order: np.ndarray | None = None):
+        # A document is its ids, or its different ids with their counts.
+        found = [d if isinstance(d, tuple) else np.unique(d, return_counts=True) for d in docs]
+        self.size, self.terms = len(docs), [t for t, _ in found]
+        # The matrix is asked for several seeds at once, in the order in which they are likely to come.
+        self.order = np.arange(self.size) if order is None else order
+        self.place = np.argsort(self.order)
+        self.ready: dict[int, np.ndarray] = {}
+        counts = np.array([len(t) for t in self.terms], np.int64)
+        lengths = np.array([n.sum() for _, n in found], np.float64)
+        every = np.concatenate([np.zeros(0, np.int64), *self.terms]).astype(np.int64)
+        times = np.concatenate([np.zeros(0, np.int64), *(n for _, n in found)])
+        weights = term_weights(every, times, np.repeat(lengths, counts), rarity, mean)
+        where = np.repeat(np.arange(self.size, dtype=np.int32), counts)
+        held = np.bincount(every, minlength=_IDS)
+        common = np.flatnonzero(held > max(16, self.size // COMMON_SHARE))
+        self.column = np.full(_IDS, -1, np.int32)
+        self.column[common] = np.arange(len(common), dtype=np.int32)
+        self.matrix = np.zeros((self.size, len(common)), np.float32)
+        dense = self.column[every] >= 0
+        self.matrix[where[dense], self.column[every[dense]]] = weights[dense]
+        every, where, weights = every[~dense], where[~dense], weights[~dense]
+        order = np.argsort(every, kind="stable")
+        self.docs, self.weights = where[order], weights[order]
+        self.starts = np.searchsorted(every[order], np.arange(_IDS + 1))
+
+    def _common(self, seed: int, unused: np.ndarray | None) -> np.ndarray:
+        if seed not in self.ready:
+            later = self.order[self.place[seed] + 1:]
+            block = [seed, *(later[unused[later]][:SEEDS - 1].tolist() if unused is not None else ())]
+            queries = np.zeros((self.matrix.shape[1], len(block)), np.float32)
+            for i, doc in enumerate(block):
+                columns = self.column[self.terms[doc]]
+                queries[columns[columns >= 0], i] = 1
+            self.ready = dict(zip(block, np.ascontiguousarray((self.matrix @ queries).T)))
+        return self.ready[seed]
+
+    def scores(self, seed: int, unused: np.ndarray | None = None) -> np.ndarray:
+        """Score of every document for all terms of the seed."""
+        terms = self.terms[seed]
+        out = self._common(seed, unused).astype(np.float64)
+        spans = [slice(self.starts[t], self.starts[t + 1]) for t in terms[self.column[terms] < 0].tolist()]
+        if spans:
+            out += np.bincount(np.concatenate([self.docs[s] for s in spans]),
+                               np.concatenate([self.weights[s] for s in spans]), self.size)
+        return out
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused tails that share a term with the seed, best first."""
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in self.queries[seed]]
-        scores = np.bincount(np.concatenate([self.docs[s] for s in spans]),
-                             np.concatenate([self.weights[s] for s in spans]), self.size) * unused
+        """Unused documents that share a term with the seed, best first."""
+        scores = self.scores(seed, unused) * unused
         found = np.flatnonzero(scores > 0)
-        return found[np.lexsort((found, -scores[found]))]
+        return found[np.argsort(-scores[found], kind="stable")]
+
+
+def seed_order(lengths: np.ndarray) -> np.ndarray:
+    return np.lexsort((np.arange(len(lengths)), -lengths))
 
 
 def fill(lengths: np.ndarray, neighbours, window: int):
@@ -127,7 +181,7 @@ def fill(lengths: np.ndarray, neighbours, window: int):
     left = lengths.copy()
     unused = left > 0
     # Seeds by length; a tail that was cut comes again with what is left of it.
-    order = np.lexsort((np.arange(len(lengths)), -lengths)).tolist()
+    order = seed_order(lengths).tolist()
     at = 0
     while at < len(order):
         seed = order[at]
@@ -142,13 +196,14 @@ def fill(lengths: np.ndarray, neighbours, window: int):
             if not len(best):
                 best = np.flatnonzero(unused)
             cut = int(best[0])
-            for doc in best.tolist():
-                if left[doc] <= window_left:
+            while window_left and len(best):
+                # The next that fits, then only those behind it that still fit.
+                best = best[left[best] <= window_left]
+                if len(best):
+                    doc, best = int(best[0]), best[1:]
                     unused[doc] = False
                     parts.append((doc, int(start[doc]), int(left[doc])))
                     window_left -= int(left[doc])
-                    if not window_left:
-                        break
             if window_left and unused[cut]:
                 parts.append((cut, int(start[cut]), window_left))
                 start[cut] += window_left
@@ -182,9 +237,10 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     Returns `doc_id`, `start`, `length`, `ids_crc32`, `doc_tokens`, `sequence_id`, `offset`.
     """
     tokens = materialise(tokenised(docs, ranks_path, pattern, id_col, text_col, window, row_col), "tokens")
-    totals = tokens.agg(F.sum(F.octet_length("tail")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    totals = tokens.agg(F.sum(F.octet_length("tail")).alias("bytes"), F.sum("doc_tokens").alias("ids"), F.count(F.lit(1)).alias("n")).first()
     shards = max(1, -(-(totals["bytes"] or 0) // (2 * shard_tokens)))
-    n, mean = totals["n"], max(1.0, (totals["bytes"] or 0) / 2 / max(1, totals["n"]))
+    # The end id is no part of a text.
+    n, mean = totals["n"], max(1.0, (totals["ids"] or 0) / max(1, totals["n"]) - 1)
     seen = document_frequencies(tokens)
     rarity = np.log1p((n - seen + 0.5) / (seen + 0.5))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -195,7 +251,9 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         base = shard["shard"][0].as_py() << 32
         tails = [np.frombuffer(t.as_py(), "<u2") for t in shard["tail"]]
         sizes = shard["doc_tokens"].to_pylist()
-        index = Index(tails, rarity, mean)
+        lengths = np.array([len(t) for t in tails], np.int64)
+        index = Index([(np.frombuffer(a.as_py(), "<u2"), np.frombuffer(b.as_py(), "<u4")) for a, b in zip(shard["terms"], shard["times"])],
+                      rarity, mean, seed_order(lengths))
         which, start, length, checks, sequence, offset = [], [], [], [], [], []
         number = 0
         for doc, full in enumerate(shard["full"].to_pylist()):
@@ -203,7 +261,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 for column, value in zip((which, start, length, checks, sequence, offset), (doc, i * window, window, check, base + number, 0)):
                     column.append(value)
                 number += 1
-        for parts in fill(np.array([len(t) for t in tails], np.int64), index.neighbours, window):
+        for parts in fill(lengths, index.neighbours, window):
             place = 0
             for doc, first, size in parts:
                 values = (doc, sizes[doc] - len(tails[doc]) + first, size, crc(tails[doc][first:first + size]), base + number, place)

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from spotlake.llm.packing import END_ID, Index, fill, pack, powers
+from spotlake.llm.packing import END_ID, Index, document_frequencies, encoder, fill, pack, powers, tokenised
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -81,6 +81,24 @@ def test_neighbours_share_rare_terms():
     assert index.neighbours(0, np.array([False, True, False, True])).tolist() == [1]
 
 
+def test_seeds_ask_with_all_terms_of_whole_documents(spark):
+    rng = np.random.default_rng(5)
+    tails = [np.sort(rng.choice(200, rng.integers(1, 80), False)).astype(np.uint16) for _ in range(300)]
+    rarity = rng.random(1 << 16) + 0.1
+    index = Index(tails, rarity, 40.0)
+    for seed in (0, 7, 299):
+        want = [sum(rarity[t] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(d) / 40)) for t in set(d) & set(tails[seed])) for d in tails]
+        assert np.allclose(index.scores(seed), want, rtol=1e-4)
+        got = index.neighbours(seed, np.ones(300, bool))
+        assert set(got.tolist()) == {i for i, w in enumerate(want) if w} and (np.diff(np.array(want)[got]) < 1e-3).all()
+    # The text before the last full window counts, the end id does not.
+    docs = spark.createDataFrame([(0, "alpha " * 20), (1, " beta" + " alpha" * 20), (2, "")], "doc_id long, text string")
+    tokens = tokenised(docs, RANKS, PATTERN, "doc_id", "text", 8, None)
+    seen = document_frequencies(tokens)
+    encoding = encoder(RANKS, PATTERN)
+    assert seen[encoding.encode(" beta")[0]] == 1 and seen[encoding.encode(" alpha")[0]] == 2 and seen[END_ID] == 0
+
+
 def test_fill_and_powers_keep_every_id():
     rng = np.random.default_rng(3)
     lengths = rng.integers(0, 40, 50)
