@@ -9,8 +9,11 @@ cut. The few tokens that
 no window takes are laid out in sequences whose lengths are powers of two, so
 nothing is padded.
 
-Shards are drawn evenly by row number, so none grows with the input or with a
-group of copies. Documents are indexed whole, with what is in their full windows,
+Shards follow the content: a sample of short sketches of the documents' BM25
+weights is cut in halves along its widest direction until each part is one
+shard, and every document goes where its sketch falls. A part that is much
+larger, such as a group of copies, is dealt evenly to several shards, so none
+grows with the input. A seed asks its own shard only. Documents are indexed whole, with what is in their full windows,
 and document frequencies are those of all documents of the table.
 
 Nulls and edge cases: a null text is empty, and an empty document is its end id
@@ -37,6 +40,12 @@ END_ID = 1
 SHARD_TOKENS = 2_000_000
 # A term is a column of a shard's matrix if more than this part of its documents hold it.
 COMMON_SHARE = 20
+# Documents are sketched by so many random sums of their weights; the sketches of so many a shard choose the cuts.
+SKETCH = 64
+SAMPLE, LEAST_SAMPLE = 64, 4096
+# Room that a document takes in a shard besides its tail, so that very short ones do not crowd; a shard is cut above SLACK.
+ROW_TOKENS = 128
+SLACK = 1.5
 SEEDS = 32
 K1, B = 1.2, 0.75
 # The added token of the vocabulary; the tokenizer file reads it as one id wherever it stands in a text.
@@ -230,6 +239,102 @@ def powers(parts: list[tuple[int, int, int]], total: int):
             yield out
 
 
+def signs() -> np.ndarray:
+    return np.random.RandomState(7).choice(np.array([-1, 1], np.float32), (_IDS, SKETCH))
+
+
+def sketch(terms: np.ndarray, times: np.ndarray, rarity: np.ndarray, mean: float, every: np.ndarray) -> np.ndarray:
+    """The direction of a document's BM25 weights, in few numbers."""
+    out = term_weights(terms, times, times.sum(), rarity, mean) @ every[terms]
+    return out / max(1e-9, float(np.linalg.norm(out)))
+
+
+def cuts(sketches: np.ndarray, loads: np.ndarray, shards: int):
+    """A tree of cuts across the widest direction, (direction, limit, left, right), down to leaves of one shard's load.
+
+    A leaf is how many shards it stands for; it is more than one where sketches are all alike.
+    """
+    if shards < 2 or len(sketches) < 2:
+        return shards
+    apart = sketches - np.average(sketches, axis=0, weights=loads)
+    direction = np.linalg.eigh((apart * loads[:, None]).T @ apart)[1][:, -1].astype(np.float32)
+    along = sketches @ direction
+    order, half = np.argsort(along, kind="stable"), shards // 2
+    load = np.cumsum(loads[order])
+    at = min(int(np.searchsorted(load, load[-1] * half / shards)), len(order) - 1)
+    # A cut between two values that differ, so that equal texts are not parted by rounding.
+    at = next((i for d in range(len(order)) for i in (at - d, at + d + 1)
+               if 0 < i < len(order) and along[order[i]] - along[order[i - 1]] > 1e-5), 0)
+    if not at:
+        return shards
+    limit = (along[order[at]] + along[order[at - 1]]) / 2
+    left = along < limit
+    return direction, limit, cuts(sketches[left], loads[left], half), cuts(sketches[~left], loads[~left], shards - half)
+
+
+def leaves(tree, sketches: np.ndarray) -> np.ndarray:
+    """The number of each sketch's leaf."""
+    out, number = np.zeros(len(sketches), np.int64), 0
+    stack = [(tree, np.arange(len(sketches)))]
+    while stack:
+        node, rows = stack.pop()
+        if not isinstance(node, tuple):
+            out[rows] = number
+            number += 1
+            continue
+        left = sketches[rows] @ node[0] < node[1]
+        stack += [(node[3], rows[~left]), (node[2], rows[left])]
+    return out
+
+
+def with_shards(tokens: DataFrame, rarity: np.ndarray, mean: float, load: int, n: int, shard_tokens: int) -> DataFrame:
+    """`tokens` with a `shard` that follows the content: documents of like terms go to one shard.
+
+    Where a shard would take much more than `shard_tokens`, such as a large group of copies, its rows are dealt evenly to several.
+    """
+    shards = -(-load // shard_tokens)
+    if shards < 2:
+        return tokens.withColumn("shard", F.lit(0).cast("long"))
+    tokens = tokens.withColumn("deal", F.xxhash64("row"))
+    loads = (F.octet_length("tail") / 2 + ROW_TOKENS).cast("long")
+
+    def sketched(batch, every):
+        pairs = zip(batch.column("terms"), batch.column("times"))
+        found = [sketch(np.frombuffer(a.as_py(), "<u2"), np.frombuffer(b.as_py(), "<u4"), rarity, mean, every) for a, b in pairs]
+        return np.array(found, np.float32).reshape(-1, SKETCH)
+
+    def sample(batches):
+        every = signs()
+        for batch in batches:
+            found = pa.array([x.tobytes() for x in sketched(batch, every)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("deal"), batch.column("load"), found], ["deal", "load", "sketch"])
+
+    # A bounded number of short rows for each shard.
+    part = max(1, n // max(LEAST_SAMPLE, SAMPLE * shards))
+    drawn = tokens.where(F.pmod("deal", F.lit(part)) == 0).select("deal", "terms", "times", loads.alias("load")).mapInArrow(
+        sample, "deal long, load long, sketch binary").toArrow().sort_by("deal")
+    points = np.array([np.frombuffer(x.as_py(), np.float32) for x in drawn["sketch"]], np.float32).reshape(-1, SKETCH)
+    tree = cuts(points, drawn["load"].to_numpy().astype(np.float64), int(shards))
+
+    def place(batches):
+        every = signs()
+        for batch in batches:
+            yield batch.append_column("leaf", pa.array(leaves(tree, sketched(batch, every))))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(place, ", ".join(f"`{c}` {type_of(rows, c)}" for c in rows.columns) + ", leaf long")
+
+    # Sketched again for the shuffle, which takes less than to write all tails a second time. One row for each leaf.
+    full = {r["leaf"]: r["load"] for r in placed(tokens.select("terms", "times", loads.alias("load"))).groupBy("leaf").agg(
+        F.sum("load").alias("load")).collect()}
+    parts = [1 if full.get(i, 0) <= SLACK * shard_tokens else -(-full[i] // shard_tokens) for i in range(max(full) + 1)]
+    first = np.cumsum([0, *parts]).tolist()
+    ends = F.array(*(F.lit(x).cast("long") for x in first))
+    leaf = F.col("leaf").cast("int")
+    start = F.get(ends, leaf)
+    return placed(tokens).withColumn("shard", start + F.pmod(F.col("deal"), F.get(ends, leaf + 1) - start)).drop("deal", "leaf")
+
+
 def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
          shard_tokens: int = SHARD_TOKENS, row_col: str | None = None) -> DataFrame:
     """Every piece of every document with its place.
@@ -238,7 +343,6 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     """
     tokens = materialise(tokenised(docs, ranks_path, pattern, id_col, text_col, window, row_col), "tokens")
     totals = tokens.agg(F.sum(F.octet_length("tail")).alias("bytes"), F.sum("doc_tokens").alias("ids"), F.count(F.lit(1)).alias("n")).first()
-    shards = max(1, -(-(totals["bytes"] or 0) // (2 * shard_tokens)))
     # The end id is no part of a text.
     n, mean = totals["n"], max(1.0, (totals["ids"] or 0) / max(1, totals["n"]) - 1)
     seen = document_frequencies(tokens)
@@ -273,5 +377,6 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         return pa.table([shard["id"].take(rows), *(pa.array(c, pa.int64()) for c in (start, length, checks)),
                          shard["doc_tokens"].take(rows), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=names)
 
-    return tokens.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards))).groupBy("shard").applyInArrow(
+    load = (totals["bytes"] or 0) // 2 + ROW_TOKENS * n
+    return with_shards(tokens, rarity, mean, load, n, shard_tokens).groupBy("shard").applyInArrow(
         pack_shard, f"doc_id {id_type}, " + ", ".join(f"{c} long" for c in names[1:]))

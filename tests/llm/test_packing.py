@@ -99,6 +99,22 @@ def test_seeds_ask_with_all_terms_of_whole_documents(spark):
     assert seen[encoding.encode(" beta")[0]] == 1 and seen[encoding.encode(" alpha")[0]] == 2 and seen[END_ID] == 0
 
 
+def test_related_documents_meet_in_a_shard(spark):
+    rng = np.random.default_rng(11)
+    topics = [[f"{chr(97 + k)}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)] for k in range(6)]
+    rows = [(i, " ".join(rng.choice(topics[i % 6], 120))) for i in range(360)] + [(1000 + i, "the same text " * 20) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    shards: dict[int, set] = {}
+    for r in pack(docs, RANKS, PATTERN, shard_tokens=20_000).collect():
+        shards.setdefault(r["sequence_id"] >> 32, set()).add(r["doc_id"])
+    home = {d: s for s, ids in shards.items() for d in ids}
+    assert len(shards) > 5 and len(home) == len(rows)
+    met = [home[a] == home[b] for a in range(360) for b in range(a + 6, 360, 6)]
+    assert np.mean(met) > 0.4 > 2 / len(shards)
+    # Copies are many shards' worth, and dealt out.
+    assert len({home[1000 + i] for i in range(300)}) > 1 and max(map(len, shards.values())) < 250
+
+
 def test_fill_and_powers_keep_every_id():
     rng = np.random.default_rng(3)
     lengths = rng.integers(0, 40, 50)
