@@ -25,12 +25,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/spotlake/{uuid.uuid4().hex}/{label}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write `df` once and read it back: lineage ends there and its true size is known.
 
-    Spark then plans later joins against the measured size of the files.
+    Spark then plans later joins against the measured size of the files. With
+    `partition_by`, filters on these columns read their folders alone.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
