@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spotlake.llm import exact_dedup, language, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
+from spotlake.llm import exact_dedup, language, mixing, packing, phrases, pii, quality, simhash, suffix_dedup, toxicity, warc
 from spotlake.llm.common import table
 
 # The vocabulary of byte_bpe_50k.json as ranks: the same ids, several times as fast.
@@ -64,6 +64,11 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The best collocated phrases of every language."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_language": op2_language,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_phrases": op11_phrases,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -210,4 +216,46 @@ ORACLES = {
         SELECT n.doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
             sha256(unhex(rest.h)) AS kept_sha256
         FROM n JOIN rest ON n.doc_id = rest.doc_id LEFT JOIN lost ON n.doc_id = lost.doc_id""",
+    "op11_phrases": rf"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ),
+        worded AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        words AS (SELECT lang, p, unnest(w) AS w1, unnest(range(len(w))) AS i FROM worded),
+        places AS (
+            SELECT lang, w1, lead(w1, 1) OVER (PARTITION BY p ORDER BY i) AS w2, lead(w1, 2) OVER (PARTITION BY p ORDER BY i) AS w3,
+                lead(w1, 3) OVER (PARTITION BY p ORDER BY i) AS w4
+            FROM words
+        ),
+        counted AS MATERIALIZED (
+            SELECT lang, 1 AS size, w1 AS phrase, count(*) AS f FROM places GROUP BY ALL
+            UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM places WHERE w2 IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM places WHERE w3 IS NOT NULL GROUP BY ALL
+            UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) FROM places WHERE w4 IS NOT NULL GROUP BY ALL
+        ),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counted WHERE size = 1 GROUP BY lang),
+        found AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM counted WHERE size > 1 AND f >= {phrases.MIN_COUNT}),
+        inside AS (
+            SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+            FROM (SELECT lang, w, a, m, unnest(range(1, size - m + 2)) AS i FROM found, range(2, {phrases.MAX_WORDS}) t(m) WHERE m < size)
+            GROUP BY ALL
+        ),
+        cuts AS MATERIALIZED (
+            SELECT o.lang, o.phrase, a, k, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+            FROM found o LEFT JOIN inside i ON o.lang = i.lang AND o.phrase = i.phrase, range(1, {phrases.MAX_WORDS}) t(k)
+            WHERE k < size AND coalesce(100::HUGEINT * longer < {phrases.CONTAINED_PERCENT}::HUGEINT * a, true)
+        ),
+        headed AS MATERIALIZED (SELECT c.*, h.f AS l FROM cuts c JOIN counted h ON h.lang = c.lang AND h.phrase = head),
+        scored AS (
+            SELECT c.lang, c.phrase, a, l, t.f AS r, ({phrases.SCALE}::HUGEINT * a // (l + t.f))::BIGINT AS score,
+                row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY {phrases.SCALE}::HUGEINT * a // (l + t.f), k) AS weakest
+            FROM headed c JOIN counted t ON t.lang = c.lang AND t.phrase = tail
+        ),
+        ranked AS (
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, score
+            FROM scored WHERE weakest = 1
+        )
+        SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN totals t ON r.lang = t.lang WHERE rank <= {phrases.TOP}""",
 }
