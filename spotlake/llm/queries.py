@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spotlake.llm import exact_dedup, language, mixing, packing, phrases, pii, quality, simhash, suffix_dedup, toxicity, warc
+from spotlake.llm import (
+    exact_dedup, language, minhash, mixing, packing, phrases, pii, quality, simhash, spelling, suffix_dedup, toxicity, warc,
+)
 from spotlake.llm.common import table
 
 # The vocabulary of byte_bpe_50k.json as ranks: the same ids, several times as fast.
@@ -69,6 +71,16 @@ def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
 
 
+def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its component of similar shingle sets."""
+    return minhash.near_duplicates(table(spark, folder, "documents")).drop("row")
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word with the more frequent spelling it is a variant of."""
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_language": op2_language,
@@ -81,6 +93,8 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
     "op11_phrases": op11_phrases,
+    "op12_minhash": op12_minhash,
+    "op13_spelling": op13_spelling,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -258,4 +272,32 @@ ORACLES = {
             FROM scored WHERE weakest = 1
         )
         SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN totals t ON r.lang = t.lang WHERE rank <= {phrases.TOP}""",
+    "op12_minhash": rf"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ),
+        places AS (SELECT doc_id, unnest(w) AS w1, unnest(range(len(w))) AS i FROM worded),
+        grams AS (
+            SELECT doc_id, w1 || ' ' || lead(w1, 1) OVER t || ' ' || lead(w1, 2) OVER t || ' ' || lead(w1, 3) OVER t AS s
+            FROM places WINDOW t AS (PARTITION BY doc_id ORDER BY i)
+        ),
+        shingles AS MATERIALIZED (
+            SELECT DISTINCT doc_id, s FROM grams WHERE s IS NOT NULL
+            UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM worded WHERE len(w) BETWEEN 1 AND {minhash.SHINGLE_WORDS - 1}
+        ),
+        sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+        ),
+        links AS MATERIALIZED (
+            SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+            WHERE 100 * both >= {minhash.PERCENT} * (x.n + y.n - both)
+        ),
+        sides AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, s.b FROM reach r JOIN sides s ON r.b = s.a),
+        named AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d JOIN named USING (doc_id) LEFT JOIN sizes USING (doc_id)""",
 }
