@@ -15,8 +15,10 @@ from spotlake.operators.columns import LOAD_TIME, with_load_time
 from spotlake.plans.cleaning import ReportFolder
 from spotlake.plans.jobs import analysis_job, cleaning_job
 from spotlake.sources import readers, writers
+from spotlake.sources.changes import FollowedFolder
 from spotlake.sources.scratch import scratch_path
 from spotlake.streaming.loader import StreamTarget, load_folder, read_table_stream
+from spotlake.streaming.upsert import UpsertTarget, upsert_folder
 
 _CUSTOMER = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 
@@ -81,6 +83,26 @@ def _preamble(spark, d):
     return readers.read_report_with_preamble(spark, path, schema, skip).toDF("no", "estado", "fecha", "material")
 
 
+@query("quoted_line_breaks", """
+    SELECT CAST(doc_id AS VARCHAR) AS no, lang AS estado, text AS material, source AS actor FROM documents""")
+def _quoted(spark, d):
+    """Whole texts, most of several lines, as quoted fields of report files with title lines and a header."""
+    path, skip = scratch_path(spark, "reports"), schemas.REQUERIMIENTOS_PREAMBLE
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("no"), F.col("lang").alias("estado"),
+                                               F.col("text").alias("material"), F.col("source").alias("actor"))
+    line = F.to_csv(F.struct(*rows.columns), {"escapeQuotes": "true"})
+    title = [f'Reporte "{i}' for i in range(skip)] + [",".join(rows.columns)]
+
+    def with_title(batches):
+        import pandas as pd
+
+        yield pd.DataFrame({"value": title})
+        yield from batches
+
+    rows.select(line.alias("value")).mapInPandas(with_title, "value string").write.text(path)
+    return readers.read_report_with_preamble(spark, path, rows.schema, skip)
+
+
 @query("family_folder", """
     SELECT 'exc' AS family, CAST(o_orderkey AS VARCHAR) AS no, o_orderstatus AS estado FROM orders
     UNION ALL SELECT 'req', CAST(c_custkey AS VARCHAR), c_mktsegment FROM customer""")
@@ -254,3 +276,49 @@ def _stream_latest(spark, d):
         stream = read_table_stream(spark, d, schema, glob="events.parquet")
         target.load(stream, full_reload=True).awaitTermination()
     return target.latest(["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("stream_upsert", """
+    SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type,
+        arg_max(value, (ts, event_id)) AS value
+    FROM events GROUP BY user_id""")
+def _stream_upsert(spark, d):
+    """Events in several files, in no order of time, merged file by file; then the first files once more by another load."""
+    events, folder = table(spark, d, "events"), scratch_path(spark, "events")
+    events.repartition(4, "event_type", "event_id").write.parquet(folder)
+    target = UpsertTarget(spark, scratch_path(spark, "upsert"), events.schema, ["user_id"], ["ts", "event_id"], buckets=16)
+    upsert_folder(target, folder, max_files=1)
+    events.where(F.col("event_type") == "view").write.mode("append").parquet(folder)
+    return upsert_folder(target, folder).select("user_id", "event_id", "event_type", "value")
+
+
+@query("stream_changes", """
+    SELECT event_id, user_id, event_type, CASE WHEN event_type = 'view' THEN value + 1 ELSE value END AS value
+    FROM events WHERE event_type <> 'error'""")
+def _stream_changes(spark, d):
+    """A folder with a file a type; then one is rewritten in place, one removed, one added, and the table follows."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    folder, draft = scratch_path(spark, "events"), scratch_path(spark, "draft")
+    target = FollowedFolder(spark, folder, scratch_path(spark, "followed"), events.schema)
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+
+    def put(rows, name):
+        """Files under names of their own, replacing what is there."""
+        rows.write.mode("overwrite").parquet(f"{draft}/{name}")
+        fs = paths(folder).getFileSystem(conf)
+        for i, part in enumerate(sorted(s.getPath().toString() for s in fs.globStatus(paths(f"{draft}/{name}/part-*")))):
+            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, paths(part), fs, paths(f"{folder}/{name}-{i}.parquet"), False, True, conf)
+
+    kinds = ["view", "error", "click", "signup"]
+    for kind in kinds:
+        put(events.where(F.col("event_type") == kind), kind)
+    assert set(target.load()) == {"added"}
+    put(events.where("event_type = 'view'").withColumn("value", F.col("value") + 1), "view")
+    put(events.where("event_type = 'click'"), "click")
+    put(events.where(~F.col("event_type").isin(kinds)), "others")
+    fs = paths(folder).getFileSystem(conf)
+    for gone in fs.globStatus(paths(f"{folder}/error-*.parquet")):
+        fs.delete(gone.getPath(), False)
+    assert {"added", "changed", "removed"} <= set(target.load())
+    return target.table()
