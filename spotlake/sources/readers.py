@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spotlake import schemas
+from spotlake.sources.records import array_elements, logical_lines
 
 
-def read_spots(spark: SparkSession, path: str, pretty: bool = False) -> DataFrame:
+def read_spots(spark: SparkSession, path: str, pretty: bool = False, large_array: bool = False) -> DataFrame:
     """Spot records from JSON: one array, or one record per line.
 
-    `pretty` is for files whose records span lines; such a file is not split.
+    `pretty` is for files whose records span lines; such a file is not split, nor is
+    an array on one line. `large_array` is for files that are one array of any size
+    and layout: they are split over tasks.
     """
+    if large_array:
+        record = F.from_json("value", schemas.SPOTS)
+        return array_elements(spark, path).select(record.alias("r")).select("r.*")
     return spark.read.schema(schemas.SPOTS).option("multiLine", pretty).json(path)
 
 
@@ -76,53 +79,15 @@ def table_if_present(spark: SparkSession, name: str, schema: T.StructType) -> Da
     return spark.table(name)
 
 
-_LINE = "file string, is_header boolean, value string"
-
-
-def body_lines(spark: SparkSession, path: str | list[str], skip: int) -> DataFrame:
-    """(file, is_header, value): the lines of text files below their first `skip` lines.
-
-    Line `skip + 1` of a file is flagged as its header. Files are split as usual:
-    only the split that starts at byte 0 holds a preamble, and within a task the
-    lines of a split arrive in file order, so one streaming pass over each task
-    finds it without any shuffle. The preamble must fit in the first split.
-    """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        "value",
-    )
-
-    def below_preamble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_file, seen = None, 0
-        for batch in batches:
-            position = pd.Series(skip + 1, index=batch.index)
-            head = batch[batch["start"] == 0]
-            if len(head):
-                within = head.groupby("file").cumcount()
-                carried = seen if head["file"].iloc[0] == open_file else 0
-                within = within.where(head["file"] != head["file"].iloc[0], within + carried)
-                position.loc[head.index] = within
-                open_file, seen = head["file"].iloc[-1], int(within.iloc[-1]) + 1
-            kept = position >= skip
-            yield pd.DataFrame({
-                "file": batch.loc[kept, "file"],
-                "is_header": position[kept] == skip,
-                "value": batch.loc[kept, "value"],
-            })
-
-    return lines.mapInPandas(below_preamble, _LINE)
-
-
 def read_report_with_preamble(
     spark: SparkSession, path: str | list[str], schema: T.StructType, skip: int
 ) -> DataFrame:
     """Report rows of delimited files with `skip` lines and a header above the data.
 
-    A header whose names differ from the schema fails the query. Quoted commas
-    are understood, quoted line breaks are not.
+    A header whose names differ from the schema fails the query. Quoted commas and
+    quoted line breaks are understood; the latter are read as line feeds.
     """
-    lines = body_lines(spark, path, skip)
+    lines = logical_lines(spark, path, skip)
     text = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
     names = F.array(*[F.lit(f.name) for f in schema.fields])
     header_names = F.split(F.replace(F.col("value"), F.lit('"'), F.lit("")), ",")
@@ -153,6 +118,18 @@ def read_catalogue(
     return text.select("doc_no", "doc", "part", F.from_json("value", schemas.CATALOGUE).alias("catalogue"))
 
 
+def read_catalogue_array(spark: SparkSession, path: str | list[str], order: list[str] | None = None) -> DataFrame:
+    """(doc_no, doc, part, catalogue): catalogue documents that are one large array each, split over tasks.
+
+    Every row holds one entry of the array; `part` is its place in the document.
+    """
+    name = F.substring_index("file", "/", -1)
+    number = F.array_position(F.array(*map(F.lit, order)), name) if order else F.lit(0)
+    return array_elements(spark, path).select(
+        number.cast("long").alias("doc_no"), F.col("file").alias("doc"), "part",
+        F.array(F.from_json("value", schemas.CATALOGUE_ENTRY)).alias("catalogue"))
+
+
 def list_media(spark: SparkSession, folder: str, suffix: str = ".mp3") -> DataFrame:
     """(path, length, modificationTime) of media files in all sub-folders; contents are not read."""
     return (
