@@ -11,11 +11,11 @@ from spotlake.functions.text import is_content_word, stop_words, word_tokens
 from spotlake.operators.aggregates import accuracy, top_words, word_frequencies
 from spotlake.operators.features import document_frequencies, term_counts, tfidf, top_terms
 from spotlake.operators.nested import flatten_catalogue
-from spotlake.operators.sentiment import custom_scores, rule_scores, valence_scores
+from spotlake.operators.sentiment import PhraseRules, custom_scores, rule_scores, valence_scores
 from spotlake.plans import catalogue as P
 from spotlake.plans import classify as K
 from spotlake.plans import reports as R
-from spotlake.sources.readers import read_catalogue
+from spotlake.sources.readers import read_catalogue, read_catalogue_array
 from spotlake.sources.scratch import materialise, scratch_path
 
 _STOP = sql_list(ENGLISH_STOP_WORDS)
@@ -77,6 +77,38 @@ def _flatten(spark, d):
         "entry_pos", "party_pos", "spot_pos", "key", "partido", "nombre", "directorio", "folio", "cautelar", "target")
 
 
+@query("flatten_large_array", r"""
+    WITH l AS (
+        SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line,
+            unnest(range(len(string_split(text, chr(10))))) AS i
+        FROM documents
+    )
+    SELECT CAST(i AS INTEGER) AS party_pos, CAST(j AS INTEGER) AS spot_pos, lang || '_' || source AS key, 'P' || i AS partido, nombre,
+        'http://host/a/' || doc_id || '/' || i || '_' || j || '.mp4' AS folio, length(nombre) % 2 = 0 AS cautelar
+    FROM (SELECT *, unnest(string_split(line, '. ')) AS nombre, unnest(range(len(string_split(line, '. ')))) AS j FROM l)
+    UNION ALL
+    SELECT 0, 0, 'autoridad_' || lang, source, lang, 'http://host/a/' || doc_id || '/-1_0.mp4', length(lang) % 2 = 0 FROM documents""")
+def _large_array(spark, d):
+    """The catalogue as files of one array on one line each, cut into its entries by many tasks."""
+    path = scratch_path(spark, "catalogue")
+
+    def one_array(batches):
+        import pandas as pd
+
+        mark = "["
+        for batch in batches:
+            if len(batch):
+                # Without the brackets of the row's own array.
+                rows = batch["value"].str.slice(1, -1)
+                yield pd.DataFrame({"value": [mark + rows.iloc[0], *("," + rows.iloc[1:])]})
+                mark = ","
+        yield pd.DataFrame({"value": ["]" if mark == "," else "[]"]})
+
+    catalogue_lines(spark, d).select("value").mapInPandas(one_array, "value string").write.option("lineSep", " ").text(path)
+    return flatten_catalogue(read_catalogue_array(spark, path)).select(
+        "party_pos", "spot_pos", "key", F.col("actor_politico").alias("partido"), F.col("version").alias("nombre"), "folio", "cautelar")
+
+
 @query("order_index", r"""
     WITH l AS (
         SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i
@@ -318,6 +350,95 @@ def _rules(spark, d):
     return rule_scores(table(spark, d, "documents"), ["doc_id"], "text", lexicon(spark), STRENGTHEN, WEAKEN, NEGATE)
 
 
+# Frequent words of the texts in the roles of the model's phrases.
+PHRASES = PhraseRules(
+    entries={"of the": 1.7, "the of": -1.2, "and the of": 2.4, "it is": -0.9, "de la": 1.1, "der die": -2.1, "is on the": 0.8},
+    strengthen=["was the", "que el"], weaken=["on the", "et le"], never="of", so=("and", "die", "y"), without="not", doubt="was",
+    least="at", at=("by", "for"))
+
+
+def _phrase_list(phrases) -> str:
+    return sql_list([p.replace(" ", chr(160)) for p in phrases])
+
+
+def _phrase_step(i: int, damping: float) -> str:
+    p, between = f"p{i}", [f"lower(p{j})" for j in range(1, i)]
+    acts = f"{p} IS NOT NULL AND lower({p}) NOT IN (SELECT token FROM every)"
+    shout = f"CASE WHEN {_upper_sql(p)} AND mixed THEN 0.733::DOUBLE ELSE 0 END"
+    add = " ".join(
+        f"WHEN {acts} AND lower({p}) IN ({sql_list(words)}, {_phrase_list(more)}) THEN ({boost}::DOUBLE + {shout}) * sign(v) * {damping}::DOUBLE"
+        for words, more, boost in ((STRENGTHEN, PHRASES.strengthen, 0.293), (WEAKEN, PHRASES.weaken, -0.293)))
+    pairs = ""
+    if between:
+        so = " OR ".join(f"coalesce({b} IN ({sql_list(list(PHRASES.so))}), false)" for b in between)
+        doubt = " OR ".join(f"coalesce({b} = '{PHRASES.doubt}', false)" for b in between)
+        pairs = (f"WHEN {acts} AND lower({p}) = '{PHRASES.never}' AND ({so}) THEN {1.5 if i == 2 else 1.25}::DOUBLE "
+                 f"WHEN {acts} AND lower({p}) = '{PHRASES.without}' AND ({doubt}) THEN 1 ")
+    flip = f"CASE {pairs}WHEN {acts} AND (lower({p}) IN ({sql_list(NEGATE)}) OR contains(lower({p}), 'n''t')) THEN -0.74::DOUBLE ELSE 1 END"
+    return f"s{i} AS (SELECT * EXCLUDE (v), (v + CASE {add} ELSE 0 END) * {flip} AS v FROM s{i - 1})"
+
+
+_ENTRIES = ", ".join(f"('{p.replace(' ', chr(160))}', {v}::DOUBLE)" for p, v in PHRASES.entries.items())
+_TWO = "lower(w) || chr(160) || lower(lead(w, 1) OVER t)"
+
+# The words of the plain model, then the longest phrase at each word; of these, from left to right, those that begin after the one before.
+_PHRASE_SQL = f"""
+    WITH RECURSIVE {_RULE_SQL.split('WITH', 1)[1].split('    pos AS (', 1)[0]}
+    every(token, valence) AS (SELECT token, valence FROM lex UNION ALL VALUES {_ENTRIES}),
+    known(phrase) AS (SELECT unnest([{_phrase_list(PHRASES.phrases())}])),
+    single AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM doc),
+    runs AS MATERIALIZED (
+        SELECT doc_id, i, {_TWO} AS two, {_TWO} || chr(160) || lower(lead(w, 2) OVER t) AS three
+        FROM single WINDOW t AS (PARTITION BY doc_id ORDER BY i)
+    ),
+    hit AS MATERIALIZED (
+        SELECT doc_id, i AS s, i + max(n) AS e
+        FROM (SELECT doc_id, i, 2 AS n FROM runs WHERE two IN (FROM known) UNION ALL SELECT doc_id, i, 3 FROM runs WHERE three IN (FROM known))
+        GROUP BY doc_id, i
+    ),
+    following AS MATERIALIZED (
+        SELECT a.doc_id, a.s, a.e, b.s AS next FROM hit a ASOF LEFT JOIN hit b ON a.doc_id = b.doc_id AND a.e <= b.s
+    ),
+    taken(doc_id, s, e, next) AS (
+        SELECT doc_id, min(s), arg_min(e, s), arg_min(coalesce(next, -1), s) FROM following GROUP BY doc_id
+        UNION ALL
+        SELECT f.doc_id, f.s, f.e, coalesce(f.next, -1) FROM taken t JOIN following f ON t.doc_id = f.doc_id AND t.next = f.s
+    ),
+    owner AS (
+        SELECT x.doc_id, x.i, x.w, CASE WHEN x.i < t.e THEN t.s ELSE x.i END AS s
+        FROM single x ASOF LEFT JOIN taken t ON x.doc_id = t.doc_id AND x.i >= t.s
+    ),
+    joined AS (SELECT doc_id, s, string_agg(w, chr(160) ORDER BY i) AS w FROM owner GROUP BY doc_id, s),
+    numbered AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS i FROM joined),
+    butted AS (SELECT doc_id, min(i) AS but FROM numbered WHERE lower(w) = 'but' GROUP BY doc_id),
+    pos AS (
+        SELECT n.doc_id, w, i, coalesce(b.but, 0) AS but, mixed, lag(w, 1) OVER t AS p1, lag(w, 2) OVER t AS p2, lag(w, 3) OVER t AS p3
+        FROM numbered n JOIN doc ON n.doc_id = doc.doc_id LEFT JOIN butted b ON n.doc_id = b.doc_id
+        WINDOW t AS (PARTITION BY n.doc_id ORDER BY i)
+    ),
+    s0 AS (
+        SELECT pos.*, valence + CASE WHEN {_upper_sql('w')} AND mixed THEN sign(valence) * 0.733::DOUBLE ELSE 0 END AS v
+        FROM pos JOIN every ON lower(w) = token
+        WHERE lower(w) NOT IN ({sql_list(STRENGTHEN + WEAKEN)}, {_phrase_list(PHRASES.strengthen + PHRASES.weaken)})
+    ),
+    {', '.join(_phrase_step(_i, _damping) for _i, _damping in ((1, 1.0), (2, 0.95), (3, 0.9)))},
+    total AS (
+        SELECT doc_id, sum(v * CASE WHEN but > 0 AND i < but THEN 0.5::DOUBLE WHEN but > 0 AND i > but THEN 1.5::DOUBLE ELSE 1 END
+            * CASE WHEN lower(p1) = '{PHRASES.least}' AND lower(p1) NOT IN (SELECT token FROM every)
+                AND NOT coalesce(lower(p2) IN ({sql_list(list(PHRASES.at))}), false) THEN -0.74::DOUBLE ELSE 1 END) AS s
+        FROM s3 GROUP BY doc_id
+    ),
+    marked AS (
+        SELECT doc.doc_id, coalesce(s, 0) + sign(coalesce(s, 0)) * mark AS s FROM doc LEFT JOIN total ON doc.doc_id = total.doc_id
+    )
+    SELECT doc_id, round(s / sqrt(s * s + 15), 4) AS compound FROM marked"""
+
+
+@query("rule_sentiment_phrases", _PHRASE_SQL)
+def _phrase_rules(spark, d):
+    return rule_scores(table(spark, d, "documents"), ["doc_id"], "text", lexicon(spark), STRENGTHEN, WEAKEN, NEGATE, PHRASES)
+
+
 _BUCKET = "CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 AS INTEGER)"
 
 

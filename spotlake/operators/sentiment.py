@@ -9,6 +9,7 @@ shuffle, so a text costs one small shuffled row.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,6 +57,14 @@ NEGATE = [
     "wouldn't", "rarely", "seldom", "despite",
 ]
 
+# Fixed values of the published model: entries of several words, and words that weaken the next one.
+IDIOMS = {
+    "the shit": 3.0, "the bomb": 3.0, "bad ass": 1.5, "yeah right": -2.0, "cut the mustard": 2.0, "kiss of death": -1.5,
+    "hand to mouth": -2.0,
+}
+WEAKEN_PHRASES = ["just enough", "kind of", "sort of"]
+NEVER_SO = {2: 1.5, 3: 1.25}
+
 # A small sample in the valence scale of the published lexicon (-4 to 4), for trials and
 # tests. For real work read the full lexicon with `sources.readers.read_lexicon`.
 SAMPLE_LEXICON = {
@@ -133,26 +142,106 @@ def _emphasis(text: Column) -> Column:
     return bangs + F.when(asks > 3, F.lit(QUESTIONS_MANY)).when(asks > 1, asks * QUESTION).otherwise(F.lit(0.0))
 
 
+def _any(words: list[Column], test: Callable[[Column], Column]) -> Column:
+    """Whether one of the words passes; a missing word does not."""
+    return F.coalesce(*[F.when(test(w), F.lit(True)) for w in words], F.lit(False))
+
+
 def _negates(word: Column, negators: list[str]) -> Column:
     return word.isin(negators) | word.contains("n't")
 
 
+@dataclass(frozen=True)
+class PhraseRules:
+    """What the model reads in several words.
+
+    `entries` score as one word of their own; `strengthen` and `weaken` act like one
+    word. Then the rules of word pairs and triples: `never` before one of `so` is no
+    negation but an emphasis; `without` before `doubt` is no negation; `least`
+    negates unless a word of `at` is ahead of it.
+    """
+
+    entries: dict[str, float] = field(default_factory=lambda: dict(IDIOMS))
+    strengthen: list[str] = field(default_factory=list)
+    weaken: list[str] = field(default_factory=lambda: list(WEAKEN_PHRASES))
+    never: str = "never"
+    so: tuple[str, ...] = ("so", "this")
+    without: str = "without"
+    doubt: str = "doubt"
+    least: str = "least"
+    at: tuple[str, ...] = ("at", "very")
+
+    def phrases(self) -> list[str]:
+        return [*self.entries, *self.strengthen, *self.weaken]
+
+
+# Words of a phrase that was found are joined by this, which is no blank to the patterns below.
+JOINT = "\u00a0"
+
+
+def as_token(phrase: str) -> str:
+    """A phrase as the one word it becomes; words of one character are not read in texts either."""
+    return JOINT.join(w for w in phrase.lower().split() if len(w) > 1)
+
+
+def phrase_joiner(phrases: list[str]) -> Callable[[pd.Series], pd.Series]:
+    """A function that joins the words of each array that make up a phrase.
+
+    Phrases are indexed by first word and length. From left to right the longest
+    phrase that starts at a word is taken, and reading goes on after it, so a text
+    costs the same however many phrases there are.
+    """
+    index: dict[str, dict[int, set[str]]] = {}
+    for phrase in phrases:
+        words = as_token(phrase).split(JOINT)
+        if len(words) > 1:
+            index.setdefault(words[0], {}).setdefault(len(words), set()).add(JOINT.join(words))
+    lengths = {first: sorted(found, reverse=True) for first, found in index.items()}
+
+    def join(words):
+        if words is None:
+            return None
+        low = [w.lower() for w in words]
+        if index.keys().isdisjoint(low):
+            return words
+        out, i = [], 0
+        while i < len(low):
+            n = next((n for n in lengths.get(low[i], ()) if JOINT.join(low[i:i + n]) in index[low[i]][n]), 1)
+            out.append(JOINT.join(words[i:i + n]))
+            i += n
+        return out
+
+    return lambda series: series.map(join)
+
+
+def join_phrases(words: Column, phrases: list[str]) -> Column:
+    """An array of words with the words of each phrase joined to one."""
+    return F.pandas_udf(phrase_joiner(phrases), "array<string>")(words)
+
+
 def rule_scores(
     df: DataFrame, keys: list[str], text: str, lexicon: DataFrame,
     strengthen: list[str] | None = None, weaken: list[str] | None = None, negate: list[str] | None = None,
+    phrases: PhraseRules | None = None,
 ) -> DataFrame:
     """(keys, compound): rule-based sentiment of each text, from -1 to 1.
 
     Covers intensity words, negation within three words, capitals, the contrast
-    word "but" and repeated marks. The published model's entries and idioms of
-    several words, and its rules for "least", "never so" and "without doubt", are
-    left out. Other word lists are parameters.
+    word "but" and repeated marks. With `phrases` also entries of several words and
+    the rules for "least", "never so" and "without doubt"; a phrase counts as one
+    word in all rules, and its words do not score by themselves. Word lists are parameters.
     `keys` identify a text; a NULL text scores NULL.
     """
     up, down, no = strengthen or STRENGTHEN, weaken or WEAKEN, negate or NEGATE
     ids = [quoted(k) for k in keys]
     raw = quoted(text)
     none = F.lit(None).cast("string")
+    if phrases:
+        up, down = [*up, *map(as_token, phrases.strengthen)], [*down, *map(as_token, phrases.weaken)]
+        entries = df.sparkSession.createDataFrame([(as_token(p), float(v)) for p, v in phrases.entries.items()], "token string, valence double")
+        # An entry of several words replaces one of the same words in the lexicon.
+        lexicon = lexicon.withColumn("token", F.replace("token", F.lit(" "), F.lit(JOINT))).join(entries, "token", "left_anti").select(
+            "token", "valence").unionByName(entries)
     lexicon = _written(lexicon)
 
     # The text-wide steps are single native passes; only the word array is exploded.
@@ -164,6 +253,11 @@ def rule_scores(
         F.array_position(F.regexp_extract_all(F.lower("_text"), F.lit(_TOKEN), F.lit(0)), "but").alias("_but"),
         F.regexp_count("_text", F.lit(_UPPER_WORD)).alias("_caps"))
     mixed = (F.col("_caps") > 0) & (F.col("_caps") < F.size("_words"))
+    if phrases:
+        # Capitals are judged on the single words, places of words on the joined ones.
+        words = words.withColumn("_caps", F.when(mixed, 1).otherwise(0)).withColumn("_words", join_phrases(F.col("_words"), phrases.phrases()))
+        words = words.withColumn("_but", F.array_position(F.transform("_words", F.lower), "but"))
+        mixed = F.col("_caps") > 0
     # Shifting the array by one, two and three places puts each word next to those before it;
     # the rows past the end have no word and keep texts without hits.
     shifted = F.arrays_zip(
@@ -194,7 +288,16 @@ def rule_scores(
         shout = F.when(_is_upper(before) & F.col("_mixed"), F.lit(CAPS_BOOST)).otherwise(F.lit(0.0))
         # Capitals of an intensity word push away from zero, whichever way the word itself acts.
         v = v + F.when(acts & step.isNotNull(), (step + shout) * F.signum(v) * damping).otherwise(F.lit(0.0))
-        v = v * F.when(acts & _negates(low, no), F.lit(NEGATION)).otherwise(F.lit(1.0))
+        flip = F.when(acts & _negates(low, no), F.lit(NEGATION))
+        if phrases and i > 1:
+            between = [F.lower(f"p{j}") for j in range(1, i)]
+            emphasis = acts & (low == phrases.never) & _any(between, lambda c: c.isin(*phrases.so))
+            certain = acts & (low == phrases.without) & _any(between, lambda c: c == phrases.doubt)
+            flip = F.when(emphasis, F.lit(NEVER_SO[i])).when(certain, F.lit(1.0)).when(acts & _negates(low, no), F.lit(NEGATION))
+        v = v * flip.otherwise(F.lit(1.0))
+    if phrases:
+        least = F.col("_in1").isNull() & (F.lower("p1") == phrases.least) & ~F.coalesce(F.lower("p2").isin(*phrases.at), F.lit(False))
+        v = v * F.when(least, F.lit(NEGATION)).otherwise(F.lit(1.0))
     place = F.col("_pos") + 1
     v = v * F.when((F.col("_but") > 0) & (place < F.col("_but")), F.lit(BEFORE_BUT)).when(
         (F.col("_but") > 0) & (place > F.col("_but")), F.lit(AFTER_BUT)).otherwise(F.lit(1.0))

@@ -4,13 +4,14 @@ import json
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from spotlake.functions.text import stop_words
 from spotlake.operators.features import document_frequencies, term_counts, tfidf, top_terms
 from spotlake.operators.nested import flatten_catalogue
-from spotlake.operators.sentiment import rule_scores, sample_lexicon, valence_scores
+from spotlake.operators.sentiment import JOINT, PhraseRules, phrase_joiner, rule_scores, sample_lexicon, valence_scores
 from spotlake.plans import catalogue as C
 from spotlake.plans import classify as K
 from spotlake.sources.readers import read_catalogue, read_lexicon
@@ -223,3 +224,63 @@ def test_custom_scorer(spark):
     df = spark.createDataFrame([(1, "abcd"), (2, ""), (3, None)], "k int, t string")
     got = scores(custom_scores(df, ["k"], "t", lambda texts: texts.str.len() / 4.0))
     assert got[1] == 1.0 and got[2] == 0.0 and (got[3] is None or math.isnan(got[3]))
+
+
+def rule_score(spark, text, phrases=None, lexicon=None):
+    lexicon = lexicon or {"good": 1.9, "bad": -2.5}
+    df = spark.createDataFrame([(1, text)], "k int, t string")
+    words = spark.createDataFrame(list(lexicon.items()), "token string, valence double")
+    return rule_scores(df, ["k"], "t", words, phrases=phrases).first()["compound"]
+
+
+def normal(total):
+    return round(total / (total * total + 15) ** 0.5, 4)
+
+
+@pytest.mark.parametrize("text, total", [
+    ("that was a kiss of death", -1.5),
+    ("a KISS of Death, good", -1.5 + 1.9),
+    ("it is kind of good", 1.9 - 0.293),
+    ("just enough bad", -2.5 + 0.293),
+    ("never so good", (1.9 + 0.293) * 1.5),
+    ("never was this good", 1.9 * 1.25),
+    ("never was good", 1.9 * -0.74),
+    ("without any doubt good", 1.9),
+    ("without any good", 1.9 * -0.74),
+    ("least good", 1.9 * -0.74),
+    ("at least good", 1.9),
+    ("at the least good", 1.9 * -0.74),
+    # An entry counts as one word: the negation is still within three words of the last one.
+    ("not hand to mouth and good", -2.0 * -0.74 + 1.9 * -0.74),
+    ("good but yeah right", 1.9 * 0.5 - 2.0 * 1.5),
+    ("", 0.0),
+])
+def test_rules_of_several_words(spark, text, total):
+    assert rule_score(spark, text, PhraseRules()) == pytest.approx(normal(total), abs=1e-4)
+
+
+def test_phrases_are_longest_first_and_do_not_overlap():
+    join = phrase_joiner(["a1 b1", "a1 b1 c1", "c1 d1", "b1 c1 d1", "x x1 y1", "solo", "e1 e1"])
+    texts = {"a1 b1 c1 d1": "a1_b1_c1 d1", "A1 B1 d1": "A1_B1 d1", "z1 c1 d1 a1": "z1 c1_d1 a1", "x1 y1": "x1_y1", "e1 e1 e1": "e1_e1 e1",
+             "solo": "solo", "": "", "a1": "a1"}
+    got = join(pd.Series([t.split() for t in texts] + [None]))
+    assert ["_".join("") if w is None else " ".join(w).replace(" ", "_") for w in got[:-1]] == list(texts.values()) and got.iloc[-1] is None
+    rng = random.Random(1)
+    phrases = [" ".join(rng.choice(["aa", "bb", "cc"]) for _ in range(rng.randrange(2, 5))) for _ in range(9)]
+    known = {tuple(p.split()) for p in phrases}
+    join = phrase_joiner(phrases)
+    for _ in range(200):
+        words = [rng.choice(["aa", "bb", "cc"]) for _ in range(rng.randrange(12))]
+        expected, i = [], 0
+        while i < len(words):
+            n = max([n for n in range(1, 5) if tuple(words[i:i + n]) in known and i + n <= len(words)], default=1)
+            expected.append(" ".join(words[i:i + n]))
+            i += n
+        assert list(join(pd.Series([words])).iloc[0]) == expected
+
+
+def test_entries_replace_the_same_words_of_the_lexicon(spark):
+    rules = PhraseRules(entries={"so so": -1.0, "good": 0.5})
+    assert rule_score(spark, "so so", rules, {"so so": 2.0, "x1": 1.0}) == normal(-1.0)
+    assert rule_score(spark, "good good", rules) == normal(1.0)
+    assert rule_score(spark, "tip top", PhraseRules(), {"tip top": 2.0}) == normal(0.0)
