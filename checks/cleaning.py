@@ -199,14 +199,20 @@ def texts_of_dates(spark, d):
     when, kind, status = F.col("o_orderdate"), F.col("o_orderpriority"), F.col("o_orderstatus")
     return table(spark, d, "orders").select(
         "o_orderkey",
-        F.when(kind == "5-LOW", F.lit("S/D"))
+        F.when((kind == "5-LOW") & (status == "O"), F.date_format(when, "d MMM yyyy"))
+        .when((kind == "5-LOW") & (status == "P"), F.date_format(when, "MMMM d, yyyy"))
+        .when(kind == "5-LOW", F.lit("S/D"))
+        .when((kind == "2-HIGH") & (status == "O"), F.lower(F.date_format(when, "dd-MMM-yyyy")))
+        .when((kind == "4-NOT SPECIFIED") & (status == "P"), F.date_format(when, "yyyyMMdd"))
         .when(kind == "2-HIGH", F.date_format(when, "yyyy-MM-dd'T07:00:00'"))
         .when(kind == "3-MEDIUM", F.date_format(when, "dd-MM-yyyy"))
         .when(kind == "4-NOT SPECIFIED", F.date_format(when, "' 'yyyy/MM/dd' '"))
         .when(status == "F", F.date_format(when, "yyyy-MM-dd"))
         .when(status == "P", F.date_format(when, "dd/MM/yy"))
         .otherwise(F.date_format(when, "dd/MM/yyyy")).alias("fecha"),
-        F.when(status == "O", F.lit("25:61:00")).when(status == "F", F.lit("07:08:09"))
+        F.when((status == "O") & (kind == "2-HIGH"), F.lit("070000")).when((status == "O") & (kind == "3-MEDIUM"), F.lit("12:05 am"))
+        .when((status == "O") & (kind == "5-LOW"), F.lit("07:00 PM")).when((status == "O") & (kind == "4-NOT SPECIFIED"), F.lit("25:61:00"))
+        .when(status != "P", F.lit("07:08:09"))
         .otherwise(F.lit("1900-01-01 23:59")).alias("hora"),
     )
 
@@ -214,11 +220,19 @@ def texts_of_dates(spark, d):
 _TEXTS_SQL = """
     t AS (
         SELECT o_orderkey, o_orderdate AS d,
-            CASE o_orderpriority WHEN '5-LOW' THEN 'S/D' WHEN '2-HIGH' THEN strftime(o_orderdate, '%Y-%m-%dT07:00:00')
-                WHEN '3-MEDIUM' THEN strftime(o_orderdate, '%d-%m-%Y') WHEN '4-NOT SPECIFIED' THEN strftime(o_orderdate, ' %Y/%m/%d ')
+            CASE o_orderpriority
+                WHEN '5-LOW' THEN CASE o_orderstatus WHEN 'O' THEN strftime(o_orderdate, '%-d %b %Y')
+                    WHEN 'P' THEN strftime(o_orderdate, '%B %-d, %Y') ELSE 'S/D' END
+                WHEN '2-HIGH' THEN CASE o_orderstatus WHEN 'O' THEN lower(strftime(o_orderdate, '%d-%b-%Y'))
+                    ELSE strftime(o_orderdate, '%Y-%m-%dT07:00:00') END
+                WHEN '3-MEDIUM' THEN strftime(o_orderdate, '%d-%m-%Y')
+                WHEN '4-NOT SPECIFIED' THEN CASE o_orderstatus WHEN 'P' THEN strftime(o_orderdate, '%Y%m%d')
+                    ELSE strftime(o_orderdate, ' %Y/%m/%d ') END
                 ELSE CASE o_orderstatus WHEN 'F' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 'P' THEN strftime(o_orderdate, '%d/%m/%y')
                     ELSE strftime(o_orderdate, '%d/%m/%Y') END END AS fecha,
-            CASE o_orderstatus WHEN 'O' THEN '25:61:00' WHEN 'F' THEN '07:08:09' ELSE '1900-01-01 23:59' END AS hora,
+            CASE o_orderstatus WHEN 'F' THEN '07:08:09' WHEN 'P' THEN '1900-01-01 23:59'
+                ELSE CASE o_orderpriority WHEN '1-URGENT' THEN '07:08:09' WHEN '2-HIGH' THEN '070000' WHEN '3-MEDIUM' THEN '12:05 am'
+                    WHEN '5-LOW' THEN '07:00 PM' ELSE '25:61:00' END END AS hora,
             -- Day and month can be taken for each other.
             o_orderpriority = '3-MEDIUM' OR (o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F') AS open
         FROM orders
@@ -247,8 +261,9 @@ def _parse_mixed(spark, d):
 
 @query("standardize_datetime", f"""
     WITH {_TEXTS_SQL} SELECT o_orderkey, CASE WHEN fecha <> 'S/D' THEN strftime(d, '%Y-%m-%d') END AS fecha,
-        CASE hora WHEN '07:08:09' THEN hora WHEN '1900-01-01 23:59' THEN '23:59:00' END AS hora,
-        CASE hora WHEN '07:08:09' THEN 7 WHEN '1900-01-01 23:59' THEN 23 END AS h
+        CASE hora WHEN '07:08:09' THEN hora WHEN '1900-01-01 23:59' THEN '23:59:00' WHEN '070000' THEN '07:00:00'
+            WHEN '12:05 am' THEN '00:05:00' WHEN '07:00 PM' THEN '19:00:00' END AS hora,
+        CASE hora WHEN '07:08:09' THEN 7 WHEN '1900-01-01 23:59' THEN 23 WHEN '070000' THEN 7 WHEN '12:05 am' THEN 0 WHEN '07:00 PM' THEN 19 END AS h
     FROM t""")
 def _standardize(spark, d):
     rows = texts_of_dates(spark, d).withColumn("h", D.clock_hour("hora"))

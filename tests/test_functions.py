@@ -44,6 +44,19 @@ def one(spark, text, expression):
     ("15/11/023", True, None),
     ("31/12/2023", False, "2023-12-31"),
     ("32/13/2023", False, None),
+    ("15 Nov 2023", True, "2023-11-15"),
+    ("15-nov-2023", False, "2023-11-15"),
+    ("5 NOVEMBER 23", True, "2023-11-05"),
+    ("5.sept.2023 07:00 PM", True, "2023-09-05"),
+    ("May 5, 2023", False, "2023-05-05"),
+    ("November 15 2023 7:00:01.5", True, "2023-11-15"),
+    ("15 Novem 2023", True, None),
+    ("31 Nov 2023", True, None),
+    ("15 ene 2023", True, None),
+    ("20231115", True, "2023-11-15"),
+    ("20231315", True, None),
+    ("202311", True, None),
+    ("2023-11-15 07:00 pm", True, "2023-11-15"),
     ("S/D", True, None),
     ("", True, None),
     (None, True, None),
@@ -58,6 +71,8 @@ def test_mixed_date(spark, text, day_first, expected):
     ("24:00:00", None, None), ("25:61:00", None, None), ("S/D", None, None), (None, None, None),
     ("07:05:0x", None, None), ("07:05", "07:05:00", 7), ("aa:bb:c1", None, None), (" 7:05 ", "07:05:00", 7),
     ("1900-01-01 07:00:00", "07:00:00", 7), ("2023-11-15T23:59", "23:59:00", 23), ("07:05:09.25", "07:05:09", 7), ("24:00", None, None),
+    ("07:00 PM", "19:00:00", 19), ("12:05am", "00:05:00", 0), ("12:05 p.m.", "12:05:00", 12), ("0:05 am", None, None), ("13:00 PM", None, None),
+    ("7 pm", "19:00:00", 19), ("7", None, None), ("070000", "07:00:00", 7), ("256100", None, None), ("15/11/2023 7:05 PM", "19:05:00", 19),
 ])
 def test_clock(spark, text, clock, hour):
     assert one(spark, text, D.clock_text("t")) == clock
