@@ -20,14 +20,13 @@ def joined_group_count(
 ) -> DataFrame:
     """Group count over the inner join of airings and spots.
 
-    Both sides are counted per join key before the join and the counts multiplied:
-    the shuffle carries one row per key and group, however many airings a key has.
+    Spots are counted per key and group, so that no pair is formed; airings meet
+    these counts as they are, without a shuffle where the counts can be broadcast, and
+    are summed per group before the one small shuffle.
     """
-    left = group_count(airings.withColumnRenamed(airing_key, "_key").where("_key IS NOT NULL"), ["_key", *airing_groups], "_l")
+    left = airings.select(quoted(airing_key).alias("_key"), *[quoted(g) for g in airing_groups]).where("_key IS NOT NULL")
     right = group_count(spots.withColumnRenamed(spot_key, "_key").where("_key IS NOT NULL"), ["_key", *spot_groups], "_r")
-    return left.join(right, "_key").groupBy(*[quoted(k) for k in [*airing_groups, *spot_groups]]).agg(
-        F.sum(F.col("_l") * F.col("_r")).alias(name)
-    )
+    return left.join(right, "_key").groupBy(*[quoted(k) for k in [*airing_groups, *spot_groups]]).agg(F.sum("_r").alias(name))
 
 
 def count_with_nonnull(df: DataFrame, keys: list[str], counted: str) -> DataFrame:
