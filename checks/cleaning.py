@@ -13,10 +13,14 @@ from spotlake.operators.columns import as_text, drop_columns, first_of_each_name
 from spotlake.operators.joins import (
     append_all, append_new, cross_duplicates, lookup_enrich, pending, remove_cross_duplicates,
 )
-from spotlake.operators.profile import distinct_profile, drop_sparse_columns, duplicate_rows, key_sets, null_profile
+from spotlake.operators.profile import (
+    distinct_profile, drop_sparse_columns, duplicate_rows, key_sets, nested_key_sets, null_profile,
+)
+from spotlake.operators.sketches import SketchStore, column_sketches, distinct_error, merged_profile
 from spotlake.operators.sets import outer_union, sort_nulls_last, union_files
 from spotlake.plans import cleaning as C
 from spotlake.plans.catalogue import pending_audio
+from spotlake.sources.scratch import scratch_path
 
 KEYS = (schemas.EXCEDENTES_KEYS, schemas.REQUERIMIENTOS_KEYS)
 
@@ -171,6 +175,22 @@ def _distinct_profile(spark, d):
     return distinct_profile(labelled(spark, d))
 
 
+@query("merged_profile", f"WITH {LABELLED_SQL} " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS n_rows, round(100.0 * count(*) FILTER (WHERE {c} IS NULL) / count(*), 6) AS null_pct,
+        true AS near FROM labelled""" for c in _PROFILED))
+def _merged_profile(spark, d):
+    """Sketches of two loads, stored and merged; distinct counts within three standard errors of the exact ones."""
+    rows = labelled(spark, d)
+    first = column_sketches(rows.where("lang = 'en'"))
+    store = SketchStore(spark, scratch_path(spark, "sketches"), first.schema)
+    store.add("english", first)
+    store.add("others", column_sketches(rows.where("lang IS DISTINCT FROM 'en'")))
+    exact = distinct_profile(rows).withColumnRenamed("n_distinct", "exact")
+    allowed = F.greatest(F.lit(1.0), F.col("exact") * distinct_error())
+    return merged_profile(store.rows()).join(exact, "column").select(
+        "column", "n_rows", F.round("null_pct", 6).alias("null_pct"), (F.abs(F.col("n_distinct") - F.col("exact")) <= allowed).alias("near"))
+
+
 @query("drop_sparse_columns", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def _drop_sparse(spark, d):
     return drop_sparse_columns(labelled(spark, d), 30.0)
@@ -376,3 +396,17 @@ def _period(spark, d):
     FROM events GROUP BY 1""")
 def _key_sets(spark, d):
     return key_sets(table(spark, d, "events"), "props")
+
+
+@query("nested_keysets", """
+    SELECT '`u.id`,event,event.id,' || CASE WHEN event_type = 'view' THEN '' ELSE 'event.kind,' END || 'items,items[],items[].v,'
+        || CASE WHEN value > 100 THEN 'items[].w,' ELSE '' END || 'props,props.k' AS paths, count(*) AS n
+    FROM events GROUP BY 1""")
+def _nested_key_sets(spark, d):
+    """Nested records from events; some lack a key at some depth, and one key holds a dot."""
+    v = F.col("value")
+    record = F.struct(
+        F.struct(F.col("event_id").alias("id"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("kind")).alias("event"),
+        F.array(F.struct(v.alias("v"), F.lit(None).cast("double").alias("w")), F.struct(v.alias("v"), F.when(v > 100, v).alias("w"))).alias("items"),
+        F.from_json("props", "k int").alias("props"), F.col("user_id").alias("u.id"))
+    return nested_key_sets(table(spark, d, "events").select(F.to_json(record).alias("record")), "record")

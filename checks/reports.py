@@ -11,10 +11,11 @@ from checks.tables import (
 from spotlake.operators.aggregates import (
     count_with_nonnull, group_count, histogram, last_value, merge_latest, top_groups, within_top_groups,
 )
+from spotlake.operators import sketches as S
 from spotlake.operators.joins import join_spots
 from spotlake.operators.quantiles import box_plot, exact_quantiles, outliers
 from spotlake.plans import reports as R
-from spotlake.sources.scratch import materialise
+from spotlake.sources.scratch import materialise, scratch_path
 
 
 @query("topk_group_category_pivot", f"""
@@ -162,6 +163,27 @@ def _box(spark, d):
     return rounded(R.score_box_plot(events, "event_type", "value", ["view", "click", "error"]), BOX_COLUMNS)
 
 
+@query("merged_boxplot", """
+    SELECT event_type, count(*) AS n, round(min(value), 6) AS low, round(max(value), 6) AS high, true AS near FROM events GROUP BY event_type""")
+def _merged_box(spark, d):
+    """Quantile sketches per type and day, stored by two loads and merged; quartiles within the rank error of the sketch."""
+    events = table(spark, d, "events").select("event_type", F.to_date("ts").alias("day"), "value")
+    middle = F.col("day") < "2024-01-15"
+    first = S.quantile_sketches(events.where(middle), ["event_type", "day"], "value")
+    store = S.SketchStore(spark, scratch_path(spark, "sketches"), first.schema)
+    store.add("early", first)
+    store.add("late", S.quantile_sketches(events.where(~middle), ["event_type", "day"], "value"))
+    merged = materialise(S.merged_quantiles(store.rows(), ["event_type"], [0.25, 0.5, 0.75]), "merged")
+    beside = events.join(merged, "event_type")
+    places = [F.avg((F.col("value") < F.col(f"q{i}")).cast("int")) <= p + S.KLL_RANK_ERROR for i, p in enumerate((0.25, 0.5, 0.75))]
+    places += [F.avg((F.col("value") <= F.col(f"q{i}")).cast("int")) >= p - S.KLL_RANK_ERROR for i, p in enumerate((0.25, 0.5, 0.75))]
+    near = places[0]
+    for place in places[1:]:
+        near = near & place
+    return beside.groupBy("event_type").agg(
+        F.first("n").alias("n"), F.round(F.first("low"), 6).alias("low"), F.round(F.first("high"), 6).alias("high"), near.alias("near"))
+
+
 @query("boxplot_all_states", f"""
     WITH v AS (
         SELECT n_name, l_extendedprice AS x FROM lineitem

@@ -61,6 +61,18 @@ def _json_append(spark, d):
     return spark.read.schema(rows.schema).json(path)
 
 
+@query("append_indexed", """
+    SELECT c_custkey AS key, c_name AS name, c_mktsegment AS segment FROM customer""")
+def _append_indexed(spark, d):
+    """Three appends, the second and third repeating stored customers: only new ones are written."""
+    path = scratch_path(spark, "json")
+    customers = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    for segments in (["BUILDING", "MACHINERY"], ["MACHINERY", "AUTOMOBILE"], None):
+        writers.append_indexed_json(customers.where(F.col("segment").isin(segments)) if segments else customers, path, "key")
+    return spark.read.schema(customers.schema).json(path)
+
+
 @query("skip_preamble", """
     SELECT CAST(o_orderkey AS VARCHAR) AS no, nullif(n_name, 'NATION_7') AS estado, strftime(o_orderdate, '%Y-%m-%d') AS fecha,
         o_orderpriority || ', "x"' AS material
@@ -241,6 +253,28 @@ def _analysis(spark, d):
         F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
+@query("missing_families", """
+    SELECT 'both' AS folder, count(*) AS n, count(*) FILTER (WHERE o_orderstatus <> 'F') AS n_req FROM orders
+    UNION ALL SELECT 'one', count(*), 0 FROM orders
+    UNION ALL SELECT 'none', 0, 0""")
+def _missing_families(spark, d):
+    """Folders with both report families, with one, and with none: an absent family is an empty table."""
+    orders = table(spark, d, "orders")
+    found = []
+    for name, families in (("both", ["Excedentes_", "Requerimientos_"]), ("one", ["Excedentes_"]), ("none", [])):
+        base = scratch_path(spark, "reports")
+        writers.write_csv(orders.select("o_orderkey"), f"{base}/Otros.csv")
+        for prefix in families:
+            schema = schemas.EXCEDENTES if prefix == "Excedentes_" else schemas.REQUERIMIENTOS
+            rows = orders if prefix == "Excedentes_" else orders.where("o_orderstatus <> 'F'")
+            writers.write_csv(rows.select(*[F.col("o_orderkey").cast("string").alias(f.name) if f.name == "No." else
+                                            F.lit(None).cast("string").alias(f.name) for f in schema.fields]), f"{base}/{prefix}1.csv")
+        exc, req = ReportFolder(base).read(spark)
+        counted = exc.agg(F.count(F.lit(1)).alias("n")).crossJoin(req.agg(F.count(F.lit(1)).alias("n_req")))
+        found.append(counted.select(F.lit(name).alias("folder"), "n", "n_req"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("cleaning_job", """
     SELECT 'EXC' || o_orderkey AS no, strftime(o_orderdate, '%Y-%m-%d') AS fecha, '07:00:00' AS hora, o_orderstatus AS estado FROM orders
     UNION ALL

@@ -9,7 +9,8 @@ from checks.reports import BOX_COLUMNS, rounded
 from checks.tables import ENGLISH_STOP_WORDS, sql_list, table
 from spotlake.functions.text import is_content_word, stop_words, word_tokens
 from spotlake.operators.aggregates import accuracy, top_words, word_frequencies
-from spotlake.operators.features import document_frequencies, term_counts, tfidf, top_terms
+from spotlake.operators.features import document_frequencies, hashed_features, term_counts, tfidf, top_terms
+from spotlake.operators.heavy import frequent_words
 from spotlake.operators.nested import flatten_catalogue
 from spotlake.operators.sentiment import PhraseRules, custom_scores, rule_scores, valence_scores
 from spotlake.plans import catalogue as P
@@ -176,6 +177,12 @@ def _top_words(spark, d):
     return top_words(word_frequencies(table(spark, d, "documents"), "text", stop_words()), 50)
 
 
+@query("heavy_hitters", f"WITH {_WORDS_SQL} SELECT word, n FROM w ORDER BY n DESC, word LIMIT 50")
+def _heavy_hitters(spark, d):
+    """The rows of top_words from summaries and an exact count of the candidates."""
+    return frequent_words(table(spark, d, "documents"), "text", 50, stop_words())
+
+
 _TF_SQL = f"""
     tf AS (
         SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents)
@@ -189,6 +196,17 @@ def _df(spark, d):
     return document_frequencies(term_counts(table(spark, d, "documents"), "doc_id", "text", stop_words()))
 
 
+_TERM_BUCKET = "CAST(CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 4096 AS INTEGER)"
+
+
+@query("hashed_features", f"""
+    WITH {_TF_SQL},
+    h AS (SELECT doc_id, {_TERM_BUCKET} AS bucket, sum(CASE WHEN substr(md5(term), 9, 1) < '8' THEN tf ELSE -tf END) AS value FROM tf GROUP BY ALL)
+    SELECT doc_id, bucket, CAST(value AS BIGINT) AS value FROM h WHERE value <> 0""")
+def _hashed(spark, d):
+    return hashed_features(term_counts(table(spark, d, "documents"), "doc_id", "text", stop_words()), "doc_id", 4096)
+
+
 @query("tfidf_top_terms", f"""
     WITH {_TF_SQL},
     s AS (
@@ -447,6 +465,13 @@ def _split(spark, d):
     return table(spark, d, "documents").select("doc_id", K.in_training("doc_id").alias("training"))
 
 
+@query("exact_split", """
+    SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR))) <= floor(0.8 * (SELECT count(*) FROM documents)) AS training FROM documents""")
+def _exact_split(spark, d):
+    train, test = K.exact_split(table(spark, d, "documents").select("doc_id"), "doc_id")
+    return train.withColumn("training", F.lit(True)).unionByName(test.withColumn("training", F.lit(False)))
+
+
 _BAYES_SQL = f"""
     d AS (SELECT doc_id, lang, {_BUCKET} < 80 AS train FROM documents),
     tf AS (

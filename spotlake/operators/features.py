@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spotlake.functions.keys import bucket_of
 from spotlake.functions.text import is_content_word, word_tokens
 from spotlake.operators.columns import quoted
 from spotlake.operators.sizing import over_all_cores
@@ -13,16 +14,35 @@ from spotlake.sources.scratch import materialise
 
 
 def term_counts(
-    df: DataFrame, key: str, text: str, words_out: list[str] | None = None, unicode_words: bool = False
+    df: DataFrame, key: str, text: str, words_out: list[str] | None = None, unicode_words: bool = False, width: int | None = None
 ) -> DataFrame:
-    """(key, term, tf). All words of a text are counted in its own task before the shuffle."""
+    """(key, term, tf). All words of a text are counted in its own task before the shuffle.
+
+    With `width` terms are the numbers of that many hash buckets, so that whatever is
+    kept per term has a bound. Counts stay positive, as a Naive Bayes model needs.
+    """
     texts = over_all_cores(df.select(quoted(key), quoted(text)), [key])
     words = texts.select(quoted(key), F.explode(word_tokens(quoted(text), unicode_words)).alias("term"))
     if words_out:
         words = words.where(is_content_word("term", words_out))
+    if width:
+        words = words.withColumn("term", bucket_of("term", width).cast("string"))
     return words.groupBy(quoted(key), "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def hashed_features(terms: DataFrame, key: str, width: int = 1 << 18) -> DataFrame:
+    """(key, bucket, value): term counts hashed to a fixed width, half of the terms with a negative sign.
+
+    Bucket and sign come from parts of the term's MD5 that do not overlap. Terms that
+    share a bucket add up or cancel, so that inner products are right on average;
+    buckets whose terms cancel are left out. No vocabulary is needed at any size.
+    """
+    digest = F.md5("term")
+    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") < 8, 1).otherwise(-1)
+    hashed = terms.select(quoted(key), bucket_of("term", width).alias("bucket"), (F.col("tf") * sign).alias("value"))
+    return hashed.groupBy(quoted(key), "bucket").agg(F.sum("value").alias("value")).where("value <> 0")
+
+
 def document_frequencies(terms: DataFrame) -> DataFrame:
     """(term, df): texts that hold each term."""
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

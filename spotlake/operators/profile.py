@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.functions.keys import compact_columns, compact_text
 from spotlake.operators.columns import drop_columns, quoted, string_columns
 from spotlake.operators.joins import cross_duplicates
+from spotlake.shipping import ship
+
+ship(__name__)
 
 
 def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -79,6 +83,70 @@ def has_one_key_set(records: DataFrame, json_col: str) -> bool:
     return len(key_sets(records, json_col).limit(2).collect()) <= 1
 
 
+def schema_paths(schema: str) -> list[str]:
+    """The paths of a variant schema in order: `a.b` for a key in an object, `[]` for the items of an array.
+
+    Keys that hold a dot, a bracket or a back quote stand in back quotes.
+    """
+    found, at = set(), 0
+
+    def name() -> str:
+        nonlocal at
+        if schema[at] != "`":
+            end = schema.index(":", at)
+            key, at = schema[at:end], end
+            return key
+        key, at = "", at + 1
+        while schema[at] != "`" or schema[at:at + 2] == "``":
+            step = 2 if schema[at] == "`" else 1
+            key, at = key + schema[at], at + step
+        at += 1
+        return "`" + key.replace("`", "``") + "`" if any(c in key for c in ".[]`") else key
+
+    def walk(path: str) -> None:
+        nonlocal at
+        if schema.startswith("OBJECT<", at):
+            at += 7
+            while schema[at] != ">":
+                child = f"{path}.{name()}" if path else name()
+                found.add(child)
+                at += 2
+                walk(child)
+                at += 2 if schema.startswith(", ", at) else 0
+            at += 1
+        elif schema.startswith("ARRAY<", at):
+            at += 6
+            found.add(path + "[]")
+            walk(path + "[]")
+            at += 1
+        else:
+            # A plain type, perhaps with digits in parentheses.
+            while at < len(schema) and schema[at] not in ",>":
+                at = schema.index(")", at) if schema[at] == "(" else at
+                at += 1
+
+    walk("")
+    return sorted(found)
+
+
+def nested_key_sets(records: DataFrame, json_col: str) -> DataFrame:
+    """(paths, n): the sets of paths of JSON texts, at any depth, and how often each occurs.
+
+    The items of an array count as one. Text that is not JSON has a NULL set, a plain
+    value an empty one. Schemas are counted before they are read as paths, so each is read once.
+    """
+    def paths(batches):
+        for batch in batches:
+            sets = [None if s is None else ",".join(schema_paths(s)) for s in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.string()), batch.column(1)], ["paths", "n"])
+
+    schema = F.schema_of_variant(F.try_parse_json(quoted(json_col)))
+    # Types differ where keys do not: numbers of other lengths, or NULLs.
+    plain = F.regexp_replace(schema, r"(?<=: |ARRAY<)(?:DECIMAL\([0-9,]+\)|BIGINT|DOUBLE|STRING|BOOLEAN|VOID)", "VALUE")
+    counted = records.select(plain.alias("schema")).groupBy("schema").agg(F.count(F.lit(1)).alias("n"))
+    return counted.mapInArrow(paths, "paths string, n long").groupBy("paths").agg(F.sum("n").alias("n"))
+
+
 def summary_of_reports(
     first: DataFrame, second: DataFrame, first_keys: list[str], second_keys: list[str],
     exclude: list[str] | None = None,

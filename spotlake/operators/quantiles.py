@@ -14,27 +14,27 @@ SKETCH = 10000
 
 
 def _cells(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, _x, _c): how often each value occurs in each group, written once; NULL groups and values are left out."""
+    """(group, _x, _c, _part): how often each value occurs in each group, cut into ranges of value and written once.
+
+    NULL groups and values are left out.
+    """
     x = quoted(value).cast("double")
-    counted = df.where(quoted(group).isNotNull() & x.isNotNull()).groupBy(quoted(group), x.alias("_x"))
-    return materialise(counted.agg(F.count(F.lit(1)).alias("_c")), "cells")
+    counted = df.where(quoted(group).isNotNull() & x.isNotNull()).groupBy(quoted(group), x.alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    return materialise(counted.repartitionByRange(quoted(group), "_x").withColumn("_part", F.spark_partition_id()), "cells")
 
 
 def _placed(cells: DataFrame, group: str) -> DataFrame:
     """Cells with `_n`, the rows of their group, and `_cum`, those up to and including the cell.
 
-    Cells are cut into ranges of value, each range is summed on its own, and the
-    totals of the ranges before it are added: no task sees more than one range of
-    a group.
+    Each range of cells is summed on its own, and the totals of the ranges before it
+    are added: no task sees more than one range of a group.
     """
-    cut = materialise(
-        cells.repartitionByRange(quoted(group), "_x").withColumn("_part", F.spark_partition_id()), "ranges")
     whole = W.partitionBy(quoted(group))
     before = whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = cut.groupBy(quoted(group), "_part").agg(F.sum("_c").alias("_t")).select(
+    starts = cells.groupBy(quoted(group), "_part").agg(F.sum("_c").alias("_t")).select(
         quoted(group), "_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_start"), F.sum("_t").over(whole).alias("_n"))
     within = W.partitionBy(quoted(group), "_part").orderBy("_x").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return cut.join(starts, [group, "_part"]).withColumn("_cum", F.col("_start") + F.sum("_c").over(within))
+    return cells.join(starts, [group, "_part"]).withColumn("_cum", F.col("_start") + F.sum("_c").over(within))
 
 
 def _quantiles(cells: DataFrame, group: str, probs: list[float]) -> DataFrame:

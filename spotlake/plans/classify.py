@@ -14,6 +14,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, StopWordsRemover, StringIndexer
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spotlake.functions.keys import bucket_of
@@ -34,6 +35,40 @@ def hash_split(df: DataFrame, key: str, share_pct: int = 80) -> tuple[DataFrame,
     return df.where(in_training(key, share_pct)), df.where(~in_training(key, share_pct))
 
 
+def exact_split(df: DataFrame, key: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(training, test) with exactly floor(share * rows) training rows, the same on any partitioning.
+
+    Rows are in the order of the MD5 of their key, then of their content, and the last
+    training row is found by refinement: a histogram of 16 bits of the hash, then one
+    of the next 16 bits within the bin that holds it. A histogram has at most 65,536
+    rows; no row of the table is sorted or moved. Rows that are equal in all columns are
+    parted by number.
+    """
+    content = F.md5(F.to_json(F.struct(*[quoted(c) for c in df.columns])))
+    # A NULL key is ahead of all others.
+    place = F.concat(F.coalesce(F.md5(quoted(key).cast("string")), F.lit("-" * 32)), content)
+    placed = df.select("*", place.alias("_place"))
+    wanted = math.floor(share * df.count())
+    if wanted == 0:
+        return df.limit(0), df
+    # Places from `prefix` on are still undecided; `before` rows lie ahead of them.
+    prefix, before, inside = "", 0, 0
+    for digits in range(4, 65, 4):
+        bins = placed.where(F.col("_place").startswith(prefix)).groupBy(F.substring("_place", 1, digits).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        upto = before + F.sum("n").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
+        cut = bins.withColumn("upto", upto).where(F.col("upto") >= wanted).orderBy("bin").first()
+        prefix, before, inside = cut["bin"], cut["upto"] - cut["n"], cut["n"]
+        if before + inside == wanted:
+            break
+    here = F.substring("_place", 1, len(prefix))
+    if before + inside == wanted:
+        return placed.where(here <= prefix).drop("_place"), placed.where(here > prefix).drop("_place")
+    # What is left of both sides are equal rows, so any of them will do.
+    equal = placed.where(here == prefix).drop("_place")
+    return (placed.where(here < prefix).drop("_place").unionByName(equal.limit(wanted - before)),
+            placed.where(here > prefix).drop("_place").unionByName(equal.limit(before + inside - wanted)))
+
+
 def random_split(df: DataFrame, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(training, test) by Spark's seeded sampling; depends on how `df` is partitioned."""
     train, test = df.randomSplit([share, 1 - share], seed=seed)
@@ -57,10 +92,11 @@ class Classifier:
     key: str
     words_out: list[str]
     unicode_words: bool
+    width: int | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Rows with `label` and `prediction` as numbers and the predicted text in `predicted`; the key identifies a row."""
-        terms = term_counts(df, self.key, self.text, self.words_out, self.unicode_words)
+        terms = term_counts(df, self.key, self.text, self.words_out, self.unicode_words, self.width)
         known = terms.join(self.weights, "term").withColumn("_x", F.col("tf") * F.col("idf"))
         # Per text: its whole weight, and what its terms add for each label that has them.
         mass = known.groupBy(quoted(self.key)).agg(F.sum("_x").alias("_mass"))
@@ -83,19 +119,20 @@ class Classifier:
 
 def fit_classifier(
     train: DataFrame, text: str, label: str, key: str, fit_features_on: DataFrame | None = None,
-    language: str = "english", unicode_words: bool = False, smoothing: float = 1.0,
+    language: str = "english", unicode_words: bool = False, smoothing: float = 1.0, width: int | None = None,
 ) -> Classifier:
     """Fit features and model on the training rows; `key` identifies a row.
 
     `fit_features_on` takes a wider table for document frequencies and labels,
     such as all rows before the split; test rows then leak into both. Labels are
-    the classes of the model, numbered by falling frequency, then by name.
+    the classes of the model, numbered by falling frequency, then by name. With
+    `width` terms are hashed to that many buckets.
     """
     words_out = stop_words(language)
     basis = train if fit_features_on is None else fit_features_on
     texts = basis.agg(F.count(F.lit(1))).first()[0]
-    counts = materialise(term_counts(train, key, text, words_out, unicode_words), "term_counts")
-    basis_counts = counts if fit_features_on is None else term_counts(basis, key, text, words_out, unicode_words)
+    counts = materialise(term_counts(train, key, text, words_out, unicode_words, width), "term_counts")
+    basis_counts = counts if fit_features_on is None else term_counts(basis, key, text, words_out, unicode_words, width)
     idf = F.log((F.lit(texts) + 1) / (F.col("df") + 1))
     vocabulary = materialise(document_frequencies(basis_counts).select("term", idf.alias("idf")), "vocabulary")
 
