@@ -11,6 +11,7 @@ from spotlake.operators.joins import join_spots
 from spotlake.operators.profile import distinct_profile, null_profile
 from spotlake.plans.cleaning import ReportFolder, write_clean_reports
 from spotlake.sources.writers import write_external_table
+from spotlake.sources.scratch import materialise
 from spotlake.streaming.loader import StreamTarget, load_folder
 
 
@@ -37,7 +38,7 @@ def analysis_job(
 
     `base` is a folder of the job; a later run on the same folder loads what is new.
     """
-    nulls = null_profile(transmissions).persist()
+    nulls = materialise(null_profile(transmissions), "null-profile")
     sparse = [r["column"] for r in nulls.collect() if r["null_pct"] is not None and r["null_pct"] > over_pct]
     kept = drop_columns(transmissions, [*sparse, row_number])
     write_external_table(kept, source, f"{base}/{source}")
