@@ -29,20 +29,39 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
+def _is_plain_scan(df: DataFrame) -> bool:
+    """Whether `df` is one read of different files with nothing but filters and column selections: a row of it is a row of a file."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or "HadoopFsRelation" not in plan.relation().getClass().getName():
+        return False
+    paths = plan.relation().location().rootPaths()
+    return paths.distinct().size() == paths.size()
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """All columns plus a row key under an unused name; the key of a row never changes.
 
     `doc_id` may be null or repeated, so rows are told apart by their place: the
-    file and the row in it where `docs` is read from Parquet, else a number that
-    is written with a copy of the table.
+    file and the row in it where `docs` is a plain read of Parquet files, else a
+    number that is written with a copy of the table. Content comes before place in
+    the key, so of rows that tie in everything an operator reads the same one is
+    first in every run, unless they are equal in all columns.
     """
     taken = {c.lower() for c in docs.columns}
     name = next(n for n in ("_row", *(f"_row{i}" for i in range(len(taken) + 1))) if n not in taken)
-    place = F.concat_ws(":", "_metadata.row_index", "_metadata.file_path")
-    try:
-        return docs.select("*", F.unhex(F.md5(place)).alias(name)), name
-    except AnalysisException:
-        return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    content = F.unhex(F.lpad(F.hex(F.xxhash64(*hashable) if hashable else F.lit(0)), 16, "0"))
+    if _is_plain_scan(docs):
+        place = F.unhex(F.md5(F.concat_ws(":", "_metadata.row_index", "_metadata.file_path")))
+        try:
+            return docs.select("*", F.concat(content, place).alias(name)), name
+        except AnalysisException:
+            # Files of another format have no row index.
+            pass
+    number = F.unhex(F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))
+    return materialise(docs.withColumn(name, F.concat(content, number)), "numbered"), name
 
 
 def row_number_column(row_col: str | None) -> Column:
