@@ -7,9 +7,13 @@ each of its documents a whole number of times, and once more those that come
 first in a seeded order, until its target is met within half a document.
 
 Nulls and edge cases: a null text has no words; a null source is a source of
-its own, last in order; empty sources get target 0. Rows that share an id are
-rows of their own. An empty table gives an empty result. Extra columns are
-ignored. Reruns agree, whatever the partitioning.
+its own, last in order; empty sources get target 0. An empty document is taken
+as often as every document of its source, and not at all if the source has no
+words. Rows without an id are drawn by their text. Rows that share an id, or
+have none and share a text, are rows of their own next to each other in the
+order. A very long text is one document like any other: only its words are
+counted, and it is taken if its middle lies within the target. An empty table gives an empty
+result. Extra columns are ignored. Reruns agree, whatever the partitioning.
 """
 
 from __future__ import annotations
@@ -72,7 +76,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         row_number_column(row_col).alias("row"), F.col(f"`{id_col}`").alias("id"), source.alias("source"),
         F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source)).alias("key"),
         word_count(text_of(text_col)).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")))).alias("draw"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(
+            F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("null:"), F.md5(text_of(text_col)))))).alias("draw"),
     ).withColumns({"b1": F.substring("draw", 1, 3), "b2": F.substring("draw", 4, 3)}), "sizes")
 
     # A source's documents are counted by the first bits of their draw: no source is summed up row by row in one task.
@@ -100,7 +105,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     split = split.join(small, ["key", "b1", "b2"]).withColumn("extra", (place + F.col("size") / 2 <= F.col("rest")).cast("long"))
 
     columns = ["row", "id", "size", "source_size", "target", "whole", "extra"]
-    copies = F.col("whole") + F.col("extra")
+    # An empty document fills nothing of the rest.
+    copies = F.col("whole") + F.when(F.col("size") > 0, F.col("extra")).otherwise(0)
     return clear.select(columns).unionByName(split.select(columns)).select(
         "row", F.col("id").alias("doc_id"), "size", "source_size", "target", copies.alias("copies"),
         (copies * F.col("size")).alias("taken"))

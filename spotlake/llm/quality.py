@@ -1,17 +1,18 @@
 """Quality rules: repetition inside a document, and lines that many documents of a host share.
 
 Lines are normalised, hashed and counted in distinct documents per host, where
-documents with the same text are one document. A line is above the limits if
-more than `max_documents` and more than `max_share` of the host's distinct
-documents hold it. Such lines are removed from every document but the first of
-the host that holds it, so a page that others quote stays whole. A document is
-rejected when the removed lines held more than `max_removed` of its words, or
-when it fails the base rules.
+documents with the same text are one document. A line is above the limit if more
+than `max_documents` of the host's distinct documents hold it, however large the
+host is. Such lines are removed from every document but the first of the host that
+holds it, so a page that others quote stays whole. A document is rejected when
+the removed lines held more than `max_removed` of its words, or when it fails the
+base rules.
 
 Nulls and edge cases: a null text has no words and fails the base rules; a null
-host is a host of its own. Rows that share an id are rows of their own. An empty
-table gives an empty result. Extra columns are ignored. Two lines whose 64-bit
-hashes meet count as one; the chance is far below one in a billion per pair.
+host is a host of its own. Rows that share an id are rows of their own. A very long
+text is read whole by one task, and counts like any other. An empty table gives
+an empty result. Extra columns are ignored. Two lines whose 64-bit hashes meet
+count as one; the chance is far below one in a billion per pair.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ from spotlake.sources.scratch import materialise
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_DOCUMENTS = 20
-MAX_SHARE = 0.02
 MAX_REMOVED = 0.5
 _SYMBOLS = b"#*$%&|<>"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -108,12 +108,11 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return rows.mapInArrow(measure, schema)
 
 
-def frequent_lines(lines: DataFrame, hosts: DataFrame, max_documents: int, max_share: float) -> DataFrame:
-    """Lines (`host`, `line`) above the limits, with the row of the first document that holds each."""
+def frequent_lines(lines: DataFrame, max_documents: int) -> DataFrame:
+    """Lines (`host`, `line`) above the limit, with the row of the first document that holds each."""
     per_text = lines.groupBy("host", "line", "digest").agg(F.min(F.struct(F.col("id"), F.col("row"))).alias("first"))
     counted = per_text.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"), F.min("first").alias("first"))
-    return counted.where(F.col("documents") > max_documents).join(hosts, "host").where(
-        F.col("documents") > max_share * F.col("host_documents")).select("host", "line", F.col("first.row").alias("first_row"))
+    return counted.where(F.col("documents") > max_documents).select("host", "line", F.col("first.row").alias("first_row"))
 
 
 def _lines(found: DataFrame) -> DataFrame:
@@ -122,11 +121,10 @@ def _lines(found: DataFrame) -> DataFrame:
         "row", "id", "host", "digest", "l.line", "l.line_words")
 
 
-def _removed(found: DataFrame, max_documents: int, max_share: float) -> DataFrame:
+def _removed(found: DataFrame, max_documents: int) -> DataFrame:
     """Lines that go, one row per document and line."""
-    hosts = found.select("host", "digest").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_documents"))
     lines = _lines(found)
-    frequent = materialise(frequent_lines(lines, hosts, max_documents, max_share), "frequent-lines")
+    frequent = materialise(frequent_lines(lines, max_documents), "frequent-lines")
     return lines.join(frequent, ["host", "line"]).where("row <> first_row")
 
 
@@ -136,7 +134,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, host_col: str, row_col:
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-           max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED,
+           max_documents: int = MAX_DOCUMENTS, max_removed: float = MAX_REMOVED,
            row_col: str | None = None) -> DataFrame:
     """Every document with its measures and verdict.
 
@@ -144,7 +142,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     `n_repeat_words`, `base_failed`, `n_removed_words`, `kept`.
     """
     found = _found(docs, id_col, text_col, host_col, row_col)
-    removed = _removed(found, max_documents, max_share).groupBy("row").agg(F.sum("line_words").alias("removed"))
+    removed = _removed(found, max_documents).groupBy("row").agg(F.sum("line_words").alias("removed"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     lost = F.coalesce(F.col("removed"), F.lit(0).cast("long"))
     return found.join(removed, "row", "left").select(
@@ -154,10 +152,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
 
 
 def without_frequent_lines(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                           max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
+                           max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """`row`, `text`: the texts without the lines above the limits. `row_col` holds a stable row key."""
     found = _found(docs, id_col, text_col, host_col, row_col)
-    removed = _removed(found, max_documents, max_share).groupBy("row").agg(F.collect_set("line").alias("gone"))
+    removed = _removed(found, max_documents).groupBy("row").agg(F.collect_set("line").alias("gone"))
     texts = docs.select(F.col(f"`{row_col}`").alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def strip(batches):

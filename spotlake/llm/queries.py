@@ -103,7 +103,7 @@ _SIZE_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 ORACLES = {
     "op4_mixing": rf"""
         WITH sized AS (
-            SELECT doc_id, source, {_SIZE_SQL}::BIGINT AS size, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS draw
+            SELECT doc_id, source, {_SIZE_SQL}::BIGINT AS size, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))) AS draw
             FROM documents
         ),
         sources AS (
@@ -158,14 +158,12 @@ ORACLES = {
         dups AS (
             SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded WHERE n > 0 GROUP BY row
         ),
-        hosts AS (SELECT host, count(DISTINCT digest) AS host_documents FROM lines GROUP BY host),
         counted AS (
             SELECT host, norm, count(DISTINCT digest) AS documents, min((doc_id, row)) AS first
             FROM worded WHERE n > 0 GROUP BY host, norm
         ),
         frequent AS (
-            SELECT c.* FROM counted c JOIN hosts h ON c.host IS NOT DISTINCT FROM h.host
-            WHERE documents > {quality.MAX_DOCUMENTS} AND documents > {quality.MAX_SHARE} * host_documents
+            SELECT * FROM counted WHERE documents > {quality.MAX_DOCUMENTS}
         ),
         removed AS (
             SELECT w.row, sum(w.n) AS removed FROM worded w
@@ -289,11 +287,11 @@ ORACLES = {
         ),
         sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
         shared AS (
-            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
         ),
         links AS MATERIALIZED (
             SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
-            WHERE 100 * both >= {minhash.PERCENT} * (x.n + y.n - both)
+            WHERE 100 * n_both >= {minhash.PERCENT} * (x.n + y.n - n_both)
         ),
         sides AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
         reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, s.b FROM reach r JOIN sides s ON r.b = s.a),

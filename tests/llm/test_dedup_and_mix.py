@@ -173,17 +173,50 @@ def test_lines_that_a_host_repeats(spark):
     rows += [(100, full, "host", None), (101, f"{menu} 7\n{full}\n{full.upper()}", "other", None), (102, None, None, "x")]
     rows += [(200 + i, full + " same text", "host", None) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, removed string").repartition(4)
-    got = {r["doc_id"]: r for r in quality.judged(docs, max_documents=20, max_share=0.02).collect()}
+    got = {r["doc_id"]: r for r in quality.judged(docs, max_documents=20).collect()}
     assert got[0]["kept"] and not any(got[i]["kept"] for i in range(1, 30))
     assert got[100]["kept"] and got[101]["kept"] and all(got[200 + i]["kept"] for i in range(40))
     assert got[102]["base_failed"] and got[102]["n_words"] == 0
     assert quality.judged(docs.limit(0)).count() == 0
     keyed = docs.withColumn("key", F.col("doc_id"))
-    texts = {r["row"]: r["text"] for r in quality.without_frequent_lines(keyed, "key", max_documents=20, max_share=0.02).collect()}
+    texts = {r["row"]: r["text"] for r in quality.without_frequent_lines(keyed, "key", max_documents=20).collect()}
     assert texts[0] == rows[0][1] and texts[100] == full and texts[102] is None
     assert texts[3] == f"{own[13]}\n{own[14]}\n"
 
 
+def test_the_line_limit_does_not_grow_with_the_host(spark):
+    """A line in 30 documents goes, whether its host has 30 documents or 1,500; a very long text counts like any other."""
+    def word(i):
+        return "".join(chr(97 + (i // 26 ** k) % 26) for k in range(4))
+
+    menu = " ".join(word(90_000 + i) for i in range(80))
+    rows = [(i, f"{menu}\n" + " ".join(word(40 * i + k) for k in range(40)), "host") for i in range(30)]
+    others = [(1000 + i, " ".join(word(200_000 + 60 * i + k) for k in range(60)), "host") for i in range(1500)]
+    long = (5000, "\n".join(" ".join(word(3 * i + k) for k in range(9)) for i in range(60_000)), "host")
+    verdicts = []
+    for table in (rows, rows + others + [long]):
+        docs = spark.createDataFrame(table, "doc_id long, text string, source string")
+        got = {r["doc_id"]: r for r in quality.judged(docs).collect()}
+        verdicts.append([got[i]["kept"] for i in range(30)])
+    assert verdicts[0] == verdicts[1] == [True] + [False] * 29 and all(got[1000 + i]["kept"] for i in range(1500))
+    assert got[5000]["n_words"] == 540_000
+
+
+def test_mix_of_empty_and_nameless_documents(spark):
+    """Empty documents are taken as often as their source's others; rows without an id are drawn by their text."""
+    rows = [(i, "a b c " * 2000, "x") for i in range(10)] + [(20 + i, "", "x") for i in range(5)] + [(40 + i, "", "none") for i in range(3)]
+    rows += [(None, " ".join(["w"] * (1 + i)) + f" {i}", "y") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = []
+    for parts in (1, 5):
+        got = mixing.mix(docs.repartition(parts)).collect()
+        assert all(r["copies"] <= mixing.MAX_EPOCHS for r in got)
+        empty = [r for r in got if r["size"] == 0]
+        assert {r["copies"] for r in empty if r["source_size"] == 0} == {0} and len(empty) == 8
+        sizes.append(sorted((r["size"], r["copies"]) for r in got if r["doc_id"] is None))
+    assert sizes[0] == sizes[1] and len({c for _, c in sizes[0]}) > 1
+
+
 def test_repeated_words():
     assert quality.repeated_words([]) == quality.repeated_words([b"a"] * 3) == 0
     assert quality.repeated_words([b"a"] * 4) == 4
