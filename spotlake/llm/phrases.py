@@ -7,11 +7,15 @@ reached `min_count`, and is counted until it has seen every shard once, so
 lengths are counted side by side and no scan is made for one length alone. The
 work ends when the last active phrase has completed its cycle.
 
-A scan tests subphrases against an array of `SLOTS` bytes that holds, under a
-hash, the step after which a phrase may activate others. The array has that size
-at any size of the corpus. Phrases that share a slot only cause rows that are
-counted in vain: whether and from which step on a phrase is active is decided by
-joins on the phrases themselves, and its count takes exactly its own steps.
+Counters are kept under 64-bit hashes of the phrases and dealt by ranges of the
+hash: a scan hands over one packed row a range, and a range is summed as sorted
+arrays, `RANGES` of them for each shuffle partition. A scan tests subphrases
+against an array of one byte a slot that holds, under the upper bits of the hash,
+the step after which a phrase may activate others; it has that size at any size
+of the corpus. Phrases that share a counter or a slot are counted too often or too
+long, never too little. So the counters name all phrases that can reach the
+threshold, and a last cycle counts just these on their words: the counts returned
+are exact.
 
 Nulls and edge cases: a null text is empty, a null language is `und`. Repeated
 rows count as often as they come; ids are not read. Ties of the score are broken
@@ -23,7 +27,7 @@ and an empty table give no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotlake.llm.common import ship, text_of
+from spotlake.llm.textparts import parts_of, words_in
 from spotlake.sources.scratch import materialise
 
 MIN_COUNT = 30
@@ -42,224 +47,301 @@ CONTAINED_PERCENT = 80
 SCALE = 2_000_000
 UNKNOWN = "und"
 SHARDS = 3
-# One byte each; the bits that pick a slot.
+# One byte each; the upper bits of a hash pick a slot, its lowest ones hold the number of words less one.
 SLOT_BITS = 24
-SLOTS = 1 << SLOT_BITS
-# Bytes of text that are worked on at once.
-CHUNK = 8 << 20
+LENGTH_BITS = 3
+# Ranges of hashes for each shuffle partition; a task holds the counters of one range at a time.
+RANGES = 16
 # The best of a language are chosen in so many groups before they meet.
 GROUPS = 64
 
-_GAP, _END = 1, 2
-_KIND = np.zeros(256, np.uint8)
-_KIND[[9, 32]] = _GAP
-_KIND[list(b".,;:!?\n\x0b\x0c\r")] = _END
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_END = np.zeros(256, bool)
+_END[list(b".,;:!?\n\x0b\x0c\r")] = True
+_GAP = _END.copy()
+_GAP[[9, 32]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_COUNTS = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.string()), ("c", pa.int64())])
 
 ship(__name__)
 
 
-def chunks(texts: pa.Array):
-    """The bytes of `texts` in parts of about `CHUNK`, each with the offsets where a text starts; no piece is cut."""
-    texts = texts.cast(pa.large_binary())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    if texts.buffers()[2] is None:
-        return
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
-    offsets = offsets - offsets[0]
-    start = 0
-    while start < len(data):
-        end = min(start + CHUNK, len(data))
-        if end < len(data):
-            text = offsets[np.searchsorted(offsets, end, "right") - 1]
-            marks = np.flatnonzero(_KIND[data[max(start, text):end]] == _END)
-            if len(marks):
-                end = max(start, text) + marks[-1] + 1
-            elif text > start:
-                end = text
-            else:
-                # A piece longer than a chunk is taken whole.
-                stop = offsets[np.searchsorted(offsets, end, "left")]
-                while end < stop and not (ahead := np.flatnonzero(_KIND[data[end:min(end + CHUNK, stop)]] == _END)).size:
-                    end = min(end + CHUNK, stop)
-                end = end + ahead[0] + 1 if end < stop else stop
-        inside = offsets[np.searchsorted(offsets, start):np.searchsorted(offsets, end)]
-        yield data[start:end], inside - start
-        start = end
-
-
-def words_of(data: np.ndarray, texts: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The different lower-cased words, the word at every place, and the piece it belongs to."""
-    kind = _KIND[data]
-    inside = kind == 0
-    begins = np.zeros(len(data), bool)
-    begins[texts] = True
-    before = np.empty_like(inside)
-    before[0] = False
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (begins | ~before))
-    letters = _LOWER[data[inside]]
-    offsets = np.append((np.cumsum(inside, dtype=np.int64) - 1)[starts], len(letters))
-    pieces = np.cumsum(begins | (kind == _END), dtype=np.int64)[starts]
-    found = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
-    return found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), pieces
-
-
-def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
+def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     head = lang.encode() + b"\0"
-    return np.fromiter((xxhash.xxh64_intdigest(head + w) for w in words.to_pylist()), np.uint64, len(words))
+    return np.fromiter((xxhash.xxh64_intdigest(head + w) for w in words), np.uint64, len(words))
 
 
 def slot_of(hashes: np.ndarray) -> np.ndarray:
-    mixed = hashes ^ (hashes >> np.uint64(29))
-    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def _rows(lang: str, words: pa.Array, columns: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
-    parts = [words.take(pa.array(c)) for c in columns]
-    phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
-    size = len(counts)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang], pa.string()).take(pa.array(np.zeros(size, np.int64))), pa.array(np.full(size, len(parts), np.int32)),
-         phrase.cast(pa.large_string()).cast(pa.string()), pa.array(counts.astype(np.int64))], schema=_COUNTS)
-
-
-def counted_part(lang: str, data: np.ndarray, texts: np.ndarray, starts_at: np.ndarray, step: int, shards: int, max_words: int):
-    """Counts of all phrases that may be active in `step` in one part; `starts_at` is indexed by slot."""
-    words, word, piece = words_of(data, texts)
-    if not len(word):
-        return
-    if step < shards:
-        yield _rows(lang, words, [np.arange(len(words))], np.bincount(word, minlength=len(words)))
-    # Places of phrases that have reached the threshold, their hashes, codes, steps and the words of each code.
-    hashes = word_hashes(lang, words)
-    places, level = np.arange(len(word)), starts_at[slot_of(hashes)][word]
-    rolling, code, columns = hashes[word], word, [np.arange(len(words))]
-    for n in range(2, max_words + 1):
-        alive = level > 0
-        places, rolling, code, level = places[alive], rolling[alive], code[alive], level[alive]
-        # Both subphrases: the one that begins here and the one that begins a word later.
-        pair = np.flatnonzero(np.diff(places) == 1)
-        pair = pair[piece[places[pair]] == piece[places[pair] + 1]] if n == 2 else pair
-        last = places[pair] + n - 1
-        begin = np.maximum(level[pair], level[pair + 1]).astype(np.int64)
-        both = code[pair] * len(words) + word[last]
-        active = begin + shards > step
-        kinds, counts = np.unique(both[active], return_counts=True)
-        if len(kinds):
-            yield _rows(lang, words, [*(c[kinds // len(words)] for c in columns), kinds % len(words)], counts)
-        if n == max_words or not len(pair):
-            return
-        rolling = rolling[pair] * _STEP + hashes[word[last]]
-        places, level = places[pair], starts_at[slot_of(rolling)]
-        kept = level > 0
-        places, level, rolling = places[kept], level[kept], rolling[kept]
-        kinds, code = np.unique(both[kept], return_inverse=True)
-        columns = [*(c[kinds // len(words)] for c in columns), kinds % len(words)]
-
-
-def phrase_slots(lang: str, phrases: list[str]) -> np.ndarray:
-    """The slot of each phrase, as `counted_part` finds it."""
-    if not phrases:
-        return np.zeros(0, np.int64)
-    flat = [w for p in phrases for w in p.encode().split(b" ")]
-    hashes = word_hashes(lang, pa.array(flat, pa.binary()))
-    sizes = np.array([p.count(" ") + 1 for p in phrases])
-    at = np.cumsum(sizes) - sizes
-    rolling = hashes[at]
-    for n in range(1, sizes.max()):
-        longer = sizes > n
-        rolling[longer] = rolling[longer] * _STEP + hashes[at[longer] + n]
-    return slot_of(rolling)
-
-
-def _scan(shard: DataFrame, starts_at, step: int, shards: int, max_words: int) -> DataFrame:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def counter_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The hash a phrase of `n` words is counted under."""
+    low = np.uint64((1 << LENGTH_BITS) - 1)
+    return (hashes & ~low) | np.uint64(n - 1)
+
+
+def range_starts(ranges: int) -> np.ndarray:
+    """The least hash of each of `ranges` ranges of equal length."""
+    return np.array([(i << 64) // ranges + (i > 0) for i in range(ranges)], np.uint64)
+
+
+def _cut(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which ranges sorted hashes fall in, and where each begins and the last one ends."""
+    cuts = np.append(np.searchsorted(hashes, range_starts(ranges)), len(hashes))
+    filled = np.flatnonzero(np.diff(cuts))
+    return filled, np.append(cuts[filled], len(hashes))
+
+
+def _packed(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of `values` between cuts, one row each."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+class Words:
+    """The words of one part of texts: `kinds` the different ones, `at` the one at each place, `piece` the piece it is in."""
+
+    def __init__(self, lang: str, data: np.ndarray, begins: np.ndarray):
+        self.kinds, self.at, _, starts = words_in(data, begins, ~_GAP[data])
+        ends = _END[data]
+        ends[begins[begins < len(data)]] = True
+        self.piece = np.cumsum(ends, dtype=np.int32)[starts]
+        self.hashes = word_hashes(lang, self.kinds.to_pylist())
+
+    def active(self, starts_at: np.ndarray, step: int, shards: int, max_words: int):
+        """(n, hashes) of the phrases of two words and more that may be active in `step`, one hash an occurrence."""
+        # Places of phrases that have reached the threshold, their hashes and steps.
+        level = starts_at[slot_of(self.hashes)][self.at]
+        places = np.flatnonzero(level)
+        rolling, level = self.hashes[self.at[places]], level[places].astype(np.int64)
+        for n in range(2, max_words + 1):
+            # Both subphrases: the one that begins here and the one that begins a word later.
+            pair = np.flatnonzero(np.diff(places) == 1)
+            if n == 2:
+                pair = pair[self.piece[places[pair]] == self.piece[places[pair] + 1]]
+            begin = np.maximum(level[pair], level[pair + 1])
+            places = places[pair]
+            rolling = rolling[pair] * _STEP + self.hashes[self.at[places + n - 1]]
+            yield n, rolling[begin + shards > step]
+            level = starts_at[slot_of(rolling)].astype(np.int64)
+            kept = level > 0
+            places, level, rolling = places[kept], level[kept], rolling[kept]
+
+    def found(self, slots: np.ndarray, max_words: int):
+        """(n, words, hashes, counts) of the phrases whose slot is taken, and whose subphrases' are."""
+        places, code = np.arange(len(self.at)), self.at
+        columns = [np.arange(len(self.kinds))]
+        rolling = self.hashes[self.at]
+        for n in range(1, max_words + 1):
+            if n > 1:
+                pair = np.flatnonzero(np.diff(places) == 1)
+                if n == 2:
+                    pair = pair[self.piece[places[pair]] == self.piece[places[pair] + 1]]
+                places = places[pair]
+                last = self.at[places + n - 1]
+                rolling = rolling[pair] * _STEP + self.hashes[last]
+                code = code[pair] * len(self.kinds) + last
+            kept = slots[slot_of(rolling)]
+            places, rolling, code = places[kept], rolling[kept], code[kept]
+            if not len(places):
+                return
+            codes, first, code, counts = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+            columns = [codes] if n == 1 else [*(c[codes // len(self.kinds)] for c in columns), codes % len(self.kinds)]
+            parts = [self.kinds.take(pa.array(c)) for c in columns]
+            yield n, parts[0] if n == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())), rolling[first], counts
+
+
+def _parts(batches):
+    for batch in batches:
+        for lang in pc.unique(batch.column(0)).to_pylist():
+            texts = batch.column(1).filter(pc.equal(batch.column(0), lang))
+            for data, begins, _ in parts_of(texts, _END):
+                words = Words(lang, data, begins)
+                if len(words.at):
+                    yield lang, words
+
+
+def _sent(spark, values: np.ndarray):
+    """The bytes of an array as a broadcast; mostly zeros, so packed."""
+    return spark.sparkContext.broadcast(zlib.compress(values.tobytes(), 1))
+
+
+def _unpacked(sent) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(sent.value), np.uint8)
+
+
+_DEALT = "bucket long, kind int, h binary, c binary"
+NOW, BEFORE, KNOWN = range(3)
+
+
+def _counted(shard: DataFrame, starts_at, step: int, shards: int, max_words: int, ranges: int) -> DataFrame:
+    """Counters of the phrases that may be active in `step`, packed by range."""
+    def rows(hashes, counts):
+        filled, cuts = _cut(hashes, ranges)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(filled), pa.array(np.full(len(filled), NOW, np.int32)), _packed(hashes, cuts), _packed(counts.astype(np.int64), cuts)],
+            ["bucket", "kind", "h", "c"])
+
     def count(batches):
-        for batch in batches:
-            for lang in pc.unique(batch.column(0)).to_pylist():
-                texts = batch.column(1).filter(pc.equal(batch.column(0), lang))
-                for data, begins in chunks(texts):
-                    yield from counted_part(lang, data, begins, starts_at.value, step, shards, max_words)
-
-    found = shard.select("lang", "text").mapInArrow(count, "lang string, n int, phrase string, c long")
-    return found.groupBy("lang", "n", "phrase").agg(F.sum("c").alias("c"))
-
-
-def _new_slots(frequent: DataFrame) -> np.ndarray:
-    """Slots of the phrases of `frequent`, through bitmaps of at most `SLOTS` bits."""
-    def slots(batches):
-        for batch in batches:
-            for lang in pc.unique(batch.column(0)).to_pylist():
-                phrases = batch.column(1).filter(pc.equal(batch.column(0), lang)).to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array(phrase_slots(lang, phrases))], ["slot"])
-
-    found = frequent.select("lang", "phrase").mapInArrow(slots, "slot long")
-    bitmaps = found.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).toArrow()
+        levels = _unpacked(starts_at)
+        for _, words in _parts(batches):
+            if step < shards:
+                single = counter_of(words.hashes, 1)
+                order = np.argsort(single)
+                yield rows(single[order], np.bincount(words.at, minlength=len(single))[order])
+            found = [counter_of(h, n) for n, h in words.active(levels, step, shards, max_words)]
+            yield rows(*np.unique(np.concatenate(found), return_counts=True))
+
+    return shard.select("lang", "text").mapInArrow(count, _DEALT)
+
+
+def _groups(batches):
+    """(bucket, its rows) of rows that are sorted by bucket."""
+    held, bucket = [], None
+    for batch in batches:
+        for row in zip(*(batch.column(i) for i in range(batch.num_columns))):
+            number = row[0].as_py()
+            if number != bucket and held:
+                yield bucket, held
+                held = []
+            bucket = number
+            held.append(row[1:])
+    if held:
+        yield bucket, held
+
+
+def _sum(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different hashes with the sums of their counts."""
+    h, c = np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *counts])
+    order = np.argsort(h)
+    h, c = h[order], c[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[:len(h)])
+    return h[first], np.add.reduceat(c, first) if len(first) else c
+
+
+def _bits(hashes: np.ndarray, low: int, high: int) -> bytes:
+    """One bit for each slot from `low` to `high`, set where a hash lies."""
+    bits = np.zeros(high - low + 1, np.uint8)
+    bits[slot_of(hashes) - low] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _summed(dealt: DataFrame, min_count: int, max_words: int, ranges: int) -> DataFrame:
+    """Per range the counters of this step, those that reach the threshold now, and their slots.
+
+    `dealt` holds this step's counters, those of the earlier steps of a cycle, and those that reached it before.
+    """
+    starts = range_starts(ranges)
+
+    def reduce_ranges(batches):
+        for bucket, rows in _groups(batches):
+            of = {kind: ([], []) for kind in (NOW, BEFORE, KNOWN)}
+            for kind, h, c in rows:
+                of[kind.as_py()][0].append(np.frombuffer(h.as_buffer(), np.uint64))
+                of[kind.as_py()][1].append(np.frombuffer(c.as_buffer(), np.int64))
+            now = _sum(*of[NOW])
+            total, counts = _sum([now[0], *of[BEFORE][0]], [now[1], *of[BEFORE][1]])
+            new = np.setdiff1d(total[counts >= min_count], np.concatenate([np.zeros(0, np.uint64), *of[KNOWN][0]]), assume_unique=True)
+            low = int(slot_of(starts[bucket:bucket + 1])[0])
+            high = int(slot_of(starts[bucket + 1:bucket + 2])[0]) if bucket + 1 < ranges else (1 << SLOT_BITS) - 1
+            shorter = new[(new & np.uint64((1 << LENGTH_BITS) - 1)) < max_words - 1]
+            values = [bucket, now[0].tobytes(), now[1].tobytes(), new.tobytes(), low, _bits(new, low, high), _bits(shorter, low, high)]
+            yield pa.RecordBatch.from_pylist(
+                [dict(zip(schema.names, values))], schema=schema)
+
+    schema = pa.schema([("bucket", pa.int64()), ("h", pa.binary()), ("c", pa.binary()), ("new", pa.binary()), ("low", pa.int64()),
+                        ("taken", pa.binary()), ("activating", pa.binary())])
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        reduce_ranges, "bucket long, h binary, c binary, new binary, low long, taken binary, activating binary")
+
+
+def _slots(rows: pa.Table, column: str) -> np.ndarray:
+    """The slots whose bits are set; all bits together are at most one a slot and two a range."""
     out = [np.zeros(0, np.int64)]
-    for bucket, bits in zip(bitmaps.column("bucket").to_pylist(), bitmaps.column("bits").to_pylist()):
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
-        # Bucket 1 holds the numbers 1 to 32768 at the bits 0 to 32767, but bucket 0 holds number 0 alone.
-        out.append((ones + (bucket - 1) * 32768 + 1) if bucket else np.zeros(1, np.int64))
+    for low, bits in zip(rows.column("low").to_pylist(), rows.column(column).to_pylist()):
+        out.append(low + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")))
     return np.concatenate(out)
 
 
-def _parts(n: Column, phrase: Column) -> tuple[Column, Column]:
-    """The phrase without its last word and without its first."""
-    return F.expr("substring_index(phrase, ' ', n - 1)"), F.expr("substring_index(phrase, ' ', 1 - n)")
+def _recounted(ring: DataFrame, slots, min_count: int, max_words: int, ranges: int) -> DataFrame:
+    """`lang`, `n`, `phrase`, `c` of the phrases whose slot is taken, and under `n` = 0 the words of each language."""
+    fields = pa.schema([("n", pa.int32()), ("phrase", pa.string()), ("c", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), *fields])
+
+    def blob(n, phrases, counts) -> bytes:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, fields) as stream:
+            stream.write(pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), phrases, pa.array(counts, pa.int64())], schema=fields))
+        return out.getvalue().to_pybytes()
+
+    def count(batches):
+        kept = _unpacked(slots).view(bool)
+        for lang, words in _parts(batches):
+            numbers, phrases, hashes, counts = [[0]], [pa.array([""])], [np.zeros(1, np.uint64)], [[len(words.at)]]
+            for n, some, h, c in words.found(kept, max_words):
+                numbers.append(np.full(len(c), n))
+                phrases.append(some.cast(pa.large_string()).cast(pa.string()))
+                hashes.append(h)
+                counts.append(c)
+            hashes = np.concatenate(hashes)
+            order = np.argsort(hashes)
+            phrases = pa.concat_arrays(phrases).take(pa.array(order))
+            numbers, counts = np.concatenate(numbers)[order], np.concatenate(counts)[order]
+            filled, cuts = _cut(hashes[order], ranges)
+            blobs = [blob(numbers[a:b], phrases[a:b], counts[a:b]) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(filled), pa.array([lang] * len(blobs), pa.string()), pa.array(blobs, pa.binary())], ["bucket", "lang", "rows"])
+
+    def add(batches):
+        for _, rows in _groups(batches):
+            tables = []
+            for lang, packed in rows:
+                table = pa.ipc.open_stream(packed.as_buffer()).read_all()
+                tables.append(table.add_column(0, "lang", pa.array([lang.as_py()] * len(table), pa.string())))
+            sums = pa.concat_tables(tables).group_by(["lang", "n", "phrase"], use_threads=False).aggregate([("c", "sum")])
+            sums = sums.rename_columns(["lang", "n", "phrase", "c"]).select(schema.names)
+            yield from sums.filter(pc.or_(pc.equal(sums["n"], 0), pc.greater_equal(sums["c"], min_count))).to_batches()
+
+    found = ring.select("lang", "text").mapInArrow(count, "bucket long, lang string, rows binary")
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "lang string, n int, phrase string, c long")
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT,
                   max_words: int = MAX_WORDS, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """Exact counts `f` of all phrases (`lang`, `n`, `phrase`) held `min_count` times or more, and word totals `n` per `lang`."""
+    if max_words > 1 << LENGTH_BITS or max_words * shards > 255:
+        raise ValueError(f"at most {1 << LENGTH_BITS} words, and words times shards up to 255")
     spark = docs.sparkSession
     dealt = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), text_of(text_col).alias("text"),
                         (F.monotonically_increasing_id() % shards).alias("shard"))
     ring = materialise(dealt.where("text <> ''"), "shards", "shard")
-    starts_at = np.zeros(SLOTS, np.uint8)
-    logs: list[DataFrame] = []
-    frequent: list[DataFrame] = []
+    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    starts_at = np.zeros(1 << SLOT_BITS, np.uint8)
+    taken = np.zeros(1 << SLOT_BITS, bool)
+    steps: list[DataFrame] = []
     step, last = 0, shards - 1
     while step <= last:
-        seen = spark.sparkContext.broadcast(starts_at)
-        log = _scan(ring.where(F.col("shard") == step % shards), seen, step, shards, max_words)
-        logs.append(materialise(log.withColumn("step", F.lit(step)), "counts"))
-        window = range(max(0, step - shards + 1), step + 1)
-        recent = reduce(DataFrame.unionByName, (logs[s] for s in window))
-        by_step = [F.sum(F.when(F.col("step") == s, F.col("c"))).alias(f"c{s}") for s in window]
-        totals = recent.groupBy("lang", "n", "phrase").agg(F.sum("c").alias("total"), *by_step).where(F.col("total") >= min_count)
-        known = reduce(DataFrame.unionByName, frequent) if frequent else None
-        if known is not None:
-            totals = totals.join(known, ["lang", "phrase"], "left_anti")
-        new = totals.where("n = 1").select("lang", "n", "phrase", F.lit(0).alias("start"))
-        if known is not None:
-            first, rest = _parts(F.col("n"), F.col("phrase"))
-            subs = known.select("lang", "phrase", "hit")
-            longer = totals.where("n > 1").withColumns({"first": first, "rest": rest}).join(
-                subs.select("lang", F.col("phrase").alias("first"), F.col("hit").alias("h1")), ["lang", "first"]).join(
-                subs.select("lang", F.col("phrase").alias("rest"), F.col("hit").alias("h2")), ["lang", "rest"])
-            longer = longer.withColumn("start", F.greatest("h1", "h2") + 1)
-            own = sum((F.when(F.col("start") <= s, F.coalesce(f"c{s}", F.lit(0))).otherwise(0) for s in window), F.lit(0))
-            new = new.unionByName(longer.where((F.col("start") > step - shards) & (own >= min_count)).select("lang", "n", "phrase", "start"))
-        new = materialise(new.withColumn("hit", F.lit(step)), "frequent")
-        frequent.append(new)
-        slots = _new_slots(new.where(F.col("n") < max_words))
-        seen.unpersist()
-        if len(slots):
-            starts_at[slots] = step + 1
+        seen = _sent(spark, starts_at)
+        dealt = _counted(ring.where(F.col("shard") == step % shards), seen, step, shards, max_words, ranges)
+        # A phrase's own cycle is among the last steps until it ends.
+        for i, done in enumerate(steps):
+            if i > step - shards:
+                dealt = dealt.unionByName(done.select("bucket", F.lit(BEFORE).alias("kind"), "h", "c"))
+            dealt = dealt.unionByName(done.select("bucket", F.lit(KNOWN).alias("kind"), F.col("new").alias("h"), F.lit(b"").alias("c")))
+        steps.append(materialise(_summed(dealt, min_count, max_words, ranges), "counters"))
+        seen.destroy()
+        slots = steps[-1].where("length(new) > 0").select("low", "taken", "activating").toArrow()
+        taken[_slots(slots, "taken")] = True
+        activating = _slots(slots, "activating")
+        if len(activating):
+            starts_at[activating] = step + 1
             # What these activate is counted through one whole cycle.
             last = max(last, step + shards)
         step += 1
-    every = reduce(DataFrame.unionByName, logs)
-    of = reduce(DataFrame.unionByName, frequent).select("lang", "phrase", "start")
-    own_steps = (F.col("step") >= F.col("start")) & (F.col("step") < F.col("start") + shards)
-    counts = every.join(of, ["lang", "phrase"]).where(own_steps).groupBy("lang", "n", "phrase").agg(F.sum("c").alias("f"))
-    words = reduce(DataFrame.unionByName, logs[:shards]).where("n = 1").groupBy("lang").agg(F.sum("c").alias("n"))
-    return materialise(counts, "phrase-counts"), materialise(words, "word-totals")
+    seen = _sent(spark, taken)
+    counts = materialise(_recounted(ring, seen, min_count, max_words, ranges), "phrase-counts")
+    seen.destroy()
+    return (counts.where("n > 0").select("lang", "n", "phrase", F.col("c").alias("f")),
+            counts.where("n = 0").select("lang", F.col("c").alias("n")))
 
 
 def _wide(column: str) -> Column:

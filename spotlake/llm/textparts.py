@@ -53,12 +53,17 @@ def words_in(data: np.ndarray, begins: np.ndarray, inside: np.ndarray) -> tuple[
     `inside` marks the bytes of words; letters A-Z are lower-cased.
     """
     first = np.zeros(len(data) + 1, bool)
-    first[begins] = True
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1] | first[1:-1]
-    starts = np.flatnonzero(starts)
+    first[begins] = first[-1] = True
+    # A word begins after a byte outside or where a text begins, and ends likewise.
+    edge = np.empty(len(data) + 1, bool)
+    edge[0] = edge[-1] = True
+    np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
+    edge |= first
+    starts = np.flatnonzero(edge[:-1] & inside)
+    ends = np.flatnonzero(edge[1:] & inside) + 1
     letters = LOWER[data[inside]]
-    offsets = np.append((np.cumsum(inside, dtype=np.int64) - 1)[starts], len(letters))
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
     found = pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
     # Empty texts begin where the next one does; a word belongs to the last that begins at or before it.

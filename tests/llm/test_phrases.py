@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from spotlake.llm import phrases
+from spotlake.llm import phrases, textparts
 
 
 def lowered(text):
@@ -58,9 +58,8 @@ def texts(seed, rows):
 @pytest.mark.parametrize("chunk, bits, shards, min_count", [(64, 24, 2, 4), (8, 3, 3, 3), (8 << 20, 1, 1, 6)])
 def test_phrases_equal_plain_counts(spark, monkeypatch, chunk, bits, shards, min_count):
     """Small chunks cut texts at every mark; a few slots make almost all phrases meet."""
-    monkeypatch.setattr(phrases, "CHUNK", chunk)
+    monkeypatch.setattr(textparts.parts_of, "__defaults__", (chunk,))
     monkeypatch.setattr(phrases, "SLOT_BITS", bits)
-    monkeypatch.setattr(phrases, "SLOTS", 1 << bits)
     rows = texts(bits, 60)
     docs = spark.createDataFrame([(None, t, lang, 1, "x") for lang, t in rows], "doc_id long, text string, lang string, n int, phrase string")
     got = phrases.collocations(docs.repartition(3), min_count=min_count, top=7, shards=shards).collect()
