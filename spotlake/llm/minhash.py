@@ -9,16 +9,18 @@ estimates their similarity; a pair goes on only if it could still reach the
 threshold, where a pair at the threshold is lost with a chance of `MISS` at most.
 Pairs that go on are confirmed on their full sets.
 
-No bucket is paired up as it is. Its nodes are first linked in a chain in sorted
-order, over range partitions, so a bucket may be of any size. The chain's links
-are confirmed and give components. After that, only buckets whose nodes are in
-different components are compared, in blocks of bounded size and without the
-pairs inside a bucket's largest component, and only pairs from different
-components are confirmed: no link between components is left out, and no link
-inside one is needed.
+No bucket is paired up as it is. Its nodes are first compared with the first of
+them, in one pass over sorted range partitions, so a bucket may be of any size. The
+best of these links are confirmed and give components. After that, only buckets
+whose nodes are in different components are compared, in blocks of bounded size
+and without the pairs inside a bucket's largest component. Pairs from different
+components that go on meet on the 32-bit halves of their full sets in that task,
+in the first bucket they share, and those that pass are confirmed: no link
+between components is left out, and no link inside one is needed.
 
 A pair at the threshold shares no bucket with a chance of (1 - 0.8^5)^46, about
-1e-8; every more similar pair with a lesser one.
+1e-8, and is taken for one of an earlier bucket, by 32 bits of the keys, with a
+chance of the same size; every more similar pair is lost with a lesser one.
 
 Nulls and edge cases: texts without a word, null ones included, have an empty set
 and are linked with nothing. Texts of fewer words than a shingle have one shingle,
@@ -172,14 +174,12 @@ def signatures(rows: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame
     return rows.select("row", "id", "text").mapInArrow(sign, schema)
 
 
-def chained(buckets: DataFrame) -> DataFrame:
-    """`key`, `node`, `before`, `edge` of nodes that share a key with another one.
+def shared_buckets(buckets: DataFrame) -> DataFrame:
+    """The rows `key`, `node` whose key another row has, in one pass over range partitions.
 
-    Rows are sorted by key and node within range partitions; `before` is the node
-    ahead of a node in its bucket. A bucket that goes on in another partition has
-    no such link there: rows next to a partition's ends carry `edge`.
+    Rows next to a partition's ends are kept too, as their bucket may go on in the next one.
     """
-    def chain(batches):
+    def keep(batches):
         # A row is given out when the next one is known.
         held, before, first = None, None, True
         for batch in batches:
@@ -189,27 +189,60 @@ def chained(buckets: DataFrame) -> DataFrame:
             if held is not None:
                 keys, nodes = np.append(held[0], keys), np.append(held[1], nodes)
             same = keys[1:] == keys[:-1]
-            # The row held back may itself continue the bucket of the row before it.
-            has_before = np.append(before is not None, same)
-            ahead = np.append(before if before is not None else 0, nodes[:-1])
-            edge = np.zeros(len(keys), bool)
-            edge[0] = first
-            given = (has_before[:-1] | same | edge[:-1]) if len(keys) > 1 else np.zeros(0, bool)
-            if len(keys) > 1:
-                yield _members(keys[:-1][given], nodes[:-1][given], ahead[:-1][given], has_before[:-1][given], edge[:-1][given])
+            given = np.append(before == keys[0], same[:-1]) | same if len(same) else np.zeros(0, bool)
+            if len(given):
+                given[0] |= first
                 first = False
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:-1][given]), pa.array(nodes[:-1][given])], ["key", "node"])
+                before = keys[-2]
             held = keys[-1:], nodes[-1:]
-            before = int(ahead[-1]) if has_before[-1] else None
         if held is not None:
-            yield _members(held[0], held[1], np.array([before or 0], np.int64), np.array([before is not None]), np.array([True]))
+            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["key", "node"])
 
-    ordered = buckets.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    return ordered.mapInArrow(chain, "key long, node long, before long, edge boolean")
+    return buckets.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(keep, "key long, node long")
 
 
-def _members(keys, nodes, before, has_before, edge) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys), pa.array(nodes), pa.array(before, pa.int64(), mask=~has_before), pa.array(edge)], ["key", "node", "before", "edge"])
+def starred(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """`key`, `a`, `b`, `same`: the first node of each bucket with each other one that can reach the threshold.
+
+    A bucket that goes on in another range partition has a first node in each; of the
+    buckets at the ends of a partition these are given too, without `b`.
+    """
+    need = least_matches(percent)
+
+    def star(batches):
+        def rows(keys, a, b, same):
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(a, pa.int64()), b, pa.array(same, pa.int64())], ["key", "a", "b", "same"])
+
+        def end(row):
+            return rows(row[0], row[1], pa.array([None], pa.int64()), [0])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = [batch.column(i).to_numpy() for i in range(3)] + [np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(batch.num_rows, -1)]
+            if held is None:
+                yield end([c[:1] for c in found])
+                held = [c[:1] for c in found]
+            # The first node of the bucket that is open stands ahead of the batch.
+            key, node, size, bits = (np.concatenate([h, c]) for h, c in zip(held, found))
+            place = np.arange(len(key))
+            begins = np.append(True, key[1:] != key[:-1])
+            hub = np.maximum.accumulate(np.where(begins, place, 0))
+            other = np.flatnonzero((hub != place) & (node != node[hub]))
+            one = hub[other]
+            sized = 100 * np.minimum(size[one], size[other]) >= percent * np.maximum(size[one], size[other])
+            one, other = one[sized], other[sized]
+            same = matches(bits[one], bits[other])
+            near = same >= need
+            yield rows(key[other[near]], node[one[near]], pa.array(node[other[near]]), same[near])
+            held = [c[hub[-1:]] for c in (key, node, size, bits)]
+        if held is not None:
+            yield end(held)
+
+    dealt = members.join(nodes.select("node", "size", "bits"), "node").select("key", "node", "size", "bits")
+    return dealt.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(star, "key long, a long, b long, same long")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -256,9 +289,8 @@ def _best(pairs: DataFrame, count: int) -> DataFrame:
     return kept.select("p.a", "p.b").distinct()
 
 
-def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs `a`, `b`, `same` that share a bucket, lie in different components and can reach the threshold."""
-    need = least_matches(percent)
+def mixed_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """`key`, `node`, `root` of the buckets whose nodes are in different components, with the blocks they are cut into."""
     placed = materialise(members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     sizes = placed.groupBy("key", "root").count()
     mixed = materialise(sizes.groupBy("key").agg(
@@ -267,30 +299,51 @@ def _across(members: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int
         F.ceil((F.col("nodes") - F.col("most.count")) / BLOCK).cast("int").alias("minor_blocks")), "mixed-buckets")
     here = placed.join(mixed, "key").withColumn("is_major", F.col("root") == F.col("major"))
     block = F.pmod(F.xxhash64("node"), F.when(F.col("is_major"), F.col("major_blocks")).otherwise(F.col("minor_blocks"))).cast("int")
+    return here.withColumn("block", block).drop("major")
+
+
+def across(mixed: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs `a`, `b` of nodes of different components that share a bucket and pass on the halves of their sets."""
+    need = least_matches(percent)
     # Groups are pairs of blocks; blocks of the largest component count from minus one down and never meet each other.
     others = F.expr("""CASE WHEN is_major THEN transform(sequence(0, minor_blocks - 1), i -> struct(i AS i, -1 - block AS j))
         ELSE concat(transform(sequence(0, minor_blocks - 1), i -> struct(greatest(i, block) AS i, least(i, block) AS j)),
             transform(sequence(0, major_blocks - 1), j -> struct(block AS i, -1 - j AS j))) END""")
-    dealt = here.withColumn("block", block).withColumn("group", F.explode(others)).join(nodes.select("node", "bits"), "node")
-    signed = F.struct("node", "root", F.when(F.col("is_major"), -1 - F.col("block")).otherwise(F.col("block")).alias("block"), "bits")
-    groups = dealt.groupBy("key", "group").agg(F.collect_list(signed).alias("rows")).select("group.i", "group.j", "rows")
+    marks = nodes.select("node", "bits", F.transform("keys", lambda k: k.bitwiseAND(0xFFFFFFFF)).alias("marks")).join(sets.select("node", "halves"), "node")
+    dealt = mixed.withColumn("group", F.explode(others)).join(marks, "node")
+    signed = F.struct("node", "root", F.when(F.col("is_major"), -1 - F.col("block")).otherwise(F.col("block")).alias("block"), "bits", "marks", "halves")
+    groups = dealt.groupBy("key", "group").agg(F.collect_list(signed).alias("rows")).select(
+        "group.i", "group.j", "rows", F.col("key").bitwiseAND(0xFFFFFFFF).alias("mark"))
 
     def compare(batches):
         for batch in batches:
-            for i, j, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for i, j, rows, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 rows = rows.values
                 node, root, of = (rows.field(f).to_numpy() for f in ("node", "root", "block"))
+                marks = rows.field("marks").flatten().to_numpy().reshape(len(node), -1)
                 bits = np.frombuffer(b"".join(rows.field("bits").to_pylist()), np.uint64).reshape(len(node), -1)
+                halves = [np.frombuffer(h.as_buffer(), np.uint32) for h in rows.field("halves")]
                 left, right = np.flatnonzero(of == i), np.flatnonzero(of == j)
+                a, b = [], []
                 for start in range(0, len(left), 64):
                     part = left[start:start + 64]
                     same = matches(bits[part][:, None, :], bits[right][None, :, :])
                     p, q = np.nonzero((same >= need) & (root[part][:, None] != root[right][None, :]))
-                    one, two = node[part[p]], node[right[q]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two)), pa.array(same[p, q])], ["a", "b", "same"])
-
-    return groups.mapInArrow(compare, "a long, b long, same long").distinct()
+                    p, q = part[p], right[q]
+                    # Only in the first bucket that both share.
+                    both = marks[p] == marks[q]
+                    own = marks[p, both.argmax(axis=1)] == mark
+                    for x, y in zip(p[own].tolist(), q[own].tolist()):
+                        one, two = halves[x], halves[y]
+                        if 100 * min(len(one), len(two)) >= percent * max(len(one), len(two)):
+                            shared = len(np.intersect1d(one, two, assume_unique=True))
+                            if 100 * shared >= percent * (len(one) + len(two) - shared):
+                                a.append(min(node[x], node[y]))
+                                b.append(max(node[x], node[y]))
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return groups.mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS,
@@ -307,40 +360,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = signed.where("size > 0").groupBy("digest").agg(
         first, F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    members = materialise(chained(nodes.select("node", F.explode("keys").alias("key")).select("key", "node")), "bucket-members")
-
-    ends = members.where("edge").groupBy("key").agg(F.min("node").alias("a"), F.collect_list("node").alias("nodes")).select(
-        "a", F.explode("nodes").alias("b")).where("a <> b")
-    pairs = members.where("before IS NOT NULL").select(F.col("before").alias("a"), F.col("node").alias("b")).unionByName(ends).distinct()
-    likely = materialise(_estimated(pairs, nodes, percent), "likely-pairs")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """The full sets of the nodes of `pairs`, from the texts that stand for them."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = materialise(shared_buckets(nodes.select("node", F.explode("keys").alias("key")).select("key", "node")), "bucket-members")
+    stars = materialise(starred(members, nodes, percent), "stars")
+    ends = stars.where("b IS NULL").groupBy("key").agg(F.min("a").alias("a"), F.collect_set("a").alias("firsts")).select(
+        "a", F.explode("firsts").alias("b")).where("a <> b").distinct()
+    likely = materialise(stars.where("b IS NOT NULL").select("a", "b", "same").unionByName(_estimated(ends, nodes, percent)).distinct(), "likely-pairs")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The full sets of these nodes, from the texts that stand for them, and the halves of their hashes."""
         texts = rows.join(nodes.join(wanted, "node", "left_semi").select("node", F.col("first.row").alias("row")), "row")
 
         def hashed(batches):
             for batch in batches:
                 for text, found in shingle_sets(batch.column(1), shingle_words):
+                    # Halves that meet can only add to what two sets share.
+                    half = (found >> np.uint64(32)).astype(np.uint32)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(text, 1), pa.array([found.tobytes()], pa.binary())], ["node", "hashes"])
+                        [batch.column(0).slice(text, 1), pa.array([found.tobytes()], pa.binary()), pa.array([half.tobytes()], pa.binary())],
+                        ["node", "hashes", "halves"])
 
-        return materialise(texts.select("node", "text").mapInArrow(hashed, "node long, hashes binary"), "sets")
+        return materialise(texts.select("node", "text").mapInArrow(hashed, "node long, hashes binary, halves binary"), "sets")
 
-    links = materialise(confirmed(_best(likely, FIRST), sets_of(likely), percent), "links")
+    first_links = _best(likely, FIRST)
+    links = materialise(confirmed(first_links, sets_of(first_links.select(F.explode(F.array("a", "b")).alias("node")).distinct()), percent), "links")
     roots = components(links, "a", "b")
-    across = materialise(_across(members, nodes, roots, percent), "pairs-across")
-    if not across.isEmpty():
-        sets = sets_of(across)
-        more = materialise(confirmed(_best(across, 1), sets, percent), "links")
-        links = links.unionByName(more)
-        roots = components(links, "a", "b")
-        root = {end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")) for end in ("a", "b")}
-        apart = across.join(root["a"], "a", "left").join(root["b"], "b", "left").where(
-            F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        rest = materialise(confirmed(apart, sets, percent), "links")
-        if not rest.isEmpty():
-            roots = components(links.unionByName(rest), "a", "b")
+    mixed = materialise(mixed_buckets(members, roots), "mixed")
+    sets = sets_of(mixed.select("node").distinct())
+    more = materialise(confirmed(across(mixed, nodes, sets, percent), sets, percent), "links")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more), "a", "b")
 
     of_node = materialise(nodes.select("digest", "node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     least = of_node.groupBy("root").agg(F.min("first").alias("first"))

@@ -76,28 +76,25 @@ def test_components_equal_all_pairs(spark, monkeypatch, block):
 
 
 def test_buckets_over_many_partitions(spark):
-    """A bucket that fills several partitions stays one chain with the links between their ends."""
+    """A bucket that fills several partitions is a star in each, and the stars meet through their first nodes."""
     rows = [(1, n) for n in range(50)] + [(2, 60), (3, 70), (3, 71), (4, 80)]
-    df = spark.createDataFrame(rows, "key long, node long")
-    spark.conf.set("spark.sql.shuffle.partitions", "13")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    nodes = spark.createDataFrame([(n, 10, bytes(minhash.BITS * minhash._WORDS * 8)) for _, n in rows], "node long, size long, bits binary")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
     try:
-        got = minhash.chained(df.repartition(4)).collect()
+        for batch in ("2", "10000"):
+            for c, v in zip(old, ("13", "false", batch)):
+                spark.conf.set(c, v)
+            members = minhash.shared_buckets(spark.createDataFrame(rows, "key long, node long").repartition(4))
+            assert {r["node"] for r in members.where("key IN (1, 3)").collect()} == {*range(50), 70, 71}
+            got = minhash.starred(members, nodes, 80).collect()
+            firsts = {r["a"] for r in got if r["b"] is None and r["key"] == 1}
+            links = {(r["a"], r["b"]) for r in got if r["b"] is not None} | {(min(firsts), a) for a in firsts}
+            reached = {0} | firsts
+            assert {b for a, b in links if a in reached} | reached == set(range(50)) and (70, 71) in links and len(firsts) > 2
+            assert {a for a, _ in links} <= {*range(50), 70}
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    ends = {}
-    for r in got:
-        if r["edge"]:
-            ends.setdefault(r["key"], []).append(r["node"])
-    links = {(r["before"], r["node"]) for r in got if r["before"] is not None} | {(min(n), x) for n in ends.values() for x in n}
-    reached, todo = set(), [0]
-    while todo:
-        n = todo.pop()
-        reached.add(n)
-        todo += [b for a, b in links if a == n and b not in reached] + [a for a, b in links if b == n and a not in reached]
-    assert reached == set(range(50)) and {(70, 71)} <= links and len(ends.get(1, [])) > 2
-    assert {r["node"] for r in got if r["key"] in (1, 3)} == {*range(50), 70, 71}
+        for c, v in old.items():
+            spark.conf.set(c, v)
 
 
 def test_signatures_estimate_similarity():
