@@ -14,6 +14,9 @@ target; white space in a url is percent-encoded. Rows that share an id are
 records of their own; of those with the largest id one is the response. A null
 id sorts below all others. An empty table gives no records. Extra columns are
 ignored. Files that a failed task left behind are in no index and are not read.
+A very long page is one record, held whole by the task that writes, rewrites or
+reads it; archives are cut by bytes, not by records. Size and digest of a revisit
+are those its header states, which are those of the payload it stands for.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ from spotlake.llm.common import numbered, ship, text_of
 from spotlake.sources.scratch import materialise, scratch_path
 
 MIN_BYTES = 1000
-RECORDS_PER_FILE = 5_000
+# Record bytes of an archive before compression, on average; a larger record is an archive of its own size.
+ARCHIVE_BYTES = 32 << 20
 READ_BYTES = 32 << 20
 LEVEL = 1
 _CHUNK = 1 << 20
@@ -73,10 +77,16 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return linked.select(F.concat(head, F.lit("\r\n\r\n"), block).alias("record"))
 
 
-def write_archives(record_rows: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """One gzip stream per file; a record is its text and the two line ends after it."""
-    record_rows.write.option("lineSep", _END.decode()).option("compression", "gzip").option(
-        "maxRecordsPerFile", records_per_file).text(path)
+def write_archives(record_rows: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """One gzip stream per file; a record is its text and the two line ends after it.
+
+    Records are dealt by hash into as many files as their bytes ask for, so that the
+    normaliser, which holds one file at a time, needs the same memory at any size.
+    """
+    written = materialise(record_rows, "records")
+    total = written.agg(F.sum(F.octet_length("record").cast("long") + len(_END))).first()[0] or 0
+    dealt = written.repartition(max(1, -(-total // archive_bytes)), F.xxhash64("record"))
+    dealt.write.option("lineSep", _END.decode()).option("compression", "gzip").text(path)
 
 
 class Reader:

@@ -131,6 +131,18 @@ def test_archives_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    """Few long records and many short ones fill archives alike; a very long one does not grow with its neighbours."""
+    rows = [(i, f"u{i}", f"{i} " * (50 if i % 3 else 5000)) for i in range(300)] + [(999, "u", "long page " * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    warc.write_archives(warc.records(pages), str(tmp_path / "a"), archive_bytes=500_000)
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "a").glob("*.gz")]
+    assert len(sizes) >= 8 and sorted(sizes)[-2] < 2_000_000 < sum(sizes) / 2 and sum(s > 3_000_000 for s in sizes) == 1
+    index = warc.normalise(spark, str(tmp_path / "a"), f"file://{tmp_path}/n")
+    got = {int(r["page_id"]): r["payload_bytes"] for r in warc.read_records(index, f"file://{tmp_path}/n").collect()}
+    assert got == {i: len(html) for i, _, html in rows}
+
+
 def record(n, body):
     return b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (n, len(body), body)
 
