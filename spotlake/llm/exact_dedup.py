@@ -1,7 +1,7 @@
 """Exact duplicates by deterministic block naming.
 
-Texts are cut into fixed-size byte blocks. The distinct blocks are sorted and
-numbered; a block's number is its name. Adjacent names are paired and the
+Texts are cut into fixed-size byte blocks. The distinct blocks are sorted inside
+hash partitions and numbered; a block's partition and number are its name. Adjacent names are paired and the
 distinct pairs named in turn, until each document has a single name. Equal
 names of equally many blocks mean equal bytes: names come from comparing
 contents, never from trusting a hash.
@@ -12,8 +12,9 @@ a key, and another key is drawn if they do.
 
 Nulls and edge cases: a null text is an empty text and empty texts are equal.
 A null id sorts below all others; `keep_id` is null where a group has only null
-ids. Of rows with the same id and text exactly one stays. An empty table gives
-an empty result. Extra columns are ignored.
+ids. Of rows with the same id and text exactly one stays. A very long text is
+many blocks, named and paired in many tasks. An empty table gives an empty
+result. Extra columns are ignored.
 """
 
 from __future__ import annotations

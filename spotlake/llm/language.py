@@ -7,8 +7,8 @@ an n-gram the profile lacks counts as far as can be. Profiles are counted over
 all labelled texts that may be learned from.
 
 N-grams are those of words with a space on both sides; case and everything but
-letters are left out. Equal counts are ranked by the n-gram itself, so reruns
-agree.
+letters are left out. Equal counts are ranked by the n-gram itself, and of
+languages at the same distance the first by name is predicted, so reruns agree.
 
 Nulls and edge cases: a text that is null or has no letter is `und` with score
 0, and so is every text when nothing is labelled. Rows that share an id are rows

@@ -12,7 +12,8 @@ points halfway instead, each of which is near at most 65 of them (d <= 2).
 Nulls and edge cases: a null text is an empty text; texts without a word have
 fingerprint zero and are linked like any other. Null ids count for linking but
 are no `component_id` unless a component has no other id. Repeated rows are rows
-of their own. An empty table gives an empty result. Extra columns are ignored.
+of their own. A very long text is hashed by one task, a part of its shingles at a
+time. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

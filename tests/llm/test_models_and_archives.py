@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import itertools
+import random
 import zlib
 from collections import Counter
 from hashlib import sha1
@@ -45,6 +46,51 @@ def test_language_reads_long_texts_in_pieces(monkeypatch):
     assert [a.tolist() for a in language.text_grams(text)] == whole
 
 
+def plain_language(rows, size, text_size):
+    """Profiles, out-of-place distances, predictions and scores, word by word."""
+    def grams(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        return Counter(f" {w} "[i:i + n] for w in words for n in (1, 2, 3) for i in range(len(w) + 3 - n) if f" {w} "[i:i + n] != " ")
+
+    def ranks(counts, limit):
+        def code(gram):
+            return sum((1 if c == " " else ord(c)) << 21 * k for k, c in enumerate(gram))
+        return sorted(counts, key=lambda g: (-counts[g], code(g)))[:limit]
+
+    learned = {}
+    for i, text, lang in rows:
+        if text is not None and lang is not None and (i is None or zlib.crc32(str(i).encode()) % 3 != 1):
+            learned.setdefault(lang, Counter()).update(grams(text))
+    places = {lang: {g: k for k, g in enumerate(ranks(c, size))} for lang, c in learned.items()}
+    out = []
+    for i, text, _ in rows:
+        own = ranks(grams(text or ""), text_size)
+        if not own or not places:
+            out.append((i, "und", 0.0))
+            continue
+        far = {lang: sum(min(size, abs(p[g] - k)) if g in p else size for k, g in enumerate(own)) / (size * len(own)) for lang, p in places.items()}
+        best = min(sorted(far), key=far.get)
+        out.append((i, best, round(1 - far[best], 9)))
+    return out
+
+
+@pytest.mark.parametrize("size, text_size", [(400, 300), (15, 9)])
+def test_language_equals_a_plain_ranking(spark, size, text_size):
+    """Profiles, distances, ties and scores on short texts of made-up languages; small profiles make many ties."""
+    rng = random.Random(size)
+    letters = {"aa": "abcdeé", "bb": "defghß", "cc": "abgxyz", "dd": "жзик中"}
+    rows = []
+    for i in range(160):
+        lang = rng.choice([*letters, None])
+        pool = letters[lang] if lang else "abcdefgh"
+        rows.append((i if i % 9 else None, " ".join("".join(rng.choice(pool) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 30)))
+                     + rng.choice(["", "!", " 12", "\n"]), lang))
+    rows += [(900, "A1B2 c", "aa"), (901, "", "aa"), (902, None, "bb"), (903, "123 ?", None), (904, "ÀÉ İx", "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = language.languages(docs, size=size, text_size=text_size).collect()
+    assert sorted(((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in got), key=str) == sorted(plain_language(rows, size, text_size), key=str)
+
+
 def test_language_edge_cases(spark):
     rows = [(i, "the cat and the dog " * 3, "en", None) for i in range(9)] + [(20 + i, "der hund und die katze " * 3, "de", None) for i in range(9)]
     rows += [(40, None, "en", None), (41, "123 ...", "en", None), (None, "der hund", None, "x"), (None, "the dog", "en", "x")]
