@@ -2,7 +2,9 @@
 
 Every stage but the last returns the columns of documents. A stage numbers its
 rows, calls its operator on them, and applies the decisions by row number, so
-null or repeated ids and further columns do no harm. An empty table passes
+null or repeated ids and further columns do no harm; rows that tie in all an
+operator reads are told apart by their content, so reruns agree. Null texts are
+rejected by the first stage. Very long texts pass whole. An empty table passes
 through all stages.
 """
 
