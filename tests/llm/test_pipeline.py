@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from spotlake.llm import mixing
 from spotlake.llm.simhash import fingerprint
+from spotlake.sources.scratch import materialise
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
@@ -117,4 +118,22 @@ def test_empty_table(spark, docs, tmp_path):
 
 
 def test_run(spark):
-    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
+    """Every sequence is filled without gaps, and every document that is mixed in is there whole, as often as it is taken."""
+    folder = "/root/testdata/sf0.001"
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    sequences, lengths, sizes = {}, Counter(), {}
+    for p in pieces:
+        sequences.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+        lengths[p["doc_id"]] += p["length"]
+        assert sizes.setdefault(p["doc_id"], p["doc_tokens"]) == p["doc_tokens"] and p["start"] + p["length"] <= p["doc_tokens"]
+    for parts in sequences.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end and length > 0
+            end += length
+        assert end <= 2048
+    docs = corpus_pipeline.table(spark, folder, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, folder), "stage")
+    taken = Counter(r["doc_id"] for r in docs.select("doc_id").collect())
+    assert lengths == {i: n * sizes[i] for i, n in taken.items()} and len(taken) > 50
