@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,23 +91,41 @@ def as_transmissions(unified: DataFrame) -> DataFrame:
     return named.select(*columns).withColumn("Timestamp", at)
 
 
+FAMILIES = ("Excedentes_", "Requerimientos_")
+
+
 @dataclass(frozen=True)
 class ReportFolder:
-    """A folder of report files, routed to the two families by file-name prefix."""
+    """A folder of report files, routed to the two families by file-name prefix.
+
+    `both` says what a family without a file is to a reader: `notice` warns and goes
+    on with an empty table, `error` fails, `silent` goes on.
+    """
 
     path: str
     preamble: bool = False
+    both: str = "notice"
+
+    def missing(self, spark: SparkSession) -> list[str]:
+        """The prefixes of the families that have no file."""
+        return [prefix for prefix in FAMILIES if not any_file(spark, self.path, f"{prefix}*.csv")]
 
     def read(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-        """(excedentes, requerimientos); an absent family is an empty table."""
+        """(excedentes, requerimientos); an absent family is an empty table, which the caller is told."""
+        if self.both != "silent" and (missing := self.missing(spark)):
+            notice = f"no report {' and no report '.join(p + '*.csv' for p in missing)} in {self.path}"
+            if self.both == "error":
+                raise FileNotFoundError(notice)
+            warnings.warn(notice, stacklevel=2)
+
         def family(prefix: str, schema, skip: int) -> DataFrame:
             if self.preamble and any_file(spark, self.path, f"{prefix}*.csv"):
                 return read_report_with_preamble(spark, f"{self.path.rstrip('/')}/{prefix}*.csv", schema, skip)
             return read_family(spark, self.path, prefix, schema)
 
         return (
-            family("Excedentes_", schemas.EXCEDENTES, schemas.EXCEDENTES_PREAMBLE),
-            family("Requerimientos_", schemas.REQUERIMIENTOS, schemas.REQUERIMIENTOS_PREAMBLE),
+            family(FAMILIES[0], schemas.EXCEDENTES, schemas.EXCEDENTES_PREAMBLE),
+            family(FAMILIES[1], schemas.REQUERIMIENTOS, schemas.REQUERIMIENTOS_PREAMBLE),
         )
 
 

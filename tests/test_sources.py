@@ -89,6 +89,16 @@ def test_missing_family_is_empty(spark, tmp_path):
     assert sourced.first()["source"] == "Excedentes_1.csv"
 
 
+def test_a_missing_family_is_told(spark, tmp_path):
+    (tmp_path / "Excedentes_1.csv").write_text(EXC_HEADER + "\n" + EXC[0] + "\n", encoding="utf-8")
+    assert ReportFolder(str(tmp_path)).missing(spark) == ["Requerimientos_"]
+    with pytest.warns(UserWarning, match="Requerimientos_"):
+        assert ReportFolder(str(tmp_path)).read(spark)[1].count() == 0
+    with pytest.raises(FileNotFoundError, match="Requerimientos_"):
+        clean_folder(spark, ReportFolder(str(tmp_path), both="error"))
+    assert ReportFolder(str(tmp_path), both="silent").read(spark)[0].count() == 1
+
+
 def test_sorted_report(spark, tmp_path):
     exc, _ = ReportFolder(write_folder(tmp_path)).read(spark)
     got = sort_report(exc, ["FECHA TRANSMISIÓN", "HORA TRANSMISIÓN"])
