@@ -8,8 +8,9 @@ lengths are counted side by side and no scan is made for one length alone. The
 work ends when the last active phrase has completed its cycle.
 
 Counters are kept under 64-bit hashes of the phrases and dealt by ranges of the
-hash: a scan hands over one packed row a range, and a range is summed as sorted
-arrays, `RANGES` of them for each shuffle partition. A scan tests subphrases
+hash, one for each shuffle partition: a scan hands over one packed row a range, and
+a task sums a range as sorted arrays, about 16 bytes a phrase; set
+`spark.sql.shuffle.partitions` so that a range fits. A scan tests subphrases
 against an array of one byte a slot that holds, under the upper bits of the hash,
 the step after which a phrase may activate others; it has that size at any size
 of the corpus. Phrases that share a counter or a slot are counted too often or too
@@ -50,8 +51,8 @@ SHARDS = 3
 # One byte each; the upper bits of a hash pick a slot, its lowest ones hold the number of words less one.
 SLOT_BITS = 24
 LENGTH_BITS = 3
-# Ranges of hashes for each shuffle partition; a task holds the counters of one range at a time.
-RANGES = 16
+# Counters a scan gathers before it hands them over.
+GATHERED = 1 << 20
 # The best of a language are chosen in so many groups before they meet.
 GROUPS = 64
 
@@ -175,21 +176,27 @@ NOW, BEFORE, KNOWN = range(3)
 
 def _counted(shard: DataFrame, starts_at, step: int, shards: int, max_words: int, ranges: int) -> DataFrame:
     """Counters of the phrases that may be active in `step`, packed by range."""
-    def rows(hashes, counts):
+    def rows(parts):
+        hashes, counts = _sum(*zip(*parts))
         filled, cuts = _cut(hashes, ranges)
         return pa.RecordBatch.from_arrays(
-            [pa.array(filled), pa.array(np.full(len(filled), NOW, np.int32)), _packed(hashes, cuts), _packed(counts.astype(np.int64), cuts)],
+            [pa.array(filled), pa.array(np.full(len(filled), NOW, np.int32)), _packed(hashes, cuts), _packed(counts, cuts)],
             ["bucket", "kind", "h", "c"])
 
     def count(batches):
         levels = _unpacked(starts_at)
+        held, size = [], 0
         for _, words in _parts(batches):
-            if step < shards:
-                single = counter_of(words.hashes, 1)
-                order = np.argsort(single)
-                yield rows(single[order], np.bincount(words.at, minlength=len(single))[order])
             found = [counter_of(h, n) for n, h in words.active(levels, step, shards, max_words)]
-            yield rows(*np.unique(np.concatenate(found), return_counts=True))
+            held.append(np.unique(np.concatenate(found), return_counts=True))
+            if step < shards:
+                held.append((counter_of(words.hashes, 1), np.bincount(words.at, minlength=len(words.kinds))))
+            size += sum(len(h) for h, _ in held[-2:])
+            if size >= GATHERED:
+                yield rows(held)
+                held, size = [], 0
+        if held:
+            yield rows(held)
 
     return shard.select("lang", "text").mapInArrow(count, _DEALT)
 
@@ -250,7 +257,7 @@ def _summed(dealt: DataFrame, min_count: int, max_words: int, ranges: int) -> Da
 
     schema = pa.schema([("bucket", pa.int64()), ("h", pa.binary()), ("c", pa.binary()), ("new", pa.binary()), ("low", pa.int64()),
                         ("taken", pa.binary()), ("activating", pa.binary())])
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+    return dealt.repartitionById(ranges, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(
         reduce_ranges, "bucket long, h binary, c binary, new binary, low long, taken binary, activating binary")
 
 
@@ -302,7 +309,7 @@ def _recounted(ring: DataFrame, slots, min_count: int, max_words: int, ranges: i
             yield from sums.filter(pc.or_(pc.equal(sums["n"], 0), pc.greater_equal(sums["c"], min_count))).to_batches()
 
     found = ring.select("lang", "text").mapInArrow(count, "bucket long, lang string, rows binary")
-    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, "lang string, n int, phrase string, c long")
+    return found.repartitionById(ranges, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(add, "lang string, n int, phrase string, c long")
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT,
@@ -314,7 +321,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     dealt = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), text_of(text_col).alias("text"),
                         (F.monotonically_increasing_id() % shards).alias("shard"))
     ring = materialise(dealt.where("text <> ''"), "shards", "shard")
-    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     starts_at = np.zeros(1 << SLOT_BITS, np.uint8)
     taken = np.zeros(1 << SLOT_BITS, bool)
     steps: list[DataFrame] = []
