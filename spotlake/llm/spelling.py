@@ -156,22 +156,31 @@ def build(points: np.ndarray, leaf: int, members: list[np.ndarray], rows: np.nda
     return dimension, cut, build(points, leaf, members, rows[left]), build(points, leaf, members, rows[~left])
 
 
-def visit(tree, queries: np.ndarray, radius: int, rows: np.ndarray | None = None, low=None, high=None):
-    """(leaf, rows of the queries within `radius` of its box) for all leaves that have some."""
+def visit(tree, queries: np.ndarray, radius: int, rows=None, away=None, low=None, high=None):
+    """(leaf, rows of the queries within `radius` of its box) for all leaves that have some.
+
+    A child's box differs from its parent's in one dimension, so only that part of a distance is counted anew.
+    """
     if rows is None:
-        rows = np.arange(len(queries))
-        low, high = np.full(DIMENSIONS, -1 << 30), np.full(DIMENSIONS, 1 << 30)
+        rows, away = np.arange(len(queries)), np.zeros(len(queries), np.int32)
+        low, high = [-1 << 30] * DIMENSIONS, [1 << 30] * DIMENSIONS
     if not len(rows):
         return
     if isinstance(tree, int):
         yield tree, rows
         return
     dimension, cut, left, right = tree
+    here = queries[rows, dimension]
+
+    def outside():
+        return np.maximum(low[dimension] - here, 0) + np.maximum(here - high[dimension], 0)
+
+    others = away - outside()
     for child, bounds, value in ((left, high, cut), (right, low, cut + 1)):
         kept, bounds[dimension] = bounds[dimension], value
-        here = queries[rows]
-        away = (np.maximum(low - here, 0) + np.maximum(here - high, 0)).sum(axis=1)
-        yield from visit(child, queries, radius, rows[away <= radius], low, high)
+        there = others + outside()
+        near = there <= radius
+        yield from visit(child, queries, radius, rows[near], there[near], low, high)
         bounds[dimension] = kept
 
 
@@ -214,7 +223,7 @@ class Cell:
             step = max(1, STEP // len(members))
             for start in range(0, len(rows), step):
                 part = rows[start:start + step]
-                differ = np.bitwise_count(codes[part][:, None, :] ^ self.codes[members][None, :, :]).sum(axis=2, dtype=np.int64)
+                differ = sum(np.bitwise_count(codes[part, k][:, None] ^ self.codes[members, k][None, :]) for k in range(2))
                 q, p = np.nonzero(differ <= radius)
                 q, p = part[q], members[p]
                 same = one_edit(letters[q], self.letters[p])
