@@ -82,10 +82,11 @@ def write_archives(record_rows: DataFrame, path: str, archive_bytes: int = ARCHI
 
     Records are dealt by hash into as many files as their bytes ask for, so that the
     normaliser, which holds one file at a time, needs the same memory at any size.
+    The bytes are summed in a pass of their own: the records are built twice, and
+    not written beside the archives.
     """
-    written = materialise(record_rows, "records")
-    total = written.agg(F.sum(F.octet_length("record").cast("long") + len(_END))).first()[0] or 0
-    dealt = written.repartition(max(1, -(-total // archive_bytes)), F.xxhash64("record"))
+    total = record_rows.agg(F.sum(F.octet_length("record").cast("long") + len(_END))).first()[0] or 0
+    dealt = record_rows.repartition(max(1, -(-total // archive_bytes)), F.xxhash64("record"))
     dealt.write.option("lineSep", _END.decode()).option("compression", "gzip").text(path)
 
 

@@ -177,6 +177,15 @@ def test_archives_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_records_are_written_as_archives_only(spark, tmp_path, monkeypatch):
+    tables, written = [], warc.materialise
+    monkeypatch.setattr(warc, "materialise", lambda df, label: tables.append(df.columns) or written(df, label))
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * 2000) for i in range(5)], "page_id long, url string, html string")
+    assert {r["record_type"] for r in warc.round_trip(pages).collect()} == {"response", "revisit"}
+    # The one copy of the pages is that of rows that are no plain scan.
+    assert [c for c in tables if {"record", "body"} & set(c)] == []
+
+
 def test_archives_are_cut_by_bytes(spark, tmp_path):
     """Few long records and many short ones fill archives alike; a very long one does not grow with its neighbours."""
     rows = [(i, f"u{i}", f"{i} " * (50 if i % 3 else 5000)) for i in range(300)] + [(999, "u", "long page " * 300_000)]
