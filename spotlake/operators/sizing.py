@@ -1,4 +1,4 @@
-"""Spreading of small inputs over the cores."""
+"""Spreading of inputs over the cores."""
 
 from __future__ import annotations
 
@@ -10,6 +10,30 @@ from spotlake.operators.columns import quoted
 # to matter, and moving it once costs next to nothing.
 SMALL_PER_CORE = 16 << 20
 
+# Estimated bytes of the texts of one part: their words, counted per text, fit a task's memory without spilling.
+PART_BYTES = 8 << 20
+# Estimates of joins multiply and may be far too high.
+MOST_PARTS = 4096
+
+
+def _estimate(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def parts_by_key(df: DataFrame) -> int:
+    """Number of parts for `by_key`."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(MOST_PARTS, -(-_estimate(df) // PART_BYTES)))
+
+
+def by_key(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """Rows hashed by key into `parts` parts, for work that makes many rows of one and groups them by key again.
+
+    What is grouped by the key, or by the key and more, stays in its part: the texts
+    move once, and the rows made of them, which are many times larger, do not. Rows of
+    one key share a part.
+    """
+    return df.repartition(parts, *[quoted(k) for k in keys])
+
 
 def over_all_cores(df: DataFrame, keys: list[str]) -> DataFrame:
     """Small inputs hashed over all cores by key; larger ones as they were scanned.
@@ -19,7 +43,6 @@ def over_all_cores(df: DataFrame, keys: list[str]) -> DataFrame:
     an input of many splits is already spread and is not moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_PER_CORE * cores:
+    if _estimate(df) > SMALL_PER_CORE * cores:
         return df
     return df.repartition(cores, *[quoted(k) for k in keys])
