@@ -21,7 +21,8 @@ from spotlake.functions.keys import bucket_of
 from spotlake.functions.text import stop_words
 from spotlake.operators.aggregates import accuracy, confusion_matrix
 from spotlake.operators.columns import quoted
-from spotlake.operators.features import document_frequencies, term_counts
+from spotlake.operators.features import document_frequencies, term_counts, with_facts
+from spotlake.operators.sizing import by_key, parts_by_key
 from spotlake.sources.scratch import materialise
 
 
@@ -97,7 +98,7 @@ class Classifier:
     def predict(self, df: DataFrame) -> DataFrame:
         """Rows with `label` and `prediction` as numbers and the predicted text in `predicted`; the key identifies a row."""
         terms = term_counts(df, self.key, self.text, self.words_out, self.unicode_words, self.width)
-        known = terms.join(self.weights, "term").withColumn("_x", F.col("tf") * F.col("idf"))
+        known = with_facts(terms, self.weights, F.col("idf"), F.size("gains") + 1).withColumn("_x", F.col("tf") * F.col("idf"))
         # Per text: its whole weight, and what its terms add for each label that has them.
         mass = known.groupBy(quoted(self.key)).agg(F.sum("_x").alias("_mass"))
         each = known.select(quoted(self.key), "_x", F.explode("gains").alias("g")).groupBy(quoted(self.key), "g.number").agg(
@@ -131,10 +132,18 @@ def fit_classifier(
     words_out = stop_words(language)
     basis = train if fit_features_on is None else fit_features_on
     texts = basis.agg(F.count(F.lit(1))).first()[0]
-    counts = materialise(term_counts(train, key, text, words_out, unicode_words, width), "term_counts")
-    basis_counts = counts if fit_features_on is None else term_counts(basis, key, text, words_out, unicode_words, width)
+    # The labels of a key lie in the same parts as its terms; a key of several rows has each of their labels.
+    parts = parts_by_key(train.select(quoted(key), quoted(text)))
+    counts = term_counts(train, key, text, words_out, unicode_words, width, parts)
+    first = F.row_number().over(W.partitionBy(quoted(key)).orderBy("name")) == 1
+    named = by_key(train.select(quoted(key), quoted(label).cast("string").alias("name")), [key], parts).withColumn("first", first)
+    # Per term and label: its occurrences, and the texts that hold it, each counted under one label. No row per text is kept.
+    by_label = materialise(counts.join(named.hint("shuffle_hash"), key, "left").groupBy("term", "name").agg(
+        F.sum("tf").alias("tf"), F.count_if(F.coalesce("first", F.lit(True))).alias("df")), "label_counts")
+    frequencies = by_label.groupBy("term").agg(F.sum("df").alias("df")) if fit_features_on is None else document_frequencies(
+        term_counts(basis, key, text, words_out, unicode_words, width))
     idf = F.log((F.lit(texts) + 1) / (F.col("df") + 1))
-    vocabulary = materialise(document_frequencies(basis_counts).select("term", idf.alias("idf")), "vocabulary")
+    vocabulary = materialise(frequencies.select("term", idf.alias("idf")), "vocabulary")
 
     per_label = basis.where(quoted(label).isNotNull()).groupBy(quoted(label).cast("string").alias("name")).agg(
         F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").collect()
@@ -143,10 +152,9 @@ def fit_classifier(
         F.count(F.lit(1)).alias("n")).collect()}
     number = (F.array_position(F.array(*map(F.lit, names)), F.col("name")) - 1).cast("int")
 
-    weighed = counts.join(vocabulary, "term").join(
-        train.select(quoted(key), quoted(label).cast("string").alias("name")), key).groupBy("name", "term").agg(
-        F.sum(F.col("tf") * F.col("idf")).alias("x"), F.first("idf").alias("idf"))
-    weighed = materialise(weighed.where(F.col("name").isNotNull()).withColumn("number", number), "label_terms")
+    weighed = by_label.where(F.col("name").isNotNull()).join(vocabulary, "term").select(
+        "name", "term", (F.col("tf") * F.col("idf")).alias("x"), "idf", number.alias("number"))
+    weighed = materialise(weighed, "label_terms")
     size = vocabulary.count()
     mass = {r["number"]: r["x"] for r in weighed.groupBy("number").agg(F.sum("x").alias("x")).collect()}
     # The chance of a term is (x + smoothing) / (mass + smoothing * terms); its logarithm splits into a gain and a floor.
@@ -158,7 +166,7 @@ def fit_classifier(
     total = sum(rows.get(n, 0) for n in names)
     priors = [(i, math.log(rows.get(n, 0) + smoothing) - math.log(total + smoothing * len(names)),
                math.log(smoothing) - math.log(mass.get(i, 0.0) + smoothing * size) if size else 0.0) for i, n in enumerate(names)]
-    return Classifier(weights, priors, names, text, label, key, words_out, unicode_words)
+    return Classifier(weights, priors, names, text, label, key, words_out, unicode_words, width)
 
 
 def accuracy_of(predictions: DataFrame) -> float:

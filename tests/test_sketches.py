@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import random
 from collections import Counter
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spotlake.operators import heavy, sketches
+from spotlake.operators import features, heavy, sizing, sketches
 from spotlake.operators.features import hashed_features, term_counts
 from spotlake.operators.profile import nested_key_sets, schema_paths
 from spotlake.operators.quantiles import box_plot
@@ -118,6 +119,39 @@ def test_hashed_classifier_is_within_a_point(spark):
     assert hashed.weights.count() <= 1 << 18 and K.accuracy_of(hashed.predict(test)) >= full - 0.01
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+def test_terms_of_large_inputs_move_with_their_texts(spark, monkeypatch):
+    """However large the input, the one shuffle is that of the texts."""
+    monkeypatch.setattr(sizing, "SMALL_PER_CORE", 0)
+    df = spark.createDataFrame([(1, "a b a"), (1, "b c"), (None, "a a"), (None, "c"), (2, None)], "k int, t string")
+    hashed = hashed_features(term_counts(df, "k", "t"), "k", 1 << 14)
+    assert plan_of(hashed).count("Exchange") == 1
+    counts = {(r.k, r.term): r.tf for r in term_counts(df, "k", "t").collect()}
+    assert counts == {(1, "a"): 2, (1, "b"): 2, (1, "c"): 1, (None, "a"): 2, (None, "c"): 1}
+
+
+@pytest.mark.parametrize("name", ["fit", "tfidf"])
+def test_no_row_per_text_and_term_is_written(spark, monkeypatch, name):
+    module, tables = (K if name == "fit" else features), []
+    written = module.materialise
+    monkeypatch.setattr(module, "materialise", lambda df, label: tables.append(df.columns) or written(df, label))
+    df = spark.createDataFrame([(1, "ka kb ka", "x"), (1, "kb kc", "y"), (None, "ka ka", "x"), (2, "kc", None), (3, "kd", "y")], "k int, t string, p string")
+    if name == "fit":
+        fitted = K.fit_classifier(df, "t", "p", key="k")
+        # The texts of key 1 count as one text of both labels; rows without a key or a label count for the vocabulary.
+        idf = {r.term: r.idf for r in fitted.weights.collect()}
+        assert {t: round(6 / math.exp(v) - 1) for t, v in idf.items()} == {"ka": 2, "kb": 1, "kc": 2, "kd": 1}
+        assert len(fitted.weights.where("term = 'ka'").first().gains) == 2
+    else:
+        monkeypatch.setattr(features, "FREQUENT", 2)
+        got = {(r.k, r.term): (r.tf, r.df) for r in features.tfidf(df, "k", "t").collect()}
+        assert got == {(1, "ka"): (2, 2), (1, "kb"): (2, 1), (1, "kc"): (1, 2), (None, "ka"): (2, 2), (2, "kc"): (1, 2), (3, "kd"): (1, 1)}
+    assert tables and not any("k" in c for c in tables)
+
+
 # Exact split
 
 
