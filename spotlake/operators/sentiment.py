@@ -11,15 +11,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotlake.functions.text import word_tokens
 from spotlake.operators.columns import quoted
 from spotlake.operators.sizing import over_all_cores
+from spotlake.shipping import ship
 from spotlake.sources.scratch import materialise
 
+ship(__name__)
+
 # Fixed values of the published model.
 NORMAL_ALPHA = 15.0
 BOOST = 0.293
@@ -214,9 +220,35 @@ def phrase_joiner(phrases: list[str]) -> Callable[[pd.Series], pd.Series]:
     return lambda series: series.map(join)
 
 
+# Words that are Python objects at one time.
+WORDS_AT_ONCE = 50_000
+
+
+def word_slices(arrays: pa.Array, most: int) -> list[pa.Array]:
+    """An array of word lists cut into slices of `most` words at most; a longer list is a slice of its own."""
+    sizes = np.nan_to_num(pc.list_value_length(arrays).to_numpy(zero_copy_only=False))
+    bounds, held = [0], 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            bounds.append(i)
+            held = 0
+        held += n
+    return [arrays.slice(a, b - a) for a, b in zip(bounds, [*bounds[1:], len(arrays)])]
+
+
 def join_phrases(words: Column, phrases: list[str]) -> Column:
-    """An array of words with the words of each phrase joined to one."""
-    return F.pandas_udf(phrase_joiner(phrases), "array<string>")(words)
+    """An array of words with the words of each phrase joined to one.
+
+    A batch stays in Arrow; only the words of a slice of it are Python objects.
+    """
+    join, kind = phrase_joiner(phrases), pa.list_(pa.string())
+
+    @F.arrow_udf("array<string>")
+    def joined(arrays: pa.Array) -> pa.Array:
+        return pa.concat_arrays([
+            pa.array(join(pd.Series(part.to_pylist(), dtype=object)).tolist(), kind) for part in word_slices(arrays, WORDS_AT_ONCE)])
+
+    return joined(words)
 
 
 def rule_scores(

@@ -5,10 +5,12 @@ import math
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spotlake.functions.text import stop_words
+from spotlake.operators import sentiment as S
 from spotlake.operators.features import document_frequencies, term_counts, tfidf, top_terms
 from spotlake.operators.nested import flatten_catalogue
 from spotlake.operators.sentiment import JOINT, PhraseRules, phrase_joiner, rule_scores, sample_lexicon, valence_scores
@@ -284,3 +286,18 @@ def test_entries_replace_the_same_words_of_the_lexicon(spark):
     assert rule_score(spark, "so so", rules, {"so so": 2.0, "x1": 1.0}) == normal(-1.0)
     assert rule_score(spark, "good good", rules) == normal(1.0)
     assert rule_score(spark, "tip top", PhraseRules(), {"tip top": 2.0}) == normal(0.0)
+
+
+def test_phrases_are_joined_in_slices(spark, monkeypatch):
+    """Rows of a batch, long ones, empty ones and missing ones, come out as they do one by one."""
+    rows = [["a1", "b1"] * 9, [], None, ["x"], ["b1", "a1", "b1", "a1"], ["a1"] * 30, None]
+    join = phrase_joiner(["a1 b1"])
+    arrays = pa.array(rows, pa.list_(pa.string())).slice(1)
+    slices = S.word_slices(arrays, 5)
+    assert [x for part in slices for x in part.to_pylist()] == rows[1:] and len(slices) >= 2
+    assert all(len(part) == 1 or sum(len(x or ()) for x in part.to_pylist()) <= 5 for part in slices)
+    monkeypatch.setattr(S, "WORDS_AT_ONCE", 5)
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "k int, w array<string>").coalesce(1)
+    got = {r.k: r.w for r in df.select("k", S.join_phrases(F.col("w"), ["a1 b1"]).alias("w")).collect()}
+    assert got == dict(enumerate(join(pd.Series(rows, dtype=object))))
+    assert S.word_slices(arrays.slice(0, 0), 5)
