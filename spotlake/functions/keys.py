@@ -12,12 +12,17 @@ def compact_text(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+def short_text(c: Column) -> Column:
+    """A string of less than 64 bytes as it is, a longer one as its digest of 64: equal for equal strings only, NULL for NULL."""
+    return F.when(F.octet_length(c) < 64, c).otherwise(compact_text(c))
+
+
 def compact_columns(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
-    """The named columns, strings as digests; other types unchanged."""
+    """The named columns, long strings as digests; short ones, which a digest would make longer, and other types unchanged."""
     chosen = columns or df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
     return [
-        (compact_text(F.col(f"`{c}`")) if isinstance(types[c], T.StringType) else F.col(f"`{c}`")).alias(c)
+        (short_text(F.col(f"`{c}`")) if isinstance(types[c], T.StringType) else F.col(f"`{c}`")).alias(c)
         for c in chosen
     ]
 

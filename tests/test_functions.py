@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from spotlake.functions import dates as D
 from spotlake.functions import names as N
-from spotlake.functions.keys import bucket_of, compact_text
+from spotlake.functions.keys import bucket_of, compact_columns, compact_text
 from spotlake.functions.text import word_tokens
 
 
@@ -163,6 +165,15 @@ def test_compact_text_is_a_digest(spark):
     assert got[1] == got[2] != got[0] and got[3] is None and len(got[0]) == 64
 
 
+def test_rows_are_compared_by_short_texts_as_they_are(spark):
+    digest = hashlib.sha256(b"x" * 65).hexdigest()
+    df = spark.createDataFrame([("a",), ("x" * 65,), (digest,), ("y" * 63,), ("é" * 32,), (None,)], "t string")
+    got = values(df.select(*compact_columns(df)), "t")
+    assert got[0] == "a" and got[1] == digest and got[3] == "y" * 63 and got[5] is None
+    # No two texts come out equal, a digest and a text that looks like one included.
+    assert len(set(got)) == 6 and len(got[4]) == 64
+
+
 def test_bucket_is_stable_and_spread(spark):
     df = spark.range(1000).select(bucket_of("id", 10).alias("b"))
     counts = dict(df.groupBy("b").count().collect())
