@@ -16,13 +16,14 @@ PART_BYTES = 8 << 20
 MOST_PARTS = 4096
 
 
-def _estimate(df: DataFrame) -> int:
+def estimate(df: DataFrame) -> int:
+    """Spark's estimate of the bytes of `df`; the size of the files if it reads whole ones."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts_by_key(df: DataFrame) -> int:
     """Number of parts for `by_key`."""
-    return max(df.sparkSession.sparkContext.defaultParallelism, min(MOST_PARTS, -(-_estimate(df) // PART_BYTES)))
+    return max(df.sparkSession.sparkContext.defaultParallelism, min(MOST_PARTS, -(-estimate(df) // PART_BYTES)))
 
 
 def by_key(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
@@ -43,6 +44,6 @@ def over_all_cores(df: DataFrame, keys: list[str]) -> DataFrame:
     an input of many splits is already spread and is not moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if _estimate(df) > SMALL_PER_CORE * cores:
+    if estimate(df) > SMALL_PER_CORE * cores:
         return df
     return df.repartition(cores, *[quoted(k) for k in keys])

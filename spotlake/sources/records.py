@@ -8,22 +8,24 @@ sums of a file's splits are added in order, and every piece gets the state at it
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from spotlake.operators.sizing import estimate
+from spotlake.shipping import ship
 from spotlake.sources.scratch import materialise
 
-MAX_LINES = 10_000
-
+ship(__name__)
 
-def _split() -> WindowSpec:
-    """The pieces of a split up to the current one."""
-    return Window.partitionBy("file", "start").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+MAX_LINES = 10_000
+READ_BYTES = 32 << 20
 
 
 def _ahead() -> WindowSpec:
     """The pieces of a split before the current one."""
-    return _split().rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy("file", "start").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _splits_ahead() -> WindowSpec:
@@ -32,7 +34,7 @@ def _splits_ahead() -> WindowSpec:
 
 
 def _pieces(text: DataFrame, *derived: Column) -> DataFrame:
-    """`file`, `start` of the split, `line` (numbers rise by one along a split), `value` and derived columns, written once."""
+    """`file`, `start` of the split, `line` (numbers rise by one along a split), `value` and derived columns, to be written once."""
     return text.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("line"), "value", *derived)
@@ -102,14 +104,8 @@ def array_elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
         return (_count_of(segments, "{[") - _count_of(segments, "}]")).cast("long")
 
     pieces = _pieces(text, (F.size(clean) - 1).cast("long").alias("quotes"), depth_of(0).alias("d0"), depth_of(1).alias("d1"))
-    pieces = materialise(pieces, "pieces")
-    inside = F.coalesce(F.sum("quotes").over(_ahead()), F.lit(0))
-    # Depth after a piece and its brace, for a split that begins outside of strings and for one that begins inside.
-    state = pieces.withColumn("odd", (inside % 2).cast("int")).withColumn("odd_after", ((F.col("odd") + F.col("quotes")) % 2).cast("int"))
-    for begin in (0, 1):
-        change = F.when(F.col("odd") == begin, F.col("d0")).otherwise(F.col("d1")) - F.when(F.col("odd_after") == begin, 1).otherwise(0)
-        state = state.withColumn(f"after{begin}", F.sum(change).over(_split()))
-    state = materialise(state.select("file", "start", "line", "value", "odd_after", "after0", "after1"), "depths")
+    sums = "file string, start long, line long, value string, odd_after long, after0 long, after1 long"
+    state = materialise(pieces.mapInArrow(_running_depths, sums), "depths")
     splits = state.groupBy("file", "start").agg(F.max_by(F.struct("odd_after", "after0", "after1"), "line").alias("last"))
     splits = splits.withColumn("begins", F.coalesce(F.sum("last.odd_after").over(_splits_ahead()) % 2, F.lit(0)))
     gain = F.when(F.col("begins") == 0, F.col("last.after0")).otherwise(F.col("last.after1"))
@@ -122,18 +118,86 @@ def array_elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     depth = F.col("depth") + F.when(F.col("begins") == 0, F.col("after0")).otherwise(F.col("after1"))
     ends = (depth == 1) & (F.col("odd_after") == F.col("begins"))
-    placed = state.join(splits, ["file", "start"]).select("file", "start", "line", "value", ends.alias("ends"))
-    place = F.struct("start", "line")
-    placed = placed.withColumn("previous", F.max(F.when(F.col("ends"), place)).over(_ahead()))
-    placed = materialise(placed, "element-pieces")
-    # Pieces ahead of a split's first end belong to the element that an earlier split leaves open.
-    last = placed.groupBy("file", "start").agg(F.max(F.when(F.col("ends"), place)).alias("last_end"))
-    carried = last.select("file", "start", F.max("last_end").over(_splits_ahead()).alias("carried"))
-    placed = placed.join(carried, ["file", "start"]).withColumn("previous", F.coalesce("previous", "carried"))
-    groups = placed.groupBy("file", "previous").agg(
+    # One small row per split; the pieces stay in their order.
+    placed = state.join(F.broadcast(splits), ["file", "start"]).select("file", "start", "line", "value", ends.alias("ends"))
+    # Splits of a few bytes are read together: a task per split costs more than its work.
+    placed = placed.coalesce(max(spark.sparkContext.defaultParallelism, estimate(state) // READ_BYTES))
+    joined = materialise(placed.mapInArrow(_joined_pieces, "file string, start long, line long, value string, ends boolean, whole boolean"), "elements")
+    # A run begins and ends inside an element; only these rows are moved.
+    cut = joined.where("NOT whole")
+    ahead = Window.partitionBy("file").orderBy("start", "line").rowsBetween(Window.unboundedPreceding, -1)
+    numbers = cut.select("file", "start", "line", F.coalesce(F.sum(F.col("ends").cast("long")).over(ahead), F.lit(0)).alias("element"))
+    groups = cut.join(numbers, ["file", "start", "line"]).groupBy("file", "element").agg(
         F.array_sort(F.collect_list(F.struct("start", "line", "value", "ends"))).alias("pieces"))
-    whole = groups.where(F.element_at("pieces", -1)["ends"])
-    value = F.concat(F.array_join("pieces.value", "}"), F.lit("}"))
-    return whole.select(
-        "file", F.struct(F.element_at("pieces", -1)["start"].alias("start"), F.element_at("pieces", -1)["line"].alias("line")).alias("part"),
-        F.regexp_replace(value, r"^[\s\x{FEFF}]*[\[,]\s*", "").alias("value"))
+    last = F.element_at("pieces", -1)
+    mended = groups.where(last["ends"]).select(
+        "file", last["start"].alias("start"), last["line"].alias("line"), F.array_join("pieces.value", "}").alias("value"))
+    every = joined.where("whole").select("file", "start", "line", "value").unionByName(mended)
+    return every.select(
+        "file", F.struct("start", "line").alias("part"),
+        F.regexp_replace(F.concat("value", F.lit("}")), r"^[\s\x{FEFF}]*[\[,]\s*", "").alias("value"))
+
+
+def _running_depths(batches):
+    """Pieces in the order of their scan with the sums of their split up to each."""
+    at, odd, depths = None, 0, [0, 0]
+    for batch in batches:
+        files, starts = batch.column(0), batch.column(1).to_numpy()
+        quotes, d = batch.column(4).to_numpy(), (batch.column(5).to_numpy(), batch.column(6).to_numpy())
+        out = [np.empty(len(starts), np.int64) for _ in range(3)]
+        for a, b, key in _runs(files, starts):
+            if key != at:
+                at, odd, depths = key, 0, [0, 0]
+            after = (odd + np.cumsum(quotes[a:b])) % 2
+            before = np.concatenate([[odd], after[:-1]])
+            out[0][a:b], odd = after, int(after[-1])
+            for begin in (0, 1):
+                change = np.where(before == begin, d[0][a:b], d[1][a:b]) - (after == begin)
+                out[1 + begin][a:b] = depths[begin] + np.cumsum(change)
+                depths[begin] = int(out[1 + begin][b - 1])
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:4], *map(pa.array, out)], ["file", "start", "line", "value", "odd_after", "after0", "after1"])
+
+
+def _joined_pieces(batches):
+    """Pieces that follow each other as one row per element, under the place of its last piece; `whole` if its first piece is among them."""
+    at, held, whole = None, [], False
+    for batch in batches:
+        files, starts, lines = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        values, ends = batch.column(3), batch.column(4).to_numpy(zero_copy_only=False)
+        rows = []
+        for a, b, key in _runs(files, starts, lines):
+            if at is None or (*key, int(lines[a])) != (*at[:2], at[2] + 1):
+                if held:
+                    rows.append((*at, "}".join(held), False, False))
+                held, whole = [], False
+            texts = values.slice(a, b - a).to_pylist()
+            begin = 0
+            for end in (np.flatnonzero(ends[a:b]) + 1).tolist():
+                rows.append((*key, int(lines[a + end - 1]), "}".join(held + texts[begin:end]), True, whole))
+                held, whole, begin = [], True, end
+            held += texts[begin:]
+            at = (*key, int(lines[b - 1]))
+        if rows:
+            yield _element_rows(rows)
+    if held:
+        yield _element_rows([(*at, "}".join(held), False, False)])
+
+
+def _element_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows), types)], ["file", "start", "line", "value", "ends", "whole"])
+
+
+def _runs(files: pa.Array, starts: np.ndarray, lines: np.ndarray | None = None):
+    """(first row, row after the last, (file, start)) of rows in one split, with numbers that rise by one if given."""
+    if not len(starts):
+        return
+    names = files.dictionary_encode()
+    breaks = (np.diff(names.indices.to_numpy()) != 0) | (np.diff(starts) != 0)
+    if lines is not None:
+        breaks |= np.diff(lines) != 1
+    bounds = [0, *(np.flatnonzero(breaks) + 1).tolist(), len(starts)]
+    for a, b in zip(bounds, bounds[1:]):
+        yield a, b, (files[a].as_py(), int(starts[a]))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import types as T
 
 from spotlake.operators.nested import flatten_catalogue
-from spotlake.sources import readers
+from spotlake.sources import readers, records
 from spotlake.sources.records import array_elements, logical_lines
 
 
@@ -97,6 +97,17 @@ def test_large_arrays_are_cut_into_their_objects(spark, tmp_path, tiny_splits):
     assert spark.read.text(str(tmp_path / "f0.json"), lineSep="}").rdd.getNumPartitions() > 20
 
 
+def test_only_cut_elements_are_moved(spark, tmp_path, monkeypatch):
+    """Pieces are joined where they are read; what is shuffled is the begin and the end of each run."""
+    tables, written = {}, records.materialise
+    monkeypatch.setattr(records, "materialise", lambda df, label: tables.setdefault(label, written(df, label)))
+    items = [{"i": i, "v": [{"w": "}{"}] * 3} for i in range(500)]
+    (tmp_path / "a.json").write_text(json.dumps(items))
+    assert [json.loads(r["value"]) for r in array_elements(spark, str(tmp_path)).orderBy("part").collect()] == items
+    assert sorted(tables) == ["depths", "elements", "split-depths"]
+    assert tables["elements"].where("whole").count() >= 450
+
+
 @pytest.mark.parametrize("text", ['[{"a": 1}', '[{"a": [1}]', '[{"a": "}]', '{"a": 1}'])
 def test_incomplete_arrays_are_errors(spark, tmp_path, text):
     (tmp_path / "a.json").write_text(text)
