@@ -12,8 +12,9 @@ SMALL_PER_CORE = 16 << 20
 
 # Estimated bytes of the texts of one part: their words, counted per text, fit a task's memory without spilling.
 PART_BYTES = 8 << 20
-# Estimates of joins multiply and may be far too high.
+# Estimates of joins multiply and may be far too high; tables that are no files have none, which shows as a size beyond any.
 MOST_PARTS = 4096
+UNKNOWN = 1 << 50
 
 
 def estimate(df: DataFrame) -> int:
@@ -23,7 +24,9 @@ def estimate(df: DataFrame) -> int:
 
 def parts_by_key(df: DataFrame) -> int:
     """Number of parts for `by_key`."""
-    return max(df.sparkSession.sparkContext.defaultParallelism, min(MOST_PARTS, -(-estimate(df) // PART_BYTES)))
+    spark, size = df.sparkSession, estimate(df)
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions")) if size >= UNKNOWN else min(MOST_PARTS, -(-size // PART_BYTES))
+    return max(spark.sparkContext.defaultParallelism, wanted)
 
 
 def by_key(df: DataFrame, keys: list[str], parts: int) -> DataFrame:
